@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, quality
+from . import bpe, langid, minhash, packing, quality, warc
 
 #: Folder of the public tokenizers' vocabulary files; None: the installed package's.
 TOKENIZERS: str | None = None
@@ -25,6 +25,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_read(spark, sf_dir, "pages"))
+    return warc.read(spark, archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
@@ -51,6 +56,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
@@ -58,4 +64,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+             d as (select page_id, octet_length(body) as payload_bytes, sha256(body) as payload_digest from p),
+             f as (select *, min(page_id) over (partition by payload_digest) as first_id from d)
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes >= 100 and page_id is distinct from first_id and first_id is not null then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and page_id is distinct from first_id then first_id end as refers_to
+        from f""",
+    "op10_minhash_near_dedup": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+            from documents),
+        s as (
+            select distinct doc_id, case when len(words) = 1 then words[1] else words[i] || ' ' || words[i + 1] end as shingle
+            from (select doc_id, words, unnest(range(1, greatest(len(words), 2))) as i from w where len(words) > 0)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        e as (
+            select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by 1, 2) p
+            join n na on na.doc_id = a join n nb on nb.doc_id = b
+            where 100 * c >= 75 * (na.n + nb.n - c)),
+        r(doc_id, root) as (select doc_id, doc_id from w union select e.b, r.root from r join e on e.a = r.doc_id)
+        select w.doc_id, coalesce(n.n, 0) as n_shingles, m.root as component_id, w.doc_id = m.root as kept
+        from w left join n using (doc_id) join (select doc_id, min(root) as root from r group by doc_id) m using (doc_id)""",
+}
