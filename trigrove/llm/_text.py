@@ -85,11 +85,11 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def segment_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+def segment_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, table: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of byte segments: equal bytes, equal values, in every process."""
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((_LOWER_BYTE if lower else _BYTE)[data] * up[: len(data)], out=sums[1:])
+    np.cumsum((table if table is not None else _LOWER_BYTE if lower else _BYTE)[data] * up[: len(data)], out=sums[1:])
     found = (sums[end] - sums[start]) * down[start]
     found ^= (end - start).astype(_U) << _U(48)
     return mix(found)

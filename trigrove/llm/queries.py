@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, quality, warc
+from . import bpe, langid, linededup, minhash, packing, quality, warc
 
 #: Folder of the public tokenizers' vocabulary files; None: the installed package's.
 TOKENIZERS: str | None = None
@@ -25,6 +25,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(_read(spark, sf_dir, "pages"))
     return warc.read(spark, archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -56,6 +60,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language_id": op6_language_id,
@@ -65,6 +70,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # deleted lines are those in a window of just enough words (from a line forwards, or back from it) that occurred before
+    "op1_line_dedup": r"""
+        with l0 as (
+            select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as j
+            from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null)),
+        l as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as w from l0),
+        f as (
+            select *, row_number() over (partition by doc_id order by j) as i,
+                   sum(w) over (partition by doc_id order by j) as upto
+            from l where w > 0),
+        b as (select doc_id, list(line order by i) as ls from f group by doc_id),
+        win as (
+            select x.doc_id, x.i as s, y.i as e from f x join f y on x.doc_id = y.doc_id and y.i >= x.i
+            where y.upto - x.upto + x.w >= 10 and (y.upto - y.w - x.upto + x.w < 10 or y.upto - x.upto < 10)),
+        k as (select win.*, array_to_string(ls[s:e], chr(10)) as body from win join b using (doc_id)),
+        r as (select *, min((doc_id, s)) over (partition by body) as first_at from k),
+        gone as (select distinct doc_id, unnest(range(s, e + 1)) as i from r where (doc_id, s) <> first_at),
+        t as (
+            select l.doc_id, l.j, l.line, l.w, f.i, gone.i is not null as cut,
+                   last_value(case when l.w > 0 then gone.i is not null end ignore nulls) over (partition by l.doc_id order by l.j) as after
+            from l left join f on f.doc_id = l.doc_id and f.j = l.j left join gone on gone.doc_id = f.doc_id and gone.i = f.i),
+        o as (
+            select doc_id, count(*) filter (w > 0) as n_lines, count(*) filter (cut) as n_removed,
+                   coalesce(string_agg(line, chr(10) order by j) filter (not coalesce(after, false)), '') as text
+            from t group by doc_id)
+        select d.doc_id, coalesce(o.n_lines, 0) as n_lines, coalesce(o.n_removed, 0) as n_removed, case when d.text is not null then o.text end as text
+        from documents d left join o using (doc_id)""",
     "op2_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as body from pages),
              d as (select page_id, octet_length(body) as payload_bytes, sha256(body) as payload_digest from p),
