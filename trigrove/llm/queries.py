@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, minhash, packing, quality, warc
+from . import bpe, langid, linededup, maxent, minhash, packing, quality, warc
 
 #: Folder of the public tokenizers' vocabulary files; None: the installed package's.
 TOKENIZERS: str | None = None
@@ -49,6 +49,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.lm_scores(_read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = quality.fit(docs, _read(spark, sf_dir, "labels"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
