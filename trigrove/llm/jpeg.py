@@ -226,9 +226,7 @@ def _ac_refine(block: np.ndarray, low: int, ac: Huffman) -> tuple[np.ndarray, np
         column = np.broadcast_to(np.arange(63), stop.shape)
         follow = np.minimum.accumulate(np.where(stop, column, 63)[:, ::-1], 1)[:, ::-1]
         r, c = np.nonzero(skip)
-        keys.append(at[r] * 200 + 0)
         order = [(at[r], c, np.full(len(r), -1), np.full(len(r), ac.code[0xF0]), np.full(len(r), ac.size[0xF0]))]
-        keys.pop()
         r, c = np.nonzero(new)
         symbol = (((count - base)[r, c] % 16) << 4) | 1
         order.append((at[r], c, np.full(len(r), -1), ac.code[symbol] << 1 | sign[r, c], ac.size[symbol] + 1))
@@ -308,7 +306,6 @@ def encode(frames: list[Frame], coefficients: list[np.ndarray], notes: list[byte
 # --- decoding
 
 _ENTROPY_END = re.compile(rb"\xff+[^\x00\xd0-\xd7\xff]")
-_RESTARTS = re.compile(rb"\xff[\xd0-\xd7]")
 
 
 class Scan(NamedTuple):
@@ -329,6 +326,34 @@ class Image(NamedTuple):
     note: bytes
 
 
+@lru_cache(64)
+def _quantisation(body: bytes) -> dict[int, np.ndarray]:
+    out, k = {}, 0
+    while k < len(body):
+        wide = body[k] >> 4
+        n = 64 << wide
+        out[body[k] & 15] = np.frombuffer(body[k + 1 : k + 1 + n], ">u2" if wide else "u1").astype(np.int64)
+        k += 1 + n
+    return out
+
+
+@lru_cache(64)
+def _tables(body: bytes) -> dict[int, Huffman]:
+    out, k = {}, 0
+    while k < len(body):
+        counts = body[k + 1 : k + 17]
+        n = sum(counts)
+        out[body[k]] = table(counts, body[k + 17 : k + 17 + n])
+        k += 17 + n
+    return out
+
+
+@lru_cache(256)
+def _frame(body: bytes) -> Frame:
+    rows = [body[6 + 3 * i : 9 + 3 * i] for i in range(body[5])]
+    return Frame(int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big"), tuple(r[0] for r in rows), tuple((r[1] >> 4, r[1] & 15) for r in rows), tuple(r[2] for r in rows))
+
+
 def parse(data: bytes) -> Image:
     """Headers and entropy-coded data of one file."""
     if data[:2] != b"\xff\xd8":
@@ -347,26 +372,15 @@ def parse(data: bytes) -> Image:
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
         if kind == 0xDB:
-            k = 0
-            while k < len(body):
-                wide = body[k] >> 4
-                n = 64 << wide
-                quant[body[k] & 15] = np.frombuffer(body[k + 1 : k + 1 + n], ">u2" if wide else "u1").astype(np.int64)
-                k += 1 + n
+            quant.update(_quantisation(body))
         elif kind == 0xC4:
-            k = 0
-            while k < len(body):
-                counts = body[k + 1 : k + 17]
-                n = sum(counts)
-                tables[body[k]] = table(counts, body[k + 17 : k + 17 + n])
-                k += 17 + n
+            tables.update(_tables(body))
         elif kind == 0xDD:
             restart = int.from_bytes(body, "big")
         elif kind == 0xFE:
             note = body
         elif kind == 0xC2:
-            rows = [body[6 + 3 * i : 9 + 3 * i] for i in range(body[5])]
-            frame = Frame(int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big"), tuple(r[0] for r in rows), tuple((r[1] >> 4, r[1] & 15) for r in rows), tuple(r[2] for r in rows))
+            frame = _frame(body)
         elif 0xC0 <= kind <= 0xCF:
             raise ValueError(f"not a progressive Huffman frame: {kind:x}")
         elif kind == 0xDA:
@@ -395,27 +409,41 @@ class _Lanes(NamedTuple):
 
 
 def _lanes(group: list[tuple[Scan, Frame, int]]) -> _Lanes:
-    bodies: list[bytes] = []
-    blocks, first, count = [], [], []
-    total = 0
+    blocks, first, count, lost = [], [], [], []
+    total = at = 0
     for scan, frame, base in group:
         order = _order(frame, scan.components)
         unit = 1 if len(scan.components) == 1 else sum(h * v for h, v in (frame.sampling[c] for c in scan.components))
         per = scan.restart * unit or len(order)
-        parts = [p.replace(b"\xff\x00", b"\xff") for p in (_RESTARTS.split(scan.data) if scan.restart else [scan.data])]
-        want = -(-len(order) // per)
-        bodies += parts[:want] + [b""] * (want - len(parts))
-        starts = np.arange(want) * per
+        starts = np.arange(-(-len(order) // per)) * per
         blocks.append(order + base)
         first.append(starts + total)
         count.append(np.minimum(per, len(order) - starts))
+        lost.append(at)
         total += len(order)
-    sizes = np.array([len(b) for b in bodies], np.int64)
-    raw = np.frombuffer(b"".join(bodies) + bytes(16), np.uint8).astype(_U)
-    window = np.zeros(len(raw) - 8, _U)
-    for i in range(8):
-        window |= raw[i : i + len(window)] << _U(56 - 8 * i)
-    return _Lanes(window, (np.cumsum(sizes) - sizes) * 8, np.concatenate(blocks), np.concatenate(first), np.concatenate(count))
+        at += len(scan.data)
+    raw = np.frombuffer(b"".join(s.data for s, _, _ in group) + bytes(16), np.uint8)
+    full = np.flatnonzero(raw[:-1] == 255)
+    after = raw[full + 1]
+    keep = np.ones(len(raw), bool)
+    keep[full[after == 0] + 1] = False
+    marks = full[(after >= 0xD0) & (after <= 0xD7)]
+    keep[marks] = keep[marks + 1] = False
+    place = np.cumsum(keep) - keep
+    edges = np.array(lost, np.int64)
+    begin = np.sort(np.concatenate([edges, marks + 2]))
+    # a scan whose markers aren't those expected keeps its first segments; segments that lack are empty
+    have = np.diff(np.append(np.searchsorted(begin, edges), len(begin)))
+    want = np.array([len(f) for f in first])
+    if (have != want).any():
+        rows = np.split(begin, np.cumsum(have)[:-1])
+        begin = np.concatenate([np.append(r[:w], np.full(max(0, w - len(r)), len(raw) - 16)) for r, w in zip(rows, want)])
+    raw = raw[keep].astype(_U)
+    half = np.zeros(len(raw) - 4, _U)
+    for i in range(4):
+        half |= raw[i : i + len(half)] << _U(24 - 8 * i)
+    window = half[:-4] << _U(32) | half[4:]
+    return _Lanes(window, place[begin] * 8, np.concatenate(blocks), np.concatenate(first), np.concatenate(count))
 
 
 def _peek(lanes: _Lanes, at: np.ndarray) -> np.ndarray:
@@ -482,33 +510,14 @@ def _ac_first_scan(lanes: _Lanes, scan: Scan, out: np.ndarray) -> None:
             at, block, left, k = at[live], block[live], left[live], k[live]
 
 
-def _ac_refine_scan(lanes: _Lanes, scan: Scan, out: np.ndarray) -> None:
-    """One coefficient of each lane a step: correct it, pass it, or set it."""
-    flat, lookup = out.reshape(-1), scan.ac.lookup  # type: ignore[union-attr]
+def _refine_block(lanes: _Lanes, scan: Scan, flat: np.ndarray, base: np.ndarray, at: np.ndarray, run: np.ndarray, value: np.ndarray, band: np.ndarray) -> None:
+    """A block of some lanes whose first symbol was read, a coefficient a step; positions and runs are updated."""
     lo, hi = scan.band
     one = 1 << scan.low
-    at, block, left = lanes.at.copy(), lanes.first.copy(), lanes.count.copy()
-    n = len(at)
-    k = np.full(n, lo)
-    run = np.full(n, -1)  # zeros to pass before the symbol is used up; -1: read a symbol
-    value = np.zeros(n, np.int64)  # to set then
-    band = np.zeros(n, np.int64)  # blocks of the end-of-band run, this one included
-    base = lanes.blocks[block] * 64
-    while n:
+    for k in range(lo, hi + 1):
         need = np.flatnonzero((run < 0) & (band == 0))
         if len(need):
-            word = _peek(lanes, at[need])
-            found = lookup[(word >> _U(48)).astype(np.int64)]
-            bits, symbol = found >> 8, found & 255
-            r, size = symbol >> 4, symbol & 15
-            ends = (size == 0) & (r < 15)
-            extra = np.where(ends, r, size)
-            raw = ((word << bits.astype(_U)) >> _U(1) >> (63 - extra).astype(_U)).astype(np.int64)
-            at[need] += bits + extra
-            band[need] = np.where(ends, (1 << r) + raw, 0)
-            run[need] = np.where(ends, -1, r)
-            value[need] = np.where(size > 0, np.where(raw > 0, one, -one), 0)
-            band[need[found == 0]] = 1 << 40  # no such code: the rest of the lane stays as it is
+            _refine_symbol(lanes, scan, at, run, value, band, need)
         place = base + k
         now = flat[place]
         old = now != 0
@@ -520,19 +529,60 @@ def _ac_refine_scan(lanes: _Lanes, scan: Scan, out: np.ndarray) -> None:
         hit = np.flatnonzero(passed & (run == 0))
         flat[place[hit]] = value[hit]
         run -= passed
-        k += 1
-        over = np.flatnonzero(k > hi)
-        if len(over):
-            k[over] = lo
-            run[over] = -1
-            band[over] = np.maximum(band[over] - 1, 0)
-            block[over] += 1
-            left[over] -= 1
-            if (left[over] <= 0).any():
-                live = left > 0
-                at, block, left, k, run, value, band = (x[live] for x in (at, block, left, k, run, value, band))
-                n = len(at)
-            base = lanes.blocks[np.minimum(block, len(lanes.blocks) - 1)] * 64
+
+
+def _refine_symbol(lanes: _Lanes, scan: Scan, at: np.ndarray, run: np.ndarray, value: np.ndarray, band: np.ndarray, need: np.ndarray) -> None:
+    one = 1 << scan.low
+    word = _peek(lanes, at[need])
+    found = scan.ac.lookup[(word >> _U(48)).astype(np.int64)]  # type: ignore[union-attr]
+    bits, symbol = found >> 8, found & 255
+    r, size = symbol >> 4, symbol & 15
+    ends = (size == 0) & (r < 15)
+    extra = np.where(ends, r, size)
+    raw = ((word << bits.astype(_U)) >> _U(1) >> (63 - extra).astype(_U)).astype(np.int64)
+    at[need] += bits + extra
+    band[need] = np.where(ends, (1 << r) + raw, 0)
+    run[need] = np.where(ends, -1, r)
+    value[need] = np.where(size > 0, np.where(raw > 0, one, -one), 0)
+    band[need[found == 0]] = 1 << 40  # no such code: the rest of the lane stays as it is
+
+
+def _ac_refine_scan(lanes: _Lanes, scan: Scan, out: np.ndarray) -> None:
+    """A block of each lane a step; where its band has ended, all its corrections at once."""
+    flat = out.reshape(-1)
+    lo, hi = scan.band
+    one = 1 << scan.low
+    n = len(lanes.at)
+    at, band = lanes.at.copy(), np.zeros(n, np.int64)  # blocks of the end-of-band run, this one included
+    for t in range(int(lanes.count.max())):
+        live = np.flatnonzero(lanes.count > t)
+        block = lanes.blocks[lanes.first[live] + t]
+        run, value = np.full(len(live), -1), np.zeros(len(live), np.int64)
+        own_at, own_band = at[live], band[live]
+        need = np.flatnonzero(own_band == 0)
+        if len(need):
+            _refine_symbol(lanes, scan, own_at, run, value, own_band, need)
+        done = np.flatnonzero(own_band > 0)
+        if len(done):
+            rows = block[done]
+            now = out[rows, lo : hi + 1]
+            old = now != 0
+            number = np.cumsum(old, 1) - 1
+            head, tail = _peek(lanes, own_at[done]) >> _U(32), _peek(lanes, own_at[done] + 32) >> _U(32)
+            if old.all():
+                both = np.concatenate([head.astype(">u4").view(np.uint8).reshape(-1, 4), tail.astype(">u4").view(np.uint8).reshape(-1, 4)], 1)
+                bit = np.unpackbits(both, axis=1)[:, : hi - lo + 1]
+            else:
+                word = np.where(number < 32, head[:, None], tail[:, None])
+                bit = ((word >> (31 - (number & 31)).astype(_U)) & _U(1)).astype(np.uint8) & old
+            out[rows, lo : hi + 1] = now + np.where(now > 0, one, -one) * bit
+            own_at[done] += number[:, -1] + 1
+        slow = np.flatnonzero(own_band == 0)
+        if len(slow):
+            parts = [own_at[slow], run[slow], value[slow], own_band[slow]]
+            _refine_block(lanes, scan, flat, block[slow] * 64, *parts)
+            own_at[slow], own_band[slow] = parts[0], parts[3]
+        at[live], band[live] = own_at, np.maximum(own_band - 1, 0)
 
 
 def coefficients(images: list[Image]) -> list[np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, langid, linededup, maxent, minhash, packing, quality, warc
+from . import bpe, htmltext, langid, linededup, maxent, media, minhash, packing, quality, warc
 
 #: Folder of the public tokenizers' vocabulary files; None: the installed package's.
 TOKENIZERS: str | None = None
@@ -34,6 +34,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = media.media_column(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return media.digests(files, keep=["doc_id", "n_bytes"])
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
@@ -70,6 +75,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
+    "op3_media_columns": op3_media_columns,
     "op4_html_extraction": op4_html_extraction,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language_id": op6_language_id,
