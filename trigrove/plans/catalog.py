@@ -1,14 +1,358 @@
-"""Every query of the search engine by name, with the SQL that it equals."""
+"""Every query of the search engine by name, with the SQL that it equals.
+
+A document's id is ``doc_id``, its name ``source/doc_id``, its content ``text``.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names, patterns
+from ..functions import trigrams as T
+from ..operators import fields, positions, search
+from ..operators.index import TrigramIndex, global_ids, indexed_text
+from ..sources import files
+from ..sources.segments import SegmentReader, SegmentWriter
+from ..streaming import changes
+
+QUERY, RARE, PATTERN, BARE_PATTERN = "ation", "Apache License", "th[aeiou]+nd", "[0-9]{3,}"
+FIELDS = {"url": 3.0, "html": 1.0}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("content"))
+
+
+def index(spark: SparkSession, sf_dir: str) -> TrigramIndex:
+    return TrigramIndex.build(documents(spark, sf_dir))
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/{names.segment_id()}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="trigrove-")
+
+
+def trigram_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir)
+    return d.select("file_id", F.explode(T.distinct_trigrams(F.col("content"))).alias("tri")).select("file_id", "tri", T.pack(F.col("tri")).alias("number"))
+
+
+def trigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).postings.agg(F.countDistinct("tri").alias("n_trigrams"), F.count("*").alias("n_postings"), F.countDistinct("file_id").alias("n_files"))
+
+
+def posting_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).postings
+
+
+def posting_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).lookup(T.of_query(QUERY)[0])
+
+
+def df_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).dictionary()
+
+
+def admission_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = indexed_text(F.col("content"), F.col("name"))
+    return documents(spark, sf_dir).select("file_id", T.admitted(body).alias("admitted"))
+
+
+def search_trigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = search.trigram_count_rank(index(spark, sf_dir), T.of_query(QUERY))
+    return search.best(ranked, 20).select("file_id", "matched")
+
+
+def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = search.bm25_rank(index(spark, sf_dir), T.of_query(QUERY))
+    return ranked.select("file_id", "matched", F.round("score", 6).alias("score"), F.col("rank_key").cast("long").alias("rank_key"))
+
+
+def search_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.Searcher(index(spark, sf_dir)).search(QUERY, 10)
+    return found.select("file_id", "name", F.col("rank_key").cast("long").alias("rank_key"))
+
+
+def search_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = search.SearchOptions(candidate_factor=None)
+    found = search.Searcher(index(spark, sf_dir), every).search("src12/", 1_000_000)
+    first = F.col("snippets")[0]
+    return found.select("file_id", "match_count", first["line_number"].alias("line_number"), first["line_content"].alias("line_content"), first["matches"][0]["start"].alias("start"), first["matches"][0]["end"].alias("end"))
+
+
+def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = search.SearchOptions(candidate_factor=None)
+    found = search.Searcher(index(spark, sf_dir), every).search(RARE, 1_000_000)
+    return found.select("file_id", F.explode("snippets").alias("s")).select("file_id", "s.line_number", "s.byte_offset", "s.line_content", F.size("s.matches").alias("n_matches"))
+
+
+def regex_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = ["hello", "hel.o", "foo[0-9]+bar", "abc(def|ghi)jkl", "hello+world", "foo\\.bar", "abc?", "abcd|wxyz"]
+    rows = [(p, t) for p in asked for t in patterns.required_trigrams(p)]
+    return spark.createDataFrame(rows, "pattern string, tri string")
+
+
+def search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = search.SearchOptions(candidate_factor=None)
+    return search.Searcher(index(spark, sf_dir), every).search_regex(PATTERN, 1_000_000).select("file_id", "matched")
+
+
+def regex_full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.Searcher(index(spark, sf_dir)).search_regex(BARE_PATTERN, 25).select("file_id")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> fields.FieldSearcher:
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("page_id").cast("string").alias("name"), "url", "html")
+    return fields.FieldSearcher(fields.FieldIndex.from_columns(pages, list(FIELDS)))
+
+
+def _field_rank(spark: SparkSession, sf_dir: str, query: str, boosts: dict[str, float]) -> DataFrame:
+    return _pages(spark, sf_dir).ranked(T.of_query(query), boosts).select("file_id", "matched", F.round("score", 6).alias("score"))
+
+
+def field_search_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _field_rank(spark, sf_dir, "example.net", FIELDS)
+
+
+def field_search_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _field_rank(spark, sf_dir, "blog.", {"url": 1.0})
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+def field_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).search("example.net", 20).select("file_id", F.round("score", 6).alias("score"))
+
+
+def field_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).index.lookup_all(b"htt".hex())
+
+
+def positional_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions.positions(documents(spark, sf_dir))
+
+
+def proximity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positions.positions(documents(spark, sf_dir)).where(F.col("tri").isin(b"ion".hex().upper(), b"wit".hex().upper()))
+    return positions.proximity_search(positions.positional_postings(found), b"ion".hex(), b"wit".hex(), 20)
+
+
+def proximity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positions.positions(documents(spark, sf_dir), compat=True).where(F.col("tri").isin(b"src".hex().upper(), b"the".hex().upper()))
+    return positions.proximity_pairs(positions.positional_postings(found), b"src".hex(), b"the".hex(), 40)
+
+
+def rune_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions.rune_maps(documents(spark, sf_dir)).select("file_id", F.posexplode("samples").alias("k", "byte_offset"))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir)
+    return d.select("file_id", F.col("name").alias("path"), "content")
+
+
+def _segmented(spark: SparkSession, sf_dir: str, steps: int = 2) -> SegmentWriter:
+    """Documents committed as segments by the remainder of their ids."""
+    writer = SegmentWriter(spark, _folder(spark))
+    rows = _paths(spark, sf_dir)
+    for k in range(steps):
+        writer.apply(rows.where(F.pmod("file_id", F.lit(steps)) == k).select("path", "content"))
+    return writer
+
+
+def segment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    writer = _segmented(spark, sf_dir)
+    return SegmentReader.open(spark, writer.path).lookup(b"ion".hex()).select("file_id", "global_id", "segment_idx")
+
+
+def segment_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    writer = _segmented(spark, sf_dir)
+    paths = _paths(spark, sf_dir)
+    writer.apply(paths.where("false").select("path", "content"), paths.where("file_id % 7 = 0").select("path"))
+    reader = SegmentReader.open(spark, writer.path)
+    return reader.docs().select("path")
+
+
+def segment_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    writer = _segmented(spark, sf_dir)
+    paths = _paths(spark, sf_dir)
+    writer.apply(paths.where("file_id % 5 = 0").select("path", F.concat(F.lit("updated\n"), "content").alias("content")))
+    return SegmentReader.open(spark, writer.path).docs().select("path", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+def segment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    writer = _segmented(spark, sf_dir, 3)
+    paths = _paths(spark, sf_dir)
+    writer.apply(paths.where("false").select("path", "content"), paths.where("file_id % 7 = 0").select("path"))
+    meta = SegmentReader.open(spark, writer.path).meta
+    writer.merge([s["id"] for s in meta["segments"][:2]])
+    return SegmentReader.open(spark, writer.path).segments().select(F.col("ord").cast("long").alias("ord"), "num_docs", "num_deleted_docs")
+
+
+def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    writer = _segmented(spark, sf_dir)
+    paths = _paths(spark, sf_dir)
+    writer.apply(paths.where("false").select("path", "content"), paths.where("file_id % 7 = 0").select("path"))
+    s = SegmentReader.open(spark, writer.path).segments()
+    return s.agg(F.count("*").alias("n_segments"), F.sum("num_docs").alias("total_docs"), F.sum(F.col("num_docs") - F.col("num_deleted_docs")).alias("live_docs"))
+
+
+def global_id_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("num_docs"))
+    return global_ids(sizes.withColumnRenamed("source", "ord")).select(F.col("ord").alias("segment"), "num_docs", "base")
+
+
+def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _paths(spark, sf_dir).select("path", "file_id", F.octet_length("content").cast("long").alias("size"))
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    old = docs.where("file_id % 5 != 0").select("path", stamp.alias("mtime"), "size")
+    new = docs.where("file_id % 7 != 0").select("path", stamp.alias("mtime"), F.when(F.col("file_id") % 11 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
+    return files.changes(old, new)
+
+
+def manager_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", names.sanitised_column(F.concat(F.col("p_name"), F.lit(" Index!"))).alias("clean"))
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as a stream of files, upserted in micro-batches, then read from the index."""
+    folder = _folder(spark)
+    turns = _table(spark, sf_dir, "conversations")
+    rows = turns.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.col("text").alias("content"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("mtime"))
+    rows.write.parquet(f"{folder}/in")
+    writer = SegmentWriter(spark, f"{folder}/index")
+    changes.ingest(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), writer, f"{folder}/checkpoint", window=None).awaitTermination()
+    return SegmentReader.open(spark, writer.path).docs().select("path", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        trigram_extract, trigram_count, posting_build, posting_lookup, df_dictionary, admission_filter, search_trigram_count, search_bm25, search_verified, search_name_match, search_snippets,
+        regex_trigrams, search_regex, regex_full_scan, field_search_boost, field_search_single, field_search_all, field_lookup_all, positional_postings, proximity_search, proximity_pairs, rune_sample,
+        segment_lookup, segment_delete, segment_upsert, segment_merge, segment_counts, change_detect, manager_sanitize, stream_ingest,
+    )
+} | {"global_ids": global_id_bases}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """BM25-ranked, verified substring search with snippets."""
+    return search.Searcher(index(spark, sf_dir)).search(QUERY, 10)
+
+
+# --- SQL
+
+
+def _tris(text: str) -> str:
+    """Trigrams of a text, from non-overlapping cuts at its first three bytes."""
+    h = f"hex(encode({text}))"
+    return f"list_concat(list_concat(regexp_extract_all({h}, '.{{6}}'), regexp_extract_all(substr({h}, 3), '.{{6}}')), regexp_extract_all(substr({h}, 5), '.{{6}}'))"
+
+
+def _positions(text: str, source: str) -> str:
+    """``tri, file_id, byte_offset`` rows of a text."""
+    h = f"hex(encode({text}))"
+    parts = [f"select file_id, unnest(regexp_extract_all(substr({h}, {2 * k + 1}), '.{{6}}')) as tri, 3 * (generate_subscripts(regexp_extract_all(substr({h}, {2 * k + 1}), '.{{6}}'), 1) - 1) + {k} as byte_offset from {source}" for k in range(3)]
+    return " union all ".join(parts)
+
+
+_DOCS = "d as (select doc_id as file_id, concat(source, '/', doc_id) as name, text as content, concat(source, '/', doc_id) || chr(10) || text as body from documents where text is not null)"
+_FIT = (
+    "(instr(body, chr(0)) = 0 and strlen(body) <= 1073741824"
+    " and coalesce(list_max(list_transform(string_split(body, chr(10))[:-2], lambda x: strlen(x))), 0) < 2000"
+    " and strlen(string_split(body, chr(10))[-1]) <= 2000"
+    f" and len(list_distinct({_tris('body')})) <= 20000)"
+)
+_INDEX = f"{_DOCS}, a as (select * from d where {_FIT}), p as (select file_id, unnest(list_distinct({_tris('body')})) as tri from a)"
+_ASKED = "', '".join(T.of_query(QUERY))
+_BM25 = f"""{_INDEX}, hit as (select * from p where tri in ('{_ASKED}')),
+    f as (select tri, count(*) as df, (select count(*) from a) as n from hit group by tri),
+    w as (select tri, ln((n - df + 0.5::double) / (df + 0.5::double) + 1) as idf from f),
+    r as (select file_id, count(*) as matched, sum(idf) * 2.2::double / (1 + 1.2::double * (0.25::double + 0.75::double * count(*) / (select count(*) from f))) as score from hit join w using (tri) group by file_id),
+    k as (select *, cast(floor(round(score * 1000, 6)) as bigint) as rank_key from r)"""
+_PAGES = f"""pg as (select page_id as file_id, url, html from pages),
+    fd as (select file_id, 0 as field_id, url as body from pg where url is not null union all select file_id, 1, html from pg where html is not null),
+    fp as (select file_id, field_id, unnest(list_distinct({_tris('body')})) as tri from fd where {_FIT})"""
+
+
+def _field_sql(query: str, weight: str, which: str) -> str:
+    asked = "', '".join(T.of_query(query))
+    return f"""{_PAGES}, hit as (select * from fp where tri in ('{asked}') and field_id in ({which})),
+    f as (select tri, field_id, count(*) as df, (select count(*) from pg) as n from hit group by all),
+    w as (select tri, field_id, {weight} * ln((n - df + 0.5::double) / (df + 0.5::double) + 1) as w from f),
+    r as (select file_id, count(*) as matched, sum(w) as score from hit join w using (tri, field_id) group by file_id)"""
+
+
+_SEGMENTS = f"""{_DOCS}, a as (select *, file_id % 2 as seg from d where {_FIT}),
+    n as (select *, row_number() over (partition by seg order by name) - 1 as local_id, count(*) over (partition by seg) as num_docs from a)"""
+
+ORACLES: dict[str, str] = {
+    "trigram_extract": f"with d as (select doc_id as file_id, unnest(list_distinct({_tris('text')})) as tri from documents) select file_id, tri, cast(('0x' || tri)::bigint as integer) as number from d",
+    "trigram_count": f"with {_INDEX} select count(distinct tri) as n_trigrams, count(*) as n_postings, count(distinct file_id) as n_files from p",
+    "posting_build": f"with {_INDEX} select tri, file_id from p",
+    "posting_lookup": f"with {_INDEX} select file_id from p where tri = '{T.of_query(QUERY)[0]}'",
+    "df_dictionary": f"with {_INDEX} select tri, count(*) as df from p group by tri",
+    "admission_filter": f"with {_DOCS} select file_id, {_FIT} as admitted from d",
+    "search_trigram_count": f"with {_INDEX} select file_id, count(*) as matched from p where tri in ('{_ASKED}') group by file_id order by matched desc, file_id limit 20",
+    "search_bm25": f"with {_BM25} select file_id, matched, round(score, 6) as score, rank_key from k",
+    "search_verified": f"""with {_BM25}, c as (select * from k order by rank_key desc, file_id limit 20)
+        select c.file_id, a.name, c.rank_key from c join a using (file_id) where contains(a.name, '{QUERY}') or contains(a.content, '{QUERY}') order by c.rank_key desc, c.file_id limit 10""",
+    "search_name_match": f"""with {_INDEX} select file_id, 1::integer as match_count, 0::integer as line_number, name as line_content, 0::integer as start, 6::integer as "end"
+        from a where contains(name, 'src12/')""",
+    "search_snippets": f"""with {_INDEX},
+        l0 as (select file_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as line_number, content from a where contains(content, '{RARE}')),
+        l as (select *, coalesce(sum(strlen(line) + 1) over (partition by file_id order by line_number rows between unbounded preceding and 1 preceding), 0) as byte_offset,
+                     (len(line) - len(replace(line, '{RARE}', ''))) // {len(RARE)} as n_matches, max(line_number) over (partition by file_id) as last_line from l0),
+        m as (select * from l where not (line_number = last_line and line = '' and last_line > 1)),
+        c as (select distinct m.file_id, m.line_number, m.byte_offset, m.n_matches, m.last_line, case when m.line_number = m.last_line - 1 and right(m.content, 1) = chr(10) then m.line || chr(10) else m.line end as line_content
+              from m join l h on h.file_id = m.file_id and h.n_matches > 0 and abs(h.line_number - m.line_number) <= 2),
+        r as (select *, row_number() over (partition by file_id order by line_number) as rn from c)
+        select file_id, line_number::integer as line_number, byte_offset::bigint as byte_offset, line_content, n_matches::integer as n_matches from r where rn <= 10""",
+    "search_regex": f"""with {_INDEX}, h as (select file_id, count(*) as matched from p where tri in ('{"', '".join(patterns.required_trigrams(PATTERN))}') group by file_id)
+        select file_id, matched from h join a using (file_id) where regexp_matches(content, '{PATTERN}')"""
+    if patterns.required_trigrams(PATTERN)
+    else f"with {_INDEX} select file_id, 0::bigint as matched from a where regexp_matches(content, '{PATTERN}')",
+    "regex_full_scan": f"with {_INDEX} select file_id from a where regexp_matches(content, '{BARE_PATTERN}') order by file_id limit 25",
+    "field_search_boost": f"with {_field_sql('example.net', 'case field_id when 0 then 3.0::double else 1.0::double end', '0, 1')} select file_id, matched, round(score, 6) as score from r",
+    "field_search_single": f"with {_field_sql('blog.', '1.0::double', '0')} select file_id, matched, round(score, 6) as score from r",
+    "field_search_all": f"""with {_field_sql('example.net', '1.0::double', '0, 1')}, c as (select * from r order by round(score, 9) desc, file_id limit 40)
+        select file_id, round(score, 6) as score from c join pg using (file_id) where contains(url || chr(10) || html, 'example.net') order by round(score, 9) desc, file_id limit 20""",
+    "field_lookup_all": f"with {_PAGES} select field_id::integer as field_id, count(*) as df from fp where tri = '{b'htt'.hex().upper()}' group by field_id",
+    "positional_postings": f"""with {_DOCS}, q as ({_positions('body', 'd')}),
+        ch as (select file_id, i, strlen(substr(body, i + 1, 1)) as n from (select file_id, body, unnest(range(0, len(body))) as i from d where strlen(body) > len(body)))
+        select q.tri, q.file_id, q.byte_offset::integer as byte_offset,
+               (case when strlen(d.body) = len(d.body) then q.byte_offset else c.i end)::integer as rune_offset
+        from q join d using (file_id)
+        left join (select file_id, i, unnest(range(b, (b + n)::bigint)) as byte_offset from (select *, (sum(n) over (partition by file_id order by i) - n)::bigint as b from ch)) c on c.file_id = q.file_id and c.byte_offset = q.byte_offset""",
+    "proximity_search": f"""with {_DOCS}, q as ({_positions('body', 'd')}), h as (select q.*, len(decode(encode(body)[1:byte_offset])) as rune from q join d using (file_id) where tri in ('696F6E', '776974'))
+        select distinct x.file_id from h x join h y on x.file_id = y.file_id and x.tri = '696F6E' and y.tri = '776974' and abs(x.rune - y.rune) <= 20""",
+    "proximity_pairs": f"""with {_DOCS}, s as (select file_id, regexp_extract(body, '^[\\x00-\\x7F]*') as body from d), q as ({_positions('body', 's')})
+        select x.file_id, x.byte_offset::integer as rune_a, y.byte_offset::integer as rune_b from q x join q y on x.file_id = y.file_id and x.tri = '737263' and y.tri = '746865' and abs(x.byte_offset - y.byte_offset) <= 40""",
+    "rune_sample": f"""with {_DOCS}, s as (select file_id, body, unnest(range(0, (len(body) - 1) // 100 + 1)) as k from d where len(body) > 0)
+        select file_id, k::integer as k, strlen(left(body, 100 * k))::integer as byte_offset from s""",
+    "segment_lookup": f"with {_SEGMENTS} select local_id as file_id, local_id + case when seg = 1 then (select count(*) from a where seg = 0) else 0 end as global_id, seg::integer as segment_idx from n where list_contains({_tris('body')}, '696F6E')",
+    "segment_delete": f"with {_SEGMENTS} select name as path from a where file_id % 7 <> 0",
+    "segment_upsert": f"""with {_SEGMENTS}, u as (select file_id, name, 'updated' || chr(10) || content as content, name || chr(10) || 'updated' || chr(10) || content as body from d where file_id % 5 = 0)
+        select name as path, strlen(content) as n_bytes from a where file_id % 5 <> 0 union all select name, strlen(content) from u where {_FIT}""",
+    "segment_merge": f"""with {_DOCS}, a as (select *, file_id % 3 as seg from d where {_FIT})
+        select 0::bigint as ord, count(*) filter (seg = 2) as num_docs, count(*) filter (seg = 2 and file_id % 7 = 0) as num_deleted_docs from a
+        union all select 1, count(*) filter (seg < 2 and file_id % 7 <> 0), 0 from a""",
+    "segment_counts": f"with {_SEGMENTS} select 2::bigint as n_segments, count(*) as total_docs, count(*) filter (file_id % 7 <> 0) as live_docs from a",
+    "change_detect": """with d as (select doc_id, concat(source, '/', doc_id) as path from documents)
+        select path, case when doc_id % 5 = 0 then 'added' when doc_id % 7 = 0 then 'deleted' else 'modified' end as change_type from d
+        where (doc_id % 5 = 0 and doc_id % 7 <> 0) or (doc_id % 5 <> 0 and doc_id % 7 = 0) or (doc_id % 5 <> 0 and doc_id % 7 <> 0 and doc_id % 11 = 0)""",
+    "manager_sanitize": "select p_partkey, nullif(trim(regexp_replace(lower(p_name || ' Index!'), '[^a-z0-9-]', '-', 'g'), '-'), '') as clean from part",
+    "stream_ingest": "select concat(conv_id, '/', turn) as path, strlen(text) as n_bytes from conversations where text is not null",
+    "global_ids": "with s as (select source, count(*) as num_docs from documents group by source) select source as segment, num_docs, coalesce(sum(num_docs) over (order by source rows between unbounded preceding and 1 preceding), 0)::bigint as base from s",
+}
