@@ -213,11 +213,11 @@ class Searcher:
 
 def valid_pattern(docs: DataFrame, pattern: str) -> bool:
     """Whether both engines that apply the pattern accept it."""
-    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
 
     try:
         docs.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
         re.compile(pattern)
-    except (Py4JJavaError, re.error):
+    except (IllegalArgumentException, re.error):
         return False
     return True
