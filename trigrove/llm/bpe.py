@@ -153,22 +153,24 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     """``ids`` of each row's whole text, with the columns ``keep``."""
     carried = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
     types = dict(docs.dtypes)
+    safe = [f"__c{i}" for i in range(len(carried))]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in X.texts(batch.column(batch.num_columns - 1)):
                 ids, bounds = loaded(path).encoder.rows(part)
                 own = batch.slice(part.first, len(bounds) - 1)
-                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))], [*carried, "ids"])
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))], [*safe, "ids"])
 
-    schema = ", ".join([f"`{c}` {types[c]}" for c in carried] + ["ids array<int>"])
-    return docs.select(*(F.col(f"`{c}`") for c in carried), F.col(text).alias("__text")).mapInArrow(apply, schema)
+    schema = ", ".join([f"{s} {types[c]}" for s, c in zip(safe, carried)] + ["ids array<int>"])
+    return docs.select(*(F.col(f"`{c}`").alias(s) for s, c in zip(safe, carried)), F.col(text).alias("__text")).mapInArrow(apply, schema).toDF(*carried, "ids")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """The frame with ``decoded``, the text of its ids, instead of them."""
     carried = [c for c in encoded.columns if c not in (ids, "decoded")]
     types = dict(encoded.dtypes)
+    safe = [f"__c{i}" for i in range(len(carried))]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,10 +180,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             body, ends = loaded(path).decode(flat)
             at = np.concatenate([[0], ends])[bounds - bounds[0]]
             text = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body.tobytes()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text.cast(pa.string())], [*carried, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text.cast(pa.string())], [*safe, "decoded"])
 
-    schema = ", ".join([f"`{c}` {types[c]}" for c in carried] + ["decoded string"])
-    return encoded.select(*(F.col(f"`{c}`") for c in carried), F.coalesce(ids, F.expr("array()").cast("array<int>")).alias("__ids")).mapInArrow(apply, schema)
+    schema = ", ".join([f"{s} {types[c]}" for s, c in zip(safe, carried)] + ["decoded string"])
+    return encoded.select(*(F.col(f"`{c}`").alias(s) for s, c in zip(safe, carried)), F.coalesce(F.col(ids), F.expr("array()").cast("array<int>")).alias("__ids")).mapInArrow(apply, schema).toDF(*carried, "decoded")
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:

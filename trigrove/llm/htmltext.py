@@ -364,6 +364,7 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None)
     """``text`` and ``n_chars`` of each page, with the columns ``keep``."""
     carried = [c for c in ([c for c in pages.columns if c != html] if keep is None else keep) if c not in ("text", "n_chars")]
     types = dict(pages.dtypes)
+    safe = [f"__c{i}" for i in range(len(carried))]
     trees = model()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +372,7 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None)
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 found = main_texts(part.column(part.num_columns - 1).to_pylist(), trees)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], [*carried, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], [*safe, "text", "n_chars"])
 
-    schema = ", ".join([f"`{c}` {types[c]}" for c in carried] + ["text string", "n_chars long"])
-    return pages.select(*(F.col(f"`{c}`") for c in carried), F.col(html).alias("__html")).mapInArrow(apply, schema)
+    schema = ", ".join([f"{s} {types[c]}" for s, c in zip(safe, carried)] + ["text string", "n_chars long"])
+    return pages.select(*(F.col(f"`{c}`").alias(s) for s, c in zip(safe, carried)), F.col(html).alias("__html")).mapInArrow(apply, schema).toDF(*carried, "text", "n_chars")

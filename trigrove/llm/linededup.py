@@ -170,7 +170,8 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_wor
     added = ["n_lines", "n_removed"]
     carried = [c for c in docs.columns if c not in (text, *added)]
     types = dict(docs.dtypes)
-    out = [*carried, text, *added]
+    safe = [f"__c{i}" for i in range(len(carried))]
+    out = [*safe, "__text", *added]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,8 +186,8 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_wor
                     body[i], _, removed[i] = _cut(body[i], runs[i] or [], d[i] > first[i], min_words)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(body, pa.string()), pa.array(plain), pa.array(removed)], out)
 
-    keyed = docs.select(*(F.col(f"`{c}`") for c in carried), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("__d"), F.col(text).alias("__text"), *(c.alias(f"__t{i}") for i, c in enumerate(text_key(text))))
+    keyed = docs.select(*(F.col(f"`{c}`").alias(s) for s, c in zip(safe, carried)), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("__d"), F.col(text).alias("__text"), *(c.alias(f"__t{i}") for i, c in enumerate(text_key(text))))
     info = info.select(F.col("t1").alias("__t0"), F.col("t2").alias("__t1"), F.col("first_d").alias("__first"), F.col("runs").alias("__runs"))
-    joined = keyed.join(info, ["__t0", "__t1"], "left").select(*(F.col(f"`{c}`") for c in carried), "__d", "__first", "__runs", "__text")
-    schema = ", ".join([f"`{c}` {types[c]}" for c in carried] + [f"`{text}` string", "n_lines long", "n_removed long"])
-    return joined.mapInArrow(apply, schema)
+    joined = keyed.join(info, ["__t0", "__t1"], "left").select(*safe, "__d", "__first", "__runs", "__text")
+    schema = ", ".join([f"{s} {types[c]}" for s, c in zip(safe, carried)] + ["__text string", "n_lines long", "n_removed long"])
+    return joined.mapInArrow(apply, schema).toDF(*carried, text, *added)

@@ -285,6 +285,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     carried = [c for c in (docs.columns if keep is None else keep) if c not in names]
     types = dict(docs.dtypes)
+    safe = [f"__c{i}" for i in range(len(carried))]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = ["__uid", "n_tokens", "__known", "__base", "__score", "__w", "__n"]
 
@@ -319,20 +320,20 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
                         pa.ListArray.from_arrays(ends, pa.array(k[new].view(np.int64))),
                         pa.ListArray.from_arrays(ends, pa.array(size.astype(np.int32))),
                     ],
-                    [*carried, *extra],
+                    [*safe, *extra],
                 )
                 uid += n
 
-    schema = ", ".join([f"`{c}` {types[c]}" for c in carried] + ["__uid long, n_tokens long, __known long, __base double, __score double, __w array<long>, __n array<int>"])
+    schema = ", ".join([f"{s} {types[c]}" for s, c in zip(safe, carried)] + ["__uid long, n_tokens long, __known long, __base double, __score double, __w array<long>, __n array<int>"])
     # written, so that the row numbers that the join below returns to are the same ones
-    rows = written(docs.select(*(F.col(f"`{c}`") for c in carried), F.col(text).alias("__text")).mapInArrow(apply, schema), "maxent-rows")
+    rows = written(docs.select(*(F.col(f"`{c}`").alias(s) for s, c in zip(safe, carried)), F.col(text).alias("__text")).mapInArrow(apply, schema), "maxent-rows")
     pair = rows.select("__uid", F.explode(F.arrays_zip("__w", "__n")).alias("x")).select("__uid", F.col("x.__w").alias("w"), F.col("x.__n").alias("k"))
     # words beyond the top are rare by definition, so no key of this join is hot
     found = pair.join(counts, "w").groupBy("__uid").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("t"), F.sum("k").alias("u"))
     joined = rows.drop("__w", "__n").join(found, "__uid", "left")
     add = F.coalesce("t", F.lit(0.0))
     return joined.select(
-        *(F.col(f"`{c}`") for c in carried),
+        *(F.col(s).alias(c) for s, c in zip(safe, carried)),
         "n_tokens",
         (F.col("__known") + F.coalesce("u", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),

@@ -82,6 +82,7 @@ def media_column(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     """``n_bytes`` and ``media``, the stored file of each text, with the columns ``keep``."""
     carried = [c for c in (docs.columns if keep is None else keep) if c not in ("n_bytes", "media")]
     types = dict(docs.dtypes)
+    safe = [f"__c{i}" for i in range(len(carried))]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,16 +90,17 @@ def media_column(docs: DataFrame, text: str = "text", keep: list[str] | None = N
                 raw, at = part.data.tobytes(), part.offsets.tolist()
                 payloads = [(b := raw[x:y]) + bytes(-len(b) % 64 or (0 if b else 64)) for x, y in zip(at, at[1:])]
                 own = batch.slice(part.first, len(payloads))
-                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(np.diff(part.offsets)), pa.array(stored(payloads), pa.binary())], [*carried, "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(np.diff(part.offsets)), pa.array(stored(payloads), pa.binary())], [*safe, "n_bytes", "media"])
 
-    schema = ", ".join([f"`{c}` {types[c]}" for c in carried] + ["n_bytes long", "media binary"])
-    return docs.select(*(F.col(f"`{c}`") for c in carried), F.col(text).alias("__text")).mapInArrow(apply, schema)
+    schema = ", ".join([f"{s} {types[c]}" for s, c in zip(safe, carried)] + ["n_bytes long", "media binary"])
+    return docs.select(*(F.col(f"`{c}`").alias(s) for s, c in zip(safe, carried)), F.col(text).alias("__text")).mapInArrow(apply, schema).toDF(*carried, "n_bytes", "media")
 
 
 def rgb_tensors(files: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """``height, width, rgb`` (row-major bytes) of each stored file; null files give nulls."""
     carried = [c for c in (files.columns if keep is None else keep) if c not in (media, "height", "width", "rgb")]
     types = dict(files.dtypes)
+    safe = [f"__c{i}" for i in range(len(carried))]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,10 +111,10 @@ def rgb_tensors(files: DataFrame, media: str = "media", keep: list[str] | None =
                 rows = [None if f is None else next(tensors) for f in own]
                 head = batch.slice(run.start, len(own)).columns[:-1]
                 size = [[None if t is None else t.shape[i] for t in rows] for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(size[0], pa.int32()), pa.array(size[1], pa.int32()), pa.array([None if t is None else t.tobytes() for t in rows], pa.binary())], [*carried, "height", "width", "rgb"])
+                yield pa.RecordBatch.from_arrays([*head, pa.array(size[0], pa.int32()), pa.array(size[1], pa.int32()), pa.array([None if t is None else t.tobytes() for t in rows], pa.binary())], [*safe, "height", "width", "rgb"])
 
-    schema = ", ".join([f"`{c}` {types[c]}" for c in carried] + ["height int, width int, rgb binary"])
-    return files.select(*(F.col(f"`{c}`") for c in carried), F.col(media).alias("__media")).mapInArrow(apply, schema)
+    schema = ", ".join([f"{s} {types[c]}" for s, c in zip(safe, carried)] + ["height int, width int, rgb binary"])
+    return files.select(*(F.col(f"`{c}`").alias(s) for s, c in zip(safe, carried)), F.col(media).alias("__media")).mapInArrow(apply, schema).toDF(*carried, "height", "width", "rgb")
 
 
 def digests(files: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
@@ -120,6 +122,7 @@ def digests(files: DataFrame, media: str = "media", keep: list[str] | None = Non
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     carried = [c for c in (files.columns if keep is None else keep) if c not in (media, *names)]
     types = dict(files.dtypes)
+    safe = [f"__c{i}" for i in range(len(carried))]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +138,7 @@ def digests(files: DataFrame, media: str = "media", keep: list[str] | None = Non
                     pa.array([hashlib.sha256(f).hexdigest() for f in own]),
                     pa.array([feature(t) for t in tensors]),
                 ]
-                yield pa.RecordBatch.from_arrays([*batch.slice(run.start, len(own)).columns[:-1], *values], [*carried, *names])
+                yield pa.RecordBatch.from_arrays([*batch.slice(run.start, len(own)).columns[:-1], *values], [*safe, *names])
 
-    schema = ", ".join([f"`{c}` {types[c]}" for c in carried] + ["payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"])
-    return files.select(*(F.col(f"`{c}`") for c in carried), F.col(media).alias("__media")).mapInArrow(apply, schema)
+    schema = ", ".join([f"{s} {types[c]}" for s, c in zip(safe, carried)] + ["payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"])
+    return files.select(*(F.col(f"`{c}`").alias(s) for s, c in zip(safe, carried)), F.col(media).alias("__media")).mapInArrow(apply, schema).toDF(*carried, *names)
