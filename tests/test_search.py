@@ -161,3 +161,41 @@ def test_results_are_the_documents_that_hold_the_query(spark):
     for q in ("cat", "cath", "the", "dog", "t\nc"):
         assert sorted(names(Searcher(ix, SearchOptions(candidate_factor=None)).search(q, 100))) == sorted(n for n, t in docs.items() if q in t)
     assert T.of_query("cat") == ["636174"]
+
+
+def test_writers(spark, tmp_path):
+    from trigrove import version
+    from trigrove.operators.search import find_line
+    from trigrove.operators.writers import FieldIndexWriter, IndexWriter, PositionalIndexWriter
+
+    w = IndexWriter(spark)
+    for name, content in (("a", "hello"), ("bad", "x\0y"), ("b", "help")):
+        w.add_file(name, content)
+    assert [(r["file_id"], r["name"]) for r in w.finish(f"file://{tmp_path}/v1").docs.orderBy("file_id").collect()] == [(0, "a"), (1, "b")]
+    p = PositionalIndexWriter(spark)
+    for name, content in (("test.txt", "abc abc def"), ("none", "x\0y"), ("u", "hello 世界" + "é" * 120)):
+        p.add_file(name, content)
+    ix = p.finish(f"file://{tmp_path}/v2")
+    assert ix.file_count == 3 and ix.trigram_count > 5
+    assert [x["byte_offset"] for x in ix.lookup(b"abc".hex()).first()["positions"]] == [9, 13]
+    assert ix.rune_map(2) == [0, 100 + 4 + 90] and ix.rune_map(9) is None
+    assert [tuple(r) for r in ix.counts().where("tri = '616263'").collect()] == [("616263", 1, 2)]
+    assert [r[0] for r in ix.proximity_search(b"abc".hex(), b"def".hex(), 4).collect()] == [0]
+    f = FieldIndexWriter(spark)
+    assert (f.add_field("title"), f.add_field("body"), f.add_field("title")) == (0, 1, 0)
+    f.add_file_field("doc", 0, "hello")
+    f.add_file_field("doc", 1, "world")
+    with pytest.raises(ValueError):
+        f.add_file_field("doc", 2, "x")
+    fx = f.finish(f"file://{tmp_path}/f1")
+    assert fx.file_count == 1 and fx.pair_count == 6
+    assert [find_line([0, 5, 9], k) for k in (0, 4, 5, 8, 9, 100)] == [0, 0, 1, 1, 2, 2] and version()
+
+
+def test_driver_side_positions():
+    from trigrove.operators.positions import extract_positions, rune_to_byte_offset
+
+    assert extract_positions(0, "aé字".encode())[:3] == [("61C3A9", 0, 0), ("C3A9E5", 1, 1), ("A9E5AD", 2, 1)]
+    with pytest.raises(ValueError):
+        extract_positions(0, b"a\0b")
+    assert [rune_to_byte_offset("aé字".encode(), k) for k in range(4)] == [0, 1, 3, 6]

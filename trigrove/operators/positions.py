@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import trigrams as T
+from ..sources import store
 from .index import indexed_text
 
+FORMAT = "trigrove-positions-1"
+
 
 def _runes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Byte and character offsets of each trigram of each text, from one pass over its bytes."""
@@ -74,3 +79,80 @@ def proximity_pairs(postings: DataFrame, tri_a: str, tri_b: str, k: int) -> Data
 def rune_maps(docs: DataFrame) -> DataFrame:
     """``file_id, samples``: byte offset of every 100th character of the indexed text."""
     return docs.select("file_id", T.rune_samples(indexed_text(F.col("content"), F.coalesce("name", F.lit("")))).alias("samples"))
+
+
+def extract_positions(file_id: int, data: bytes) -> list[tuple[str, int, int]]:
+    """``(tri, byte_offset, rune_offset)`` of one text on the driver, under the admission rules of an indexed text."""
+    if b"\0" in data:
+        raise ValueError("the text holds a zero byte")
+    if max(map(len, data.split(b"\n"))) > T.MAX_LINE:
+        raise ValueError("a line of the text is too long")
+    out, rune = [], -1
+    for i in range(len(data) - 2):
+        rune += data[i] & 0xC0 != 0x80
+        out.append((data[i : i + 3].hex().upper(), i, rune))
+    if len({t for t, _, _ in out}) > T.MAX_TRIGRAMS:
+        raise ValueError("the text has too many trigrams")
+    return out
+
+
+def rune_to_byte_offset(data: bytes, rune: int) -> int:
+    """Byte offset of a character of a text; the text's length for characters beyond its end."""
+    starts = [i for i, b in enumerate(data) if b & 0xC0 != 0x80]
+    return starts[rune] if rune < len(starts) else len(data)
+
+
+@dataclass
+class PositionalIndex:
+    """``docs(file_id, name)``, ``postings(tri, file_id, positions)`` and ``maps(file_id, samples)``."""
+
+    docs: DataFrame
+    postings: DataFrame
+    maps: DataFrame
+
+    @classmethod
+    def build(cls, docs: DataFrame, compat: bool = False) -> PositionalIndex:
+        """Index ``docs(file_id, name, content)``; every document keeps its name, whether or not it has postings."""
+        return cls(docs.select("file_id", "name"), positional_postings(positions(docs, compat)), rune_maps(docs))
+
+    def write(self, path: str) -> PositionalIndex:
+        spark = self.docs.sparkSession
+        self.postings.repartitionByRange("tri", "file_id").sortWithinPartitions("tri", "file_id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        self.maps.write.mode("overwrite").parquet(f"{path}/maps")
+        store.write_json(spark, f"{path}/positions.json", {"format": FORMAT})
+        return self.open(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> PositionalIndex:
+        meta = store.read_json(spark, f"{path}/positions.json")
+        if meta is None or meta.get("format") != FORMAT:
+            raise ValueError(f"no positional index of format {FORMAT} at {path}")
+        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("docs", "postings", "maps")))
+
+    @cached_property
+    def file_count(self) -> int:
+        return self.docs.count()
+
+    @cached_property
+    def trigram_count(self) -> int:
+        return self.postings.select("tri").distinct().count()
+
+    def lookup(self, tri: str) -> DataFrame:
+        """``file_id, positions`` of the documents with a trigram."""
+        return self.postings.where(F.col("tri") == tri.upper()).select("file_id", "positions")
+
+    def counts(self) -> DataFrame:
+        """``tri, files, positions``: how many documents and places each trigram has."""
+        return self.postings.groupBy("tri").agg(F.count("*").alias("files"), F.sum(F.size("positions")).alias("positions"))
+
+    def names(self, ids: DataFrame) -> DataFrame:
+        return ids.join(self.docs, "file_id", "left")
+
+    def rune_map(self, file_id: int) -> list[int] | None:
+        """Byte offsets of every 100th character of a document; None for an unknown one."""
+        row = self.maps.where(F.col("file_id") == file_id).select("samples").first()
+        return row and row["samples"]
+
+    def proximity_search(self, tri_a: str, tri_b: str, k: int) -> DataFrame:
+        return proximity_search(self.postings, tri_a, tri_b, k)

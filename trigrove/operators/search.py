@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -85,13 +86,16 @@ def line_starts(data: bytes) -> list[int]:
     return [0, *(m.end() for m in re.finditer(b"\n", data) if m.end() < len(data))]
 
 
+def find_line(starts: list[int], offset: int) -> int:
+    """Index of the line that an offset is in: the last one that starts at or before it."""
+    return max(0, bisect_right(starts, offset) - 1)
+
+
 def _lines_around(data: bytes, spans: list[tuple[int, int]], context: int, most: int) -> list[dict]:
     starts = line_starts(data)
     by_line: dict[int, list[dict]] = {}
-    at = 0
-    for lo, hi in spans:  # ascending
-        while at + 1 < len(starts) and starts[at + 1] <= lo:
-            at += 1
+    for lo, hi in spans:
+        at = find_line(starts, lo)
         by_line.setdefault(at, []).append({"start": lo - starts[at], "end": hi - starts[at]})
     shown = sorted({k for line in by_line for k in range(max(0, line - context), min(len(starts) - 1, line + context) + 1)})
     out = []
