@@ -3,8 +3,12 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
+settings.register_profile("steady", deadline=None)
+settings.load_profile("steady")
+
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
