@@ -86,10 +86,24 @@ class Words(NamedTuple):
 
 
 def segment_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, table: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hashes of byte segments: equal bytes, equal values, in every process."""
+    """64-bit hashes of byte segments (in order, not overlapping): equal bytes, equal values, in every process."""
+    if table is None:
+        table = _LOWER_BYTE if lower else _BYTE
+    if len(data) <= 4 * CHUNK_BYTES or len(start) < 2:
+        return _hashes(data, start, end, table)
+    out, at = np.empty(len(start), _U), 0
+    while at < len(start):  # a long text's segments go by runs of about a chunk
+        to = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK_BYTES, "right")))
+        base = start[at]
+        out[at:to] = _hashes(data[base : end[to - 1]], start[at:to] - base, end[at:to] - base, table)
+        at = to
+    return out
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((table if table is not None else _LOWER_BYTE if lower else _BYTE)[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(table[data] * up[: len(data)], out=sums[1:])
     found = (sums[end] - sums[start]) * down[start]
     found ^= (end - start).astype(_U) << _U(48)
     return mix(found)
