@@ -41,23 +41,27 @@ def test_words_beyond_the_top_are_joined(spark, monkeypatch):
 
 
 def test_shares_add_up_to_one(spark):
-    """Over the vocabulary, the other words and one unknown word, in any history."""
+    """Over the vocabulary and the other words' forms in any history, and over the words of a form."""
     docs = spark.createDataFrame([(i, f"the cat w{i % 5} sat on w{i % 11} the mat") for i in range(60)], "doc_id long, text string")
     counts = M.word_counts(docs)
     model = M.fit(docs, counts)
     assert np.abs(model.class_rows).max() > 0
     vocab = int((model.rank >= 0).sum())
     part = next(iter(X.texts(pa.array(["the cat sat on"]))))
-    key, bounds = M.tokens(part)
+    key, _, bounds = M.tokens(part)
     _, rank = model.ids(key)
     for feature in M.history(key, rank, bounds).T:
-        tries = np.append(np.arange(vocab), -1)
-        total = np.exp(M.log_probabilities(model, np.repeat(feature[:, None], len(tries), 1), tries)).sum()
+        tries = np.append(np.arange(vocab), np.full(M.FORMS, -1))
+        form = np.append(np.zeros(vocab, np.int64), np.arange(M.FORMS))
+        total = np.exp(M.log_probabilities(model, np.repeat(feature[:, None], len(tries), 1), tries, form)).sum()
         assert abs(total - 1) < 1e-4
+    rest = [r for r in counts.collect() if np.int64(r["w"]).view(np.uint64) not in set(model.top[model.rank >= 0].tolist())]
+    for f in range(M.FORMS):
+        assert sum(r["n"] + 1 for r in rest if r["form"] == f) + 1 == model.other_size[f]
 
 
 def test_history():
-    key, bounds = M.tokens(next(iter(X.texts(pa.array(["a b c", "", "d"])))))
+    key, _, bounds = M.tokens(next(iter(X.texts(pa.array(["a b c", "", "d"])))))
     assert bounds.tolist() == [0, 4, 5, 7]
     rank = np.arange(len(key))
     f = M.history(key, rank, bounds)
@@ -68,3 +72,11 @@ def test_model_beats_the_unigrams_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = M.lm_scores(docs).where("held_out").selectExpr("sum(score) as s", "sum(base_score) as b").first()
     assert got["s"] > got["b"]
+
+
+def test_changes_add_up_as_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(M, "FAN_IN", 3)
+    rows = [(slot, part, np.full(2, part, "<f8").tobytes(), np.full(4, slot, "<f4").tobytes()) for part in range(11) for slot in (0, 5) if (part + slot) % 4]
+    sent = spark.createDataFrame([(s, p, bytearray(u), bytearray(t)) for s, p, u, t in rows], M._BLOCKS).repartition(11, "part")
+    got = {r["slot"]: (np.frombuffer(r["used"], "<f8")[0], np.frombuffer(r["total"], "<f4")[0]) for r in M._summed(sent, 11).collect()}
+    assert got == {s: (sum(p for t, p, _, _ in rows if t == s), s * sum(t == s for t, _, _, _ in rows)) for s in (0, 5)}

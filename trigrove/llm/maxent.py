@@ -1,8 +1,9 @@
 """A hashed maximum-entropy language model with a class-factored softmax, and the add-one unigram score.
 
 ``P(word | history) = P(class | history) * P(word | class, history)``.  The most
-frequent words fill classes of :data:`CLASS_WORDS`; one more class holds every
-other word, drawn there by its add-one unigram share.  Both softmaxes add up
+frequent words fill classes of :data:`CLASS_WORDS`; every other word is in the
+class of its form (closing punctuation, last letters, letters beyond ASCII),
+drawn there by its add-one unigram share.  Both softmaxes add up
 hashed feature rows: the previous word, the previous two (n-grams), and the one
 before the previous alone (skip).  They start from the corpus's unigrams.
 
@@ -15,7 +16,7 @@ go to the tasks, the others are joined.
 
 Words are held as 64-bit hashes.  Edge cases: a null or empty text is one end
 token.  Rows without an id are held out.  With no training row every count is
-0 and the model is uniform over its single class.  Repeated rows count and are
+0 and the model is uniform over the forms.  Repeated rows count and are
 scored as often as they occur.
 """
 
@@ -35,14 +36,18 @@ from ._store import written
 
 CLASSES, CLASS_WORDS = 16, 32
 VOCAB = CLASSES * CLASS_WORDS
+#: Classes of the other words, by form.
+FORMS = 32
 #: Hash buckets for other words in a history, and rows of each feature table.
 OTHERS, ROWS = 512, 1 << 14
 #: Words whose counts every task holds.
 TOP = 300_000
 ROUNDS = 2
 BATCH = 1 << 14
-RATE = 0.15
+RATE = 0.1
 _BLOCK = 256  # rows of a table that travel together
+#: Tasks whose changes one task adds up.
+FAN_IN = 64
 END = np.uint64(0x656E64)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,40 +56,64 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 7 == 2, F.lit(True))
 
 
-def tokens(part: X.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words with an end after each row, and ``rows + 1`` bounds."""
+_CLOSING = np.zeros(256, np.int64)
+_CLOSING[33:48] = _CLOSING[58:65] = _CLOSING[91:97] = _CLOSING[123:127] = 3
+_CLOSING[list(b".!?")], _CLOSING[list(b",;:")] = 1, 2
+
+
+def forms(data: np.ndarray, w: X.Words) -> np.ndarray:
+    """The class of each word's form: closing punctuation x (its last two letters, or its letters beyond ASCII)."""
+    if not len(w.start):
+        return np.zeros(0, np.int64)
+    closing = _CLOSING[data[w.end - 1]]
+    last = np.maximum(w.end - 1 - (closing > 0), w.start)
+    before = np.maximum(last - 1, w.start)
+    pair = (data[last] & 0xDF).astype(np.uint64) * np.uint64(257) + (data[before] & 0xDF)
+    beyond = np.maximum.reduceat(np.where((data & 0xC0) == 0x80, data, 0), w.start).astype(np.int64)
+    return closing * 8 + np.where(beyond > 0, 4 + beyond % 4, (X.mix(pair) % np.uint64(4)).astype(np.int64))
+
+
+def tokens(part: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and forms of the lower-cased words with an end after each row, and ``rows + 1`` bounds."""
     w = X.words(part, lower=True)
-    return np.insert(w.hash, w.bounds[1:], END), w.bounds + np.arange(len(w.bounds))
+    return np.insert(w.hash, w.bounds[1:], END), np.insert(forms(part.data, w), w.bounds[1:], 0), w.bounds + np.arange(len(w.bounds))
 
 
-def _merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, forms and counts with each word once."""
+    key, form, n = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
+    key, form, n = key[order], form[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(n, first) if len(first) else n
+    return key[first], form[first], np.add.reduceat(n, first) if len(first) else n
+
+
+_NO_WORDS = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _counted(words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    key, form, n = words
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(form.astype(np.int32)), pa.array(n)], ["w", "form", "n"])
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``w, n`` over every row given; a task sums its own rows before anything is shuffled."""
+    """``w, form, n`` over every row given; a task sums its own rows before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        held, parts, size = _NO_WORDS, [], 0
         for batch in batches:
             for part in X.texts(batch.column(0)):
-                parts.append(np.unique(tokens(part)[0], return_counts=True))
+                key, form, _ = tokens(part)
+                parts.append(_merged([(key, form, np.ones(len(key), np.int64))]))
                 size += len(parts[-1][0])
                 if size > 1 << 20:
-                    key, n = _merged(np.concatenate([key, *(p[0] for p in parts)]), np.concatenate([n, *(p[1] for p in parts)]))
-                    parts, size = [], 0
-                if len(key) > 2 << 20:  # a task's memory is bounded: the shuffle adds up what it sends early
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["w", "n"])
-                    key, n = key[:0], n[:0]
-        key, n = _merged(np.concatenate([key, *(p[0] for p in parts)]), np.concatenate([n, *(p[1] for p in parts)]))
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["w", "n"])
+                    held, parts, size = _merged([held, *parts]), [], 0
+                if len(held[0]) > 2 << 20:  # a task's memory is bounded: the shuffle adds up what it sends early
+                    yield _counted(held)
+                    held = _NO_WORDS
+        yield _counted(_merged([held, *parts]))
 
-    return docs.select(text).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(count, "w long, form int, n long").groupBy("w").agg(F.max("form").alias("form"), F.sum("n").alias("n"))
 
 
 class Model(NamedTuple):
@@ -93,8 +122,7 @@ class Model(NamedTuple):
     rank: np.ndarray  # of each of them in the vocabulary, or -1
     total: int
     distinct: int
-    other_total: int
-    other_distinct: int
+    other_size: np.ndarray  # of each form's words beyond the vocabulary: tokens, words and one unknown
     class_bias: np.ndarray
     word_bias: np.ndarray
     class_rows: np.ndarray
@@ -125,26 +153,30 @@ def _least_count(counts: DataFrame) -> int:
 
 def unigram_model(counts: DataFrame) -> Model:
     """The model before training: at most :data:`TOP` words reach the driver."""
-    sums = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
+    by_form = {r["form"]: (r["t"], r["v"]) for r in counts.groupBy("form").agg(F.sum("n").alias("t"), F.count("*").alias("v")).collect()}
+    total, distinct = sum(t for t, _ in by_form.values()), sum(v for _, v in by_form.values())
     table = counts.where(F.col("n") >= _least_count(counts)).toArrow()
-    key, n = table["w"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    key, n, form = table["w"].to_numpy().view(np.uint64), table["n"].to_numpy(), table["form"].to_numpy()
     order = np.lexsort((key, -n))
-    key, n = key[order], n[order]
+    key, n, form = key[order], n[order], form[order]
     vocab = min(VOCAB, len(key))
     rank = np.where(np.arange(len(key)) < vocab, np.arange(len(key)), -1)
-    other_total, other_distinct = int(sums["t"] - n[:vocab].sum()), int(sums["v"] - vocab)
+    other = np.ones(FORMS)
+    for f, (t, v) in by_form.items():
+        other[f] += t + v
+    np.subtract.at(other, form[:vocab], n[:vocab] + 1)
     filled = np.zeros(VOCAB)
     filled[:vocab] = n[:vocab]
     by_class = filled.reshape(CLASSES, CLASS_WORDS)
-    mass = np.append(by_class.sum(1), other_total + other_distinct + 1)
+    mass = np.append(by_class.sum(1), other)
     with np.errstate(divide="ignore"):
         class_bias = np.where(mass > 0, np.log(np.maximum(mass, 1)), -1e4)
         word_bias = np.where(by_class > 0, np.log(np.maximum(by_class, 1)), -1e4)
     order = np.argsort(key)
     return Model(
-        key[order], n[order], rank[order], int(sums["t"]), int(sums["v"]), other_total, other_distinct,
+        key[order], n[order], rank[order], total, distinct, other,
         class_bias.astype(np.float32), word_bias.astype(np.float32),
-        np.zeros((ROWS, CLASSES + 1), np.float32), np.zeros((ROWS, CLASS_WORDS), np.float32),
+        np.zeros((ROWS, CLASSES + FORMS), np.float32), np.zeros((ROWS, CLASS_WORDS), np.float32),
     )
 
 
@@ -171,12 +203,12 @@ def _rows(feature: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
     return (X.mix(feature + np.asarray(salt, np.uint64) * _GOLD) % np.uint64(ROWS)).astype(np.int64)
 
 
-def log_probabilities(m: Model, feature: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def log_probabilities(m: Model, feature: np.ndarray, rank: np.ndarray, form: np.ndarray) -> np.ndarray:
     """Natural logs of each token's share, for other words of their class alone."""
     out = np.empty(len(rank))
     for at in range(0, len(rank), BATCH):
         f, r = feature[:, at : at + BATCH], rank[at : at + BATCH]
-        kind = np.where(r >= 0, r // CLASS_WORDS, CLASSES)
+        kind = np.where(r >= 0, r // CLASS_WORDS, CLASSES + form[at : at + BATCH])
         rows = _rows(f, 0)
         z = _log_softmax(m.class_bias + m.class_rows[rows[0]] + m.class_rows[rows[1]] + m.class_rows[rows[2]])
         got = z[np.arange(len(r)), kind].astype(np.float64)
@@ -215,12 +247,12 @@ def _fit_task(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     classes, words = _Trainer(m.class_rows), _Trainer(m.word_rows)
     for batch in batches:
         for part in X.texts(batch.column(0)):
-            key, bounds = tokens(part)
+            key, form, bounds = tokens(part)
             _, rank = m.ids(key)
             feature = history(key, rank, bounds)
             for at in range(0, len(key), BATCH):
                 f, r = feature[:, at : at + BATCH], rank[at : at + BATCH]
-                kind = np.where(r >= 0, r // CLASS_WORDS, CLASSES)
+                kind = np.where(r >= 0, r // CLASS_WORDS, CLASSES + form[at : at + BATCH])
                 rows = _rows(f, 0)
                 w = classes.weights
                 slope = np.exp(_log_softmax(m.class_bias + w[rows[0]] + w[rows[1]] + w[rows[2]]))
@@ -234,29 +266,42 @@ def _fit_task(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                     slope = np.exp(_log_softmax(m.word_bias[k] + w[rows[0]] + w[rows[1]] + w[rows[2]]))
                     slope[np.arange(len(known)), r[known] % CLASS_WORDS] -= 1
                     words.update(rows, slope)
-    out: list[tuple[int, bytes, bytes]] = []
+    out: list[tuple[int, int, bytes, bytes]] = []
+    own = TaskContext.get().partitionId()
     for table, t in enumerate((classes, words)):
         for b in range(ROWS // _BLOCK):
             s = slice(b * _BLOCK, (b + 1) * _BLOCK)
             if t.used[s].any():
-                out.append((table * (ROWS // _BLOCK) + b, t.used[s].astype("<f8").tobytes(), (t.weights[s] * t.used[s, None]).astype("<f4").tobytes()))
+                out.append((table * (ROWS // _BLOCK) + b, own, t.used[s].astype("<f8").tobytes(), (t.weights[s] * t.used[s, None]).astype("<f4").tobytes()))
     yield _blocks(out)
 
 
-def _blocks(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    slot, used, total = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(used, pa.binary()), pa.array(total, pa.binary())], ["slot", "used", "total"])
+_BLOCKS = "slot int, part int, used binary, total binary"
+
+
+def _blocks(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+    slot, part, used, total = zip(*rows) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(part, pa.int32()), pa.array(used, pa.binary()), pa.array(total, pa.binary())], ["slot", "part", "used", "total"])
 
 
 def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by slot while the rows stream by: memory follows the slots, not the tasks that sent them."""
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """Sums by slot and part while the rows stream by: memory follows the slots, not the tasks that sent them."""
+    held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for slot, used, total in zip(*(c.to_pylist() for c in batch.columns)):
+        for slot, part, used, total in zip(*(c.to_pylist() for c in batch.columns)):
             u, t = np.frombuffer(used, "<f8"), np.frombuffer(total, "<f4").astype(np.float64)
-            old = held.get(slot)
-            held[slot] = (u, t) if old is None else (old[0] + u, old[1] + t)
-    yield _blocks([(s, u.tobytes(), t.astype("<f4").tobytes()) for s, (u, t) in held.items()])
+            old = held.get((slot, part))
+            held[slot, part] = (u, t) if old is None else (old[0] + u, old[1] + t)
+    yield _blocks([(s, p, u.tobytes(), t.astype("<f4").tobytes()) for (s, p), (u, t) in held.items()])
+
+
+def _summed(sent: DataFrame, parts: int) -> DataFrame:
+    """The blocks of ``parts`` tasks added up by slot, as a tree: no task reads more than :data:`FAN_IN` blocks of a slot."""
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        grouped = sent.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int"))
+        sent = grouped.repartition(min(2 * ROWS // _BLOCK, 10_000) if parts == 1 else min(10_000, parts * 8), "slot", "part").mapInArrow(_add_blocks, _BLOCKS)
+    return sent
 
 
 def fit(docs: DataFrame, counts: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
@@ -267,8 +312,8 @@ def fit(docs: DataFrame, counts: DataFrame, text: str = "text", key: str = "doc_
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)  # TOP words and two tables of ROWS rows
         own = docs.where(F.pmod(F.xxhash64(key), F.lit(ROUNDS)) == turn).select(text)
-        sent = own.mapInArrow(lambda b, s=shared: _fit_task(s.value, b), "slot int, used binary, total binary")
-        done = sent.repartition(16, "slot").mapInArrow(_add_blocks, "slot int, used binary, total binary").collect()
+        sent = own.mapInArrow(lambda b, s=shared: _fit_task(s.value, b), _BLOCKS)
+        done = _summed(sent, own.rdd.getNumPartitions()).collect()  # the rows of two tables
         tables = [model.class_rows.copy(), model.word_rows.copy()]
         for r in done:
             t, b = divmod(r["slot"], blocks)
@@ -293,16 +338,16 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
         m = shared.value
         uid = TaskContext.get().partitionId() << 33
         base_low = np.log10(m.total + m.distinct + 1)
-        other_low = np.log10(m.other_total + m.other_distinct + 1)
+        other_low = np.log10(m.other_size)
         for batch in batches:
             for part in X.texts(batch.column(batch.num_columns - 1)):
-                key, bounds = tokens(part)
+                key, form, bounds = tokens(part)
                 n = len(bounds) - 1
                 row = np.repeat(np.arange(n), np.diff(bounds))
                 at, rank = m.ids(key)
                 share = np.where(at >= 0, np.log10(m.top_n[at] + 1.0), 0.0) if len(m.top) else np.zeros(len(key))
-                lm = log_probabilities(m, history(key, rank, bounds), rank) / np.log(10)
-                lm += np.where(rank < 0, share - other_low, 0.0)
+                lm = log_probabilities(m, history(key, rank, bounds), rank, form) / np.log(10)
+                lm += np.where(rank < 0, share - other_low[form], 0.0)
                 tail = np.flatnonzero(at < 0)
                 order = np.lexsort((key[tail], row[tail]))
                 k, r = key[tail][order], row[tail][order]
@@ -329,7 +374,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     rows = written(docs.select(*(F.col(f"`{c}`").alias(s) for s, c in zip(safe, carried)), F.col(text).alias("__text")).mapInArrow(apply, schema), "maxent-rows")
     pair = rows.select("__uid", F.explode(F.arrays_zip("__w", "__n")).alias("x")).select("__uid", F.col("x.__w").alias("w"), F.col("x.__n").alias("k"))
     # words beyond the top are rare by definition, so no key of this join is hot
-    found = pair.join(counts, "w").groupBy("__uid").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("t"), F.sum("k").alias("u"))
+    found = pair.join(counts.select("w", "n"), "w").groupBy("__uid").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("t"), F.sum("k").alias("u"))
     joined = rows.drop("__w", "__n").join(found, "__uid", "left")
     add = F.coalesce("t", F.lit(0.0))
     return joined.select(
