@@ -12,7 +12,9 @@ no false links.  A link at exactly the threshold is missed if all bands differ:
 
 Edge cases: a null or empty text has the empty set and is linked with nothing
 (``component_id`` its own id).  One word is a set of one.  Rows with a null id
-get statistics and a null component.  Rows with an equal id belong together.
+get statistics and a null component.  Rows are grouped
+by their texts, so rows with an equal id and different texts may differ; where
+such an id is the smallest of both texts, the set that sorts first stands for it.
 An empty table gives an empty result.
 """
 
@@ -160,7 +162,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     first = member.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
     first = first.groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("s")).select(F.col("node").alias("a"), (-F.col("s.h")).alias("b"))
     wanted = member.select("node").distinct()
-    sets = written(source.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "minhash-sets")
+    sets = written(source.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(_sets, "node long, shingles array<long>").groupBy("node").agg(F.min("shingles").alias("shingles")), "minhash-sets")
     links = written(_verified(first, sets), "minhash-links")
     groups = connected_components(links)
     # then the pairs of a bucket that are still in different components, whose sizes allow a link
