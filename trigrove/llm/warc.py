@@ -201,7 +201,7 @@ def read(spark: SparkSession, archives: DataFrame, split_bytes: int = SPLIT_BYTE
     """Every record of ``archives(path, bytes)``; without ``payload`` only its length and digest leave the task."""
     ranges = archives.select("path", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0), {int(split_bytes)}L)")).alias("begin"), "bytes")
     ranges = ranges.withColumn("end", F.least(F.col("begin") + split_bytes, "bytes")).select("path", "begin", "end")
-    # one range a partition, as far as the default parallelism's multiples go
+    # about one range a partition, dealt out in turn
     n = max(1, min(10_000, ranges.count()))
     names = [f.split()[0] for f in _FIELDS.split(", ") if payload or not f.startswith("payload binary")]
     schema = ", ".join(f for f in _FIELDS.split(", ") if payload or not f.startswith("payload binary"))
@@ -221,7 +221,7 @@ def read(spark: SparkSession, archives: DataFrame, split_bytes: int = SPLIT_BYTE
                             held, size = [], 0
                     yield _batch(held, names, schema)
 
-    return ranges.repartition(n, "path", "begin").mapInArrow(scan, schema)
+    return ranges.repartition(n).mapInArrow(scan, schema)
 
 
 def _batch(rows: list[dict[str, object]], names: list[str], schema: str) -> pa.RecordBatch:
