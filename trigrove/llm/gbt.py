@@ -26,8 +26,9 @@ class Trees(NamedTuple):
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, shrink: float = 1.0) -> Trees:
-    """Newton boosting on ``x`` (rows x features) and labels 0 or 1."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, shrink: float = 1.0, share: float = 0.4) -> Trees:
+    """Newton boosting on ``x`` (rows x features) and labels 0 or 1; a tree's cuts are chosen on a share of the rows."""
+    draw = np.random.default_rng(0)
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], 1)
     width = bins + 1
@@ -40,9 +41,12 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
         p = 1 / (1 + np.exp(-z))
         g, h = p - y, p * (1 - p)
         at = np.zeros(len(y), np.int64)
+        drawn = draw.random(len(y)) < share
         for node in range(inner):
-            own = np.flatnonzero(at == node)
+            every = np.flatnonzero(at == node)
+            own = every[drawn[every]]
             if not len(own):
+                at[every] = 2 * node + 1
                 continue
             keys = flat[own].ravel()
             gs = np.bincount(keys, np.repeat(g[own], x.shape[1]), x.shape[1] * width).reshape(-1, width).cumsum(1)
@@ -54,7 +58,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
             f, b = divmod(int(gain.argmax()), width)
             if gain[f, b] > 1e-3 and b < len(edges[f]):
                 features[t, node], cuts[t, node] = f, edges[f][b]
-            at[own] = 2 * node + 1 + (x[own, features[t, node]] > cuts[t, node])
+            at[every] = 2 * node + 1 + (x[every, features[t, node]] > cuts[t, node])
         place = at - inner
         values[t] = -rate * np.bincount(place, g, leaves) / (np.bincount(place, h, leaves) + shrink)
         z += values[t][place]

@@ -254,6 +254,10 @@ def _words(r: random.Random, n: int) -> str:
     return (" ".join(made).capitalize() + r.choice(["", ".", ".", "."])) if made else ""
 
 
+#: Words of a paragraph.
+LENGTHS = [1, 2, 3, 6, 12, 25, 40, 80, 150]
+
+
 def training_page(r: random.Random) -> str:
     """A page of a random layout; its main text carries marks."""
     plain = r.random() < 0.3  # without attributes
@@ -270,18 +274,32 @@ def training_page(r: random.Random) -> str:
         rows = "".join(f'<li><a href="/{i}">{_words(r, r.randint(1, 6))}</a></li>' for i in range(n))
         return f"<ul>{rows}</ul>" if r.random() < 0.7 else " | ".join(f'<a href="#{i}">{_words(r, r.randint(1, 4))}</a>' for i in range(n))
 
-    def prose(n: int, mark: str = "") -> list[str]:
+    def prose(n: int, mark: str = "", lengths: list[int] = LENGTHS) -> list[str]:
         out = []
         for _ in range(n):
-            body = mark + _words(r, r.choice([1, 2, 3, 6, 12, 25, 40, 80, 150]))
-            if r.random() < 0.2:
+            body = mark + _words(r, r.choice(lengths))
+            if lengths is LENGTHS and r.random() < 0.2:
                 body += f' <a href="/x">{_words(r, r.randint(1, 5))}</a> {_words(r, r.randint(0, 12))}'
             if r.random() < 0.15:
                 body = f"<b>{body}<br>"
             out.append(f"<p>{body}</p>" if r.random() < 0.85 else f"<p>{body}")
         return out
 
-    main = prose(r.choice([1, 2, 3, 5, 8, 14, 25]), _MARK)
+    def comments() -> str:
+        rows = "".join(box("div li article", "comment", f"<b>{_words(r, 2)}</b> " + "".join(prose(r.randint(1, 3)))) for _ in range(r.randint(1, 6)))
+        return box("section div div ol", "comment", f"<h3>{_words(r, r.randint(1, 3))}</h3>" + rows)
+
+    def form() -> str:
+        return box("form", "form", f"<p>{_words(r, r.randint(2, 12))}</p><label>{_words(r, 2)}</label><input><button>{_words(r, r.randint(1, 3))}</button>")
+
+    def side() -> str:
+        return box("aside div aside", "side", f"<h3>{_words(r, 2)}</h3>" + items(r.randint(2, 8)) + ("".join(prose(r.randint(1, 2))) if r.random() < 0.4 else ""))
+
+    def notice() -> str:
+        return box("div div section dialog aside p", "notice", _words(r, r.randint(6, 40)) + (f" <button>{_words(r, 1)}</button>" if r.random() < 0.5 else ""))
+
+    brief = r.random() < 0.15
+    main = prose(r.choice([1, 1, 2]) if brief else r.choice([1, 2, 3, 5, 8, 14, 25]), _MARK, [1, 2, 4, 8] if brief else LENGTHS)
     if r.random() < 0.25:
         main.insert(r.randint(0, len(main)), "<ul>" + "".join(f"<li>{_MARK}{_words(r, r.randint(2, 20))}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
     if r.random() < 0.2:
@@ -292,27 +310,22 @@ def training_page(r: random.Random) -> str:
         main.insert(r.randint(0, len(main)), f"<h{(k := r.randint(2, 4))}>{_MARK}{_words(r, r.randint(1, 9))}</h{k}>")
     if r.random() < 0.75:
         main.insert(0, f"<h1>{_MARK}{_words(r, r.randint(1, 12))}</h1>")
-    ad = lambda: box("div div aside p ins", "ad", _words(r, r.randint(3, 30)) if r.random() < 0.5 else f'<a href="/b">{_words(r, r.randint(3, 20))}</a>')
+
+    def ad() -> str:
+        kind = r.random()
+        body = "".join(prose(r.randint(1, 2))) if kind < 0.35 else _words(r, r.randint(3, 60)) if kind < 0.7 else f'<a href="/b">{_words(r, r.randint(3, 20))}</a>'
+        return box("div div aside ins" if kind < 0.35 else "div div aside p ins", "ad", body)
+
     share = lambda: box("div ul p", "share", items(r.randint(2, 5)))
-    for extra in ([ad] if r.random() < 0.35 else []) + ([share] if r.random() < 0.25 else []):
-        main.insert(r.randint(0, len(main)), extra())
+    for extra in [e for e, p in ((ad, 0.35), (share, 0.25), (side, 0.15), (notice, 0.12), (form, 0.12), (comments, 0.1)) if r.random() < p]:
+        main.insert(len(main) if extra is comments else r.randint(0, len(main)), extra())
     inner = "".join(main)
     article = box("article article main section div div", "good", inner) if not plain else r.choice(["<article>{}</article>", "<main>{}</main>", "<article>{}</article>"]).format(inner)
-    if r.random() < 0.3:
-        article = box("div main section", "good", article)
-
-    def comments() -> str:
-        rows = "".join(box("div li article", "comment", f"<b>{_words(r, 2)}</b> " + "".join(prose(r.randint(1, 3)))) for _ in range(r.randint(1, 6)))
-        return box("section div div ol", "comment", f"<h3>{_words(r, r.randint(1, 3))}</h3>" + rows)
-
-    def form() -> str:
-        return box("form", "form", f"<p>{_words(r, r.randint(2, 12))}</p><label>{_words(r, 2)}</label><input><button>{_words(r, r.randint(1, 3))}</button>")
-
-    def side() -> str:
-        return box("aside div aside", "side", f"<h3>{_words(r, 2)}</h3>" + items(r.randint(2, 8)) + ("".join(prose(r.randint(1, 2))) if r.random() < 0.4 else ""))
-
-    def notice() -> str:
-        return box("div div section dialog aside p", "notice", _words(r, r.randint(6, 40)) + (f" <button>{_words(r, 1)}</button>" if r.random() < 0.5 else ""))
+    if r.random() < 0.12:
+        article = inner  # no wrapper at all
+    elif r.random() < 0.35:
+        inside = "".join(x() for x, p in ((side, 0.4), (comments, 0.25), (form, 0.15)) if r.random() < p)
+        article = box("div main main section", "good", article + inside)
 
     head = box("header header div", "head", (f"<h2>{_words(r, 2)}</h2>" if r.random() < 0.5 else "") + f'<a href="/">{_words(r, 2)}</a> {_words(r, r.randint(0, 12))}' + (box("nav ul div", "nav", items(4)) if r.random() < 0.4 else ""))
     nav = box("nav nav div", "nav", items(r.randint(3, 10)))
@@ -321,6 +334,8 @@ def training_page(r: random.Random) -> str:
     after = [x for p, x in ((0.4, side()), (0.35, comments()), (0.25, form()), (0.25, share()), (0.3, ad()), (0.25, notice())) if r.random() < p]
     r.shuffle(after)
     after += [foot] if r.random() < 0.8 else []
+    if r.random() < 0.06:
+        before, after = [], []
     body = "".join([*before, article, *after])
     if r.random() < 0.3:
         body = f'<div class="{r.choice(["page", "wrapper", "container", "site"])}">{body}</div>'
@@ -332,7 +347,7 @@ def empty() -> Nodes:
 
 
 @lru_cache(1)
-def model(pages: int = 500, seed: int = 7) -> gbt.Trees:
+def model(pages: int = 900, seed: int = 7) -> gbt.Trees:
     """Trees trained on generated pages, in a few seconds."""
     r = random.Random(seed)
     nodes = empty()
@@ -341,7 +356,7 @@ def model(pages: int = 500, seed: int = 7) -> gbt.Trees:
     marked = np.concatenate([[0], np.cumsum([t is not None and _MARK in t for t in nodes.text])])
     label = (marked[np.array(nodes.end)] - marked[:-1] > 0).astype(float)
     clean = nodes._replace(text=[t if t is None else t.replace(_MARK, "") for t in nodes.text])
-    return gbt.fit(features(clean), label)
+    return gbt.fit(features(clean), label, trees=90)
 
 
 def main_texts(htmls: list[str | None], trees: gbt.Trees) -> list[str]:
