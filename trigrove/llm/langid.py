@@ -223,16 +223,18 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     carried = [c for c in (docs.columns if keep is None else keep) if c not in names]
     types = dict(docs.dtypes)
     safe = [f"__c{i}" for i in range(len(carried))]
+    at = carried.index(text) if text in carried else len(carried)  # a text that is carried travels once
+    extra = [] if text in carried else [F.col(text).alias("__text")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TOTAL_SYMBOLS
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         labels = np.array([*m.names, UNKNOWN], object)
         for batch in batches:
-            got = [predict(m, part) for part in X.texts(batch.column(batch.num_columns - 1), 8 * X.CHUNK_BYTES)]
+            got = [predict(m, part) for part in X.texts(batch.column(at), 8 * X.CHUNK_BYTES)]
             if got:
                 pred, score, bits = (np.concatenate(x) for x in zip(*got))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(labels[pred], pa.string()), pa.array(score), pa.array(bits)], [*safe, *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(safe)], pa.array(labels[pred], pa.string()), pa.array(score), pa.array(bits)], [*safe, *names])
 
     schema = ", ".join([f"{s} {types[c]}" for s, c in zip(safe, carried)] + ["lang_pred string", "score double", "bits double"])
-    return docs.select(*(F.col(f"`{c}`").alias(s) for s, c in zip(safe, carried)), F.col(text).alias("__text")).mapInArrow(apply, schema).toDF(*carried, *names)
+    return docs.select(*(F.col(f"`{c}`").alias(s) for s, c in zip(safe, carried)), *extra).mapInArrow(apply, schema).toDF(*carried, *names)
