@@ -80,3 +80,41 @@ def test_changes_add_up_as_a_tree(spark, monkeypatch):
     sent = spark.createDataFrame([(s, p, bytearray(u), bytearray(t)) for s, p, u, t in rows], M._BLOCKS).repartition(11, "part")
     got = {r["slot"]: (np.frombuffer(r["used"], "<f8")[0], np.frombuffer(r["total"], "<f4")[0]) for r in M._summed(sent, 11).collect()}
     assert got == {s: (sum(p for t, p, _, _ in rows if t == s), s * sum(t == s for t, _, _, _ in rows)) for s in (0, 5)}
+
+
+def test_the_model_grows_with_the_corpus():
+    """Words, rows and depths follow the tokens, and each word has a path of its own."""
+    assert M.sizes(0) == (M.VOCAB, M.ROWS)
+    (small, few), (large, many) = M.sizes(10**8), M.sizes(10**10)
+    assert large > 9 * small > 9 * M.VOCAB and many > 9 * few > 9 * M.ROWS and few % M._BLOCK == many % M._BLOCK == 0
+    rank = np.unique(np.append(np.arange(600), np.geomspace(600, 500_000, 5000).astype(np.int64)))
+    paths = [[int(k)] for k in M.classes(rank)]
+    for known, node, child in M._steps(rank):
+        for at, n, c in zip(known, node, child):
+            assert 0 <= c < M.BRANCH
+            paths[at] += [int(n), int(c)]
+    assert len({tuple(p) for p in paths}) == len(rank) and max(map(len, paths)) == 7
+
+
+def test_history_predicts_words_beyond_the_512_most_frequent(spark):
+    follows = [(7 * i + 3) % 1500 for i in range(1500)]
+
+    def text(i):
+        out, at = [], i * 37 % 1500
+        for _ in range(2500):
+            out.append(f"w{at}")
+            at = follows[at] if len(out) % 50 else (at + i) % 1500
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(90)], "doc_id long, text string")
+    counts = M.word_counts(docs)
+    model = M.fit(docs, counts)
+    assert (model.rank >= 512).sum() > 900
+    part = next(iter(X.texts(pa.array(["w1 w2"]))))
+    key, _, bounds = M.tokens(part)
+    feature = M.history(key, model.ids(key)[1], bounds, model.others)[:, 1:2]
+    tries = np.append(np.arange((model.rank >= 0).sum()), np.full(M.FORMS, -1))
+    form = np.append(np.zeros(len(tries) - M.FORMS, np.int64), np.arange(M.FORMS))
+    assert abs(np.exp(M.log_probabilities(model, np.repeat(feature, len(tries), 1), tries, form)).sum() - 1) < 1e-3
+    got = M.score(docs, model, counts, keep=["doc_id"]).selectExpr("sum(score - base_score) / sum(n_tokens) as gain").first()["gain"]
+    assert got > 0.5

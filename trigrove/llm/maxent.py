@@ -1,18 +1,24 @@
 """A hashed maximum-entropy language model with a class-factored softmax, and the add-one unigram score.
 
 ``P(word | history) = P(class | history) * P(word | class, history)``.  The most
-frequent words fill classes of :data:`CLASS_WORDS`; every other word is in the
-class of its form (closing punctuation, last letters, letters beyond ASCII),
-drawn there by its add-one unigram share.  Both softmaxes add up
+frequent words fill classes by rank: :data:`CLASSES` of :data:`BRANCH` words,
+then as many of ``BRANCH ** 2`` words, and so on, each a tree of softmaxes over
+``BRANCH`` children.  Every other word is in the class of its form (closing
+punctuation, last letters, letters beyond ASCII), drawn there by its add-one
+unigram share.  All softmaxes add up
 hashed feature rows: the previous word, the previous two (n-grams), and the one
 before the previous alone (skip).  They start from the corpus's unigrams.
 
+The vocabulary, the feature rows and the buckets of other words in a history
+grow as the root of the number of training tokens (:func:`sizes`), a word's
+work as the vocabulary's logarithm.
+
 Training makes :data:`ROUNDS` rounds of distributed gradient updates over a
 partition of all training rows: each task walks its rows with AdaGrad from the
 round's weights and sends the rows of the tables that it changed; their means,
-weighted by use, are the next weights.  The tables have a fixed size; only the
-word counts grow with the corpus, and they stay a table: the :data:`TOP` words
-go to the tasks, the others are joined.
+weighted by use, are the next weights.  A round takes so few tasks that the
+tables they send stay a bounded part of the input.  The word counts stay a table:
+the :data:`TOP` words, or the vocabulary if it is larger, go to the tasks, the others are joined.
 
 Words are held as 64-bit hashes.  Edge cases: a null or empty text is one end
 token.  Rows without an id are held out.  With no training row every count is
@@ -34,12 +40,14 @@ from pyspark.sql import functions as F
 from . import _text as X
 from ._store import written
 
-CLASSES, CLASS_WORDS = 16, 32
-VOCAB = CLASSES * CLASS_WORDS
+#: Classes of each depth, and children of each node of a class.
+CLASSES, BRANCH = 16, 32
+#: Least vocabulary, and words for each root of a training token.
+VOCAB, VOCAB_GROWTH = CLASSES * BRANCH, 4
 #: Classes of the other words, by form.
 FORMS = 32
-#: Hash buckets for other words in a history, and rows of each feature table.
-OTHERS, ROWS = 512, 1 << 14
+#: Least hash buckets for other words in a history and least rows of each feature table, and rows for each root of a training token.
+OTHERS, ROWS, ROWS_GROWTH = 512, 1 << 14, 6
 #: Words whose counts every task holds.
 TOP = 300_000
 ROUNDS = 2
@@ -48,6 +56,10 @@ RATE = 0.1
 _BLOCK = 256  # rows of a table that travel together
 #: Tasks whose changes one task adds up.
 FAN_IN = 64
+#: Training tokens of a task for each row of a table that it sends.
+TOKENS_A_ROW = 128
+#: Tasks of a round on a small input.
+LEAST_TASKS = 6
 END = np.uint64(0x656E64)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,6 +128,44 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(count, "w long, form int, n long").groupBy("w").agg(F.max("form").alias("form"), F.sum("n").alias("n"))
 
 
+def sizes(total: int) -> tuple[int, int]:
+    """Words of the vocabulary and rows of each feature table for so many training tokens."""
+    root = total**0.5
+    return max(VOCAB, int(VOCAB_GROWTH * root)), max(ROWS, -(-int(ROWS_GROWTH * root) // _BLOCK) * _BLOCK)
+
+
+def _depths(words: int) -> int:
+    """Depths of classes that so many words fill."""
+    depth, held = 1, CLASSES * BRANCH
+    while held < words:
+        depth += 1
+        held += CLASSES * BRANCH**depth
+    return depth
+
+
+_MOST = 8  # depths: more words than hashes
+_FIRST = np.cumsum([0] + [CLASSES * BRANCH**d for d in range(1, _MOST)])
+#: Number of the first node of each depth, and of the first one on each level below it.
+_NODES = np.cumsum([0] + [CLASSES * BRANCH**k for d in range(1, _MOST) for k in range(d)])
+
+
+def depth(rank: np.ndarray) -> np.ndarray:
+    """Levels of nodes below a word's class, from 1."""
+    return np.searchsorted(_FIRST, rank, "right")
+
+
+def classes(rank: np.ndarray) -> np.ndarray:
+    d = depth(rank)
+    return (d - 1) * CLASSES + (rank - _FIRST[d - 1]) // BRANCH**d
+
+
+def step(rank: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Node and child on a level (from 0) of words that are deep enough."""
+    d = depth(rank)
+    q, span = rank - _FIRST[d - 1], BRANCH ** (d - level)
+    return _NODES[d * (d - 1) // 2 + level] + q // span, q % span // (span // BRANCH)
+
+
 class Model(NamedTuple):
     top: np.ndarray  # sorted hashes of the most frequent words
     top_n: np.ndarray
@@ -128,6 +178,15 @@ class Model(NamedTuple):
     class_rows: np.ndarray
     word_rows: np.ndarray
 
+    @property
+    def others(self) -> int:
+        """Buckets of other words in a history."""
+        return len(self.class_rows) * OTHERS // ROWS
+
+    def kinds(self, rank: np.ndarray, form: np.ndarray) -> np.ndarray:
+        """Class of each word, the forms after those of the vocabulary."""
+        return np.where(rank >= 0, classes(np.maximum(rank, 0)), self.class_rows.shape[1] - FORMS + form)
+
     def ids(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place among the top words (or -1), and vocabulary rank (or -1)."""
         if not len(self.top):
@@ -138,51 +197,54 @@ class Model(NamedTuple):
         return at, np.where(at >= 0, self.rank[at], -1)
 
 
-def _least_count(counts: DataFrame) -> int:
-    """The smallest count, of eight steps an octave, that at most :data:`TOP` words reach: no sort is needed."""
+def _least_count(counts: DataFrame, top: int) -> int:
+    """The smallest count, of eight steps an octave, that at most ``top`` words reach: no sort is needed."""
     step = F.floor(F.log2(F.col("n").cast("double")) * 8)
     sizes = sorted(((r["s"], r["k"], r["least"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("k"), F.min("n").alias("least")).collect()), reverse=True)
     held, least = 0, 1 << 62
     for _, k, n in sizes:
         held += k
-        if held > TOP:
+        if held > top:
             break
         least = n
     return least
 
 
 def unigram_model(counts: DataFrame) -> Model:
-    """The model before training: at most :data:`TOP` words reach the driver."""
+    """The model before training: at most :data:`TOP` words, or the vocabulary's, reach the driver."""
     by_form = {r["form"]: (r["t"], r["v"]) for r in counts.groupBy("form").agg(F.sum("n").alias("t"), F.count("*").alias("v")).collect()}
     total, distinct = sum(t for t, _ in by_form.values()), sum(v for _, v in by_form.values())
-    table = counts.where(F.col("n") >= _least_count(counts)).toArrow()
+    size, rows = sizes(total)
+    table = counts.where(F.col("n") >= _least_count(counts, max(TOP, size))).toArrow()
     key, n, form = table["w"].to_numpy().view(np.uint64), table["n"].to_numpy(), table["form"].to_numpy()
     order = np.lexsort((key, -n))
     key, n, form = key[order], n[order], form[order]
-    vocab = min(VOCAB, len(key))
+    vocab = min(size, len(key))
     rank = np.where(np.arange(len(key)) < vocab, np.arange(len(key)), -1)
     other = np.ones(FORMS)
     for f, (t, v) in by_form.items():
         other[f] += t + v
     np.subtract.at(other, form[:vocab], n[:vocab] + 1)
-    filled = np.zeros(VOCAB)
-    filled[:vocab] = n[:vocab]
-    by_class = filled.reshape(CLASSES, CLASS_WORDS)
-    mass = np.append(by_class.sum(1), other)
+    words, deep = np.arange(vocab), _depths(vocab)
+    mass = np.append(np.bincount(classes(words), n[:vocab], CLASSES * deep), other)
+    by_node = np.zeros((_NODES[deep * (deep + 1) // 2], BRANCH))
+    for level in range(deep):
+        low = words[depth(words) > level]
+        np.add.at(by_node, step(low, level), n[low])
     with np.errstate(divide="ignore"):
         class_bias = np.where(mass > 0, np.log(np.maximum(mass, 1)), -1e4)
-        word_bias = np.where(by_class > 0, np.log(np.maximum(by_class, 1)), -1e4)
+        word_bias = np.where(by_node > 0, np.log(np.maximum(by_node, 1)), -1e4)
     order = np.argsort(key)
     return Model(
         key[order], n[order], rank[order], total, distinct, other,
         class_bias.astype(np.float32), word_bias.astype(np.float32),
-        np.zeros((ROWS, CLASSES + FORMS), np.float32), np.zeros((ROWS, CLASS_WORDS), np.float32),
+        np.zeros((rows, CLASSES * deep + FORMS), np.float32), np.zeros((rows, BRANCH), np.float32),
     )
 
 
-def history(key: np.ndarray, rank: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def history(key: np.ndarray, rank: np.ndarray, bounds: np.ndarray, others: int = OTHERS) -> np.ndarray:
     """Hashes of the three features of each token's history: one word back, two words, and the second alone."""
-    own = np.where(rank >= 0, rank, VOCAB + (key % np.uint64(OTHERS)).astype(np.int64)) + 1  # 0: before the text
+    own = np.where(rank >= 0, rank, (1 << 40) + (key % np.uint64(others)).astype(np.int64)) + 1  # 0: before the text
     first = bounds[:-1][np.diff(bounds) > 0]
     back = np.zeros((2, len(own)), np.int64)
     back[0, 1:], back[1, 2:] = own[:-1], own[:-2]
@@ -191,7 +253,7 @@ def history(key: np.ndarray, rank: np.ndarray, bounds: np.ndarray) -> np.ndarray
     second = first + 1
     back[1, second[second < len(own)]] = 0
     a, b = back.astype(np.uint64)
-    return np.stack([X.mix(a * np.uint64(3) + np.uint64(1)), X.mix((a << np.uint64(20)) + b * np.uint64(3)), X.mix(b * np.uint64(3) + np.uint64(2))])
+    return np.stack([X.mix(a * np.uint64(3) + np.uint64(1)), X.mix(a * _GOLD + b * np.uint64(3)), X.mix(b * np.uint64(3) + np.uint64(2))])
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -199,8 +261,17 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def _rows(feature: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
-    return (X.mix(feature + np.asarray(salt, np.uint64) * _GOLD) % np.uint64(ROWS)).astype(np.int64)
+def _rows(feature: np.ndarray, salt: np.ndarray | int, size: int) -> np.ndarray:
+    return (X.mix(feature + np.asarray(salt, np.uint64) * _GOLD) % np.uint64(size)).astype(np.int64)
+
+
+def _steps(rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Level by level: the places of the words that reach it, their nodes and children."""
+    known, level = np.flatnonzero(rank >= 0), 0
+    while len(known):
+        yield known, *step(rank[known], level)
+        level += 1
+        known = known[depth(rank[known]) > level]
 
 
 def log_probabilities(m: Model, feature: np.ndarray, rank: np.ndarray, form: np.ndarray) -> np.ndarray:
@@ -208,16 +279,14 @@ def log_probabilities(m: Model, feature: np.ndarray, rank: np.ndarray, form: np.
     out = np.empty(len(rank))
     for at in range(0, len(rank), BATCH):
         f, r = feature[:, at : at + BATCH], rank[at : at + BATCH]
-        kind = np.where(r >= 0, r // CLASS_WORDS, CLASSES + form[at : at + BATCH])
-        rows = _rows(f, 0)
+        kind = m.kinds(r, form[at : at + BATCH])
+        rows = _rows(f, 0, len(m.class_rows))
         z = _log_softmax(m.class_bias + m.class_rows[rows[0]] + m.class_rows[rows[1]] + m.class_rows[rows[2]])
         got = z[np.arange(len(r)), kind].astype(np.float64)
-        known = np.flatnonzero(r >= 0)
-        if len(known):
-            k = kind[known]
-            rows = _rows(f[:, known], k + 1)
-            z = _log_softmax(m.word_bias[k] + m.word_rows[rows[0]] + m.word_rows[rows[1]] + m.word_rows[rows[2]])
-            got[known] += z[np.arange(len(known)), r[known] % CLASS_WORDS]
+        for known, node, child in _steps(r):
+            rows = _rows(f[:, known], node + 1, len(m.word_rows))
+            z = _log_softmax(m.word_bias[node] + m.word_rows[rows[0]] + m.word_rows[rows[1]] + m.word_rows[rows[2]])
+            got[known] += z[np.arange(len(known)), child]
         out[at : at + BATCH] = got
     return out
 
@@ -233,7 +302,9 @@ class _Trainer:
     def update(self, rows: np.ndarray, slope: np.ndarray) -> None:
         """``rows``: 3 x tokens; ``slope``: gradient of each token's logits."""
         flat = rows.ravel()
-        order = np.argsort(flat.astype(np.uint16 if ROWS <= 1 << 16 else np.int64), kind="stable")
+        order = np.argsort(flat.astype(np.uint16), kind="stable")  # 16 bits at a time are sorted by counting
+        if len(self.weights) > 1 << 16:
+            order = order[np.argsort((flat[order] >> 16).astype(np.uint16), kind="stable")]
         flat = flat[order]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         total = np.add.reduceat(slope[order % rows.shape[1]], first, axis=0)
@@ -249,30 +320,28 @@ def _fit_task(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         for part in X.texts(batch.column(0)):
             key, form, bounds = tokens(part)
             _, rank = m.ids(key)
-            feature = history(key, rank, bounds)
+            feature = history(key, rank, bounds, m.others)
             for at in range(0, len(key), BATCH):
                 f, r = feature[:, at : at + BATCH], rank[at : at + BATCH]
-                kind = np.where(r >= 0, r // CLASS_WORDS, CLASSES + form[at : at + BATCH])
-                rows = _rows(f, 0)
+                kind = m.kinds(r, form[at : at + BATCH])
+                rows = _rows(f, 0, len(m.class_rows))
                 w = classes.weights
                 slope = np.exp(_log_softmax(m.class_bias + w[rows[0]] + w[rows[1]] + w[rows[2]]))
                 slope[np.arange(len(r)), kind] -= 1
                 classes.update(rows, slope)
-                known = np.flatnonzero(r >= 0)
-                if len(known):
-                    k = kind[known]
-                    rows = _rows(f[:, known], k + 1)
+                for known, node, child in _steps(r):
+                    rows = _rows(f[:, known], node + 1, len(m.word_rows))
                     w = words.weights
-                    slope = np.exp(_log_softmax(m.word_bias[k] + w[rows[0]] + w[rows[1]] + w[rows[2]]))
-                    slope[np.arange(len(known)), r[known] % CLASS_WORDS] -= 1
+                    slope = np.exp(_log_softmax(m.word_bias[node] + w[rows[0]] + w[rows[1]] + w[rows[2]]))
+                    slope[np.arange(len(known)), child] -= 1
                     words.update(rows, slope)
     out: list[tuple[int, int, bytes, bytes]] = []
-    own = TaskContext.get().partitionId()
+    own, blocks = TaskContext.get().partitionId(), len(m.class_rows) // _BLOCK
     for table, t in enumerate((classes, words)):
-        for b in range(ROWS // _BLOCK):
+        for b in range(blocks):
             s = slice(b * _BLOCK, (b + 1) * _BLOCK)
             if t.used[s].any():
-                out.append((table * (ROWS // _BLOCK) + b, own, t.used[s].astype("<f8").tobytes(), (t.weights[s] * t.used[s, None]).astype("<f4").tobytes()))
+                out.append((table * blocks + b, own, t.used[s].astype("<f8").tobytes(), (t.weights[s] * t.used[s, None]).astype("<f4").tobytes()))
     yield _blocks(out)
 
 
@@ -295,12 +364,12 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _blocks([(s, p, u.tobytes(), t.astype("<f4").tobytes()) for (s, p), (u, t) in held.items()])
 
 
-def _summed(sent: DataFrame, parts: int) -> DataFrame:
+def _summed(sent: DataFrame, parts: int, slots: int = 2 * ROWS // _BLOCK) -> DataFrame:
     """The blocks of ``parts`` tasks added up by slot, as a tree: no task reads more than :data:`FAN_IN` blocks of a slot."""
     while parts > 1:
         parts = -(-parts // FAN_IN)
         grouped = sent.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int"))
-        sent = grouped.repartition(min(2 * ROWS // _BLOCK, 10_000) if parts == 1 else min(10_000, parts * 8), "slot", "part").mapInArrow(_add_blocks, _BLOCKS)
+        sent = grouped.repartition(min(slots, 128) if parts == 1 else min(10_000, parts * 8), "slot", "part").mapInArrow(_add_blocks, _BLOCKS)
     return sent
 
 
@@ -308,12 +377,13 @@ def fit(docs: DataFrame, counts: DataFrame, text: str = "text", key: str = "doc_
     """The model of the training rows ``docs``, whose word counts are given."""
     spark = docs.sparkSession
     model = unigram_model(counts)
-    blocks = ROWS // _BLOCK
+    rows = len(model.class_rows)
+    blocks, tasks = rows // _BLOCK, max(1, model.total // (TOKENS_A_ROW * rows))
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(model)  # TOP words and two tables of ROWS rows
-        own = docs.where(F.pmod(F.xxhash64(key), F.lit(ROUNDS)) == turn).select(text)
+        shared = spark.sparkContext.broadcast(model)  # the top words and two tables
+        own = docs.where(F.pmod(F.xxhash64(key), F.lit(ROUNDS)) == turn).select(text).coalesce(max(tasks, LEAST_TASKS))
         sent = own.mapInArrow(lambda b, s=shared: _fit_task(s.value, b), _BLOCKS)
-        done = _summed(sent, own.rdd.getNumPartitions()).collect()  # the rows of two tables
+        done = _summed(sent, own.rdd.getNumPartitions(), 2 * blocks).collect()  # the rows of two tables
         tables = [model.class_rows.copy(), model.word_rows.copy()]
         for r in done:
             t, b = divmod(r["slot"], blocks)
@@ -346,7 +416,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
                 row = np.repeat(np.arange(n), np.diff(bounds))
                 at, rank = m.ids(key)
                 share = np.where(at >= 0, np.log10(m.top_n[at] + 1.0), 0.0) if len(m.top) else np.zeros(len(key))
-                lm = log_probabilities(m, history(key, rank, bounds), rank, form) / np.log(10)
+                lm = log_probabilities(m, history(key, rank, bounds, m.others), rank, form) / np.log(10)
                 lm += np.where(rank < 0, share - other_low[form], 0.0)
                 tail = np.flatnonzero(at < 0)
                 order = np.lexsort((key[tail], row[tail]))
