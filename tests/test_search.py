@@ -199,3 +199,15 @@ def test_driver_side_positions():
     with pytest.raises(ValueError):
         extract_positions(0, b"a\0b")
     assert [rune_to_byte_offset("aé字".encode(), k) for k in range(4)] == [0, 1, 3, 6]
+
+
+def test_no_limit_returns_every_match_without_a_sort(spark):
+    ix = index(spark, {f"dir/n{i}": f"foo{i}bar" if i % 2 else "other" for i in range(300)})
+    odd = [f"dir/n{i}" for i in range(1, 300, 2)]
+    for s in (Searcher(ix), Searcher(ix, SearchOptions(candidate_factor=None))):
+        every = [s.search("foo", None), s.search_regex("foo[0-9]+bar", None), s.search_regex("[0-9]+", None)]
+        for found in every:
+            assert sorted(names(found)) == sorted(odd)
+            assert "GlobalLimit" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Sort [" not in plan
+        assert s.search("dir/", None).count() == 300
+    assert Searcher(ix).search("foo", 0).count() == 0

@@ -164,20 +164,22 @@ class Searcher:
         o = self.options
         return bm25_rank(self.index, tris, o.k1, o.b) if o.ranking == "bm25" else trigram_count_rank(self.index, tris)
 
-    def candidates(self, tris: list[str], max_results: int, count: bool = False) -> DataFrame:
+    def candidates(self, tris: list[str], max_results: int | None, count: bool = False) -> DataFrame:
         """The candidates that get verified."""
         ranked = trigram_count_rank(self.index, tris) if count else self.ranked(tris)
         factor = self.options.candidate_factor
+        if max_results is None:
+            return ranked
         return best(ranked, None if factor is None else factor * max_results)
 
     def empty(self) -> DataFrame:
         id_type = dict(self.index.docs.dtypes)["file_id"]
         return self.index.docs.sparkSession.createDataFrame([], f"file_id {id_type}, matched long, score double, rank_key long, name string, match_count int, snippets {SNIPPETS}")
 
-    def search(self, query: str, max_results: int = 100) -> DataFrame:
-        """Documents whose name or content holds ``query``, byte for byte, best first."""
+    def search(self, query: str, max_results: int | None = 100) -> DataFrame:
+        """Documents whose name or content holds ``query``, byte for byte, best first; with ``max_results=None`` every one, in no order."""
         tris = T.of_query(query)
-        if not tris or max_results <= 0:
+        if not tris or max_results is not None and max_results <= 0:
             return self.empty()
         o, raw = self.options, query.encode()
         found = self.candidates(tris, max_results).join(self.index.docs, "file_id")
@@ -191,12 +193,13 @@ class Searcher:
             spans = literal_spans(data, raw)
             return _lines_around(data, spans, o.context_lines, o.max_snippets_per_file) if spans else None
 
-        return best(_with_snippets(found, make), max_results)
+        made = _with_snippets(found, make)
+        return made if max_results is None else best(made, max_results)
 
-    def search_regex(self, pattern: str, max_results: int = 100) -> DataFrame:
-        """Documents whose content matches ``pattern``; no row if the pattern isn't valid."""
+    def search_regex(self, pattern: str, max_results: int | None = 100) -> DataFrame:
+        """Documents whose content matches ``pattern``; no row if the pattern isn't valid. ``max_results`` as in :meth:`search`."""
         docs = self.index.docs
-        if not valid_pattern(docs, pattern) or max_results <= 0:
+        if not valid_pattern(docs, pattern) or max_results is not None and max_results <= 0:
             return self.empty()
         tris = patterns.required_trigrams(pattern)
         text = F.col("content").cast("string")
@@ -204,7 +207,8 @@ class Searcher:
         if tris:
             found = self.candidates(tris, max_results, count=True).join(docs, "file_id").where(text.rlike(pattern))
         else:
-            found = docs.where(text.rlike(pattern)).orderBy("file_id").limit(max_results)
+            found = docs.where(text.rlike(pattern))
+            found = found if max_results is None else found.orderBy("file_id").limit(max_results)
             found = found.select("file_id", F.lit(0).cast("long").alias("matched"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank_key"), "name", "content")
 
         def make(name: str, content: object) -> list[dict] | None:
@@ -212,7 +216,8 @@ class Searcher:
             spans = regex_spans(data.decode("utf-8", "replace"), pattern)
             return _lines_around(data, spans, o.context_lines, o.max_snippets_per_file) if data and spans else None
 
-        return best(_with_snippets(found, make), max_results)
+        made = _with_snippets(found, make)
+        return made if max_results is None else best(made, max_results)
 
 
 def valid_pattern(docs: DataFrame, pattern: str) -> bool:

@@ -88,14 +88,14 @@ def search_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = search.SearchOptions(candidate_factor=None)
-    found = search.Searcher(index(spark, sf_dir), every).search("src12/", 1_000_000)
+    found = search.Searcher(index(spark, sf_dir), every).search("src12/", None)
     first = F.col("snippets")[0]
     return found.select("file_id", "match_count", first["line_number"].alias("line_number"), first["line_content"].alias("line_content"), first["matches"][0]["start"].alias("start"), first["matches"][0]["end"].alias("end"))
 
 
 def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = search.SearchOptions(candidate_factor=None)
-    found = search.Searcher(index(spark, sf_dir), every).search(RARE, 1_000_000)
+    found = search.Searcher(index(spark, sf_dir), every).search(RARE, None)
     return found.select("file_id", F.explode("snippets").alias("s")).select("file_id", "s.line_number", "s.byte_offset", "s.line_content", F.size("s.matches").alias("n_matches"))
 
 
@@ -107,7 +107,7 @@ def regex_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = search.SearchOptions(candidate_factor=None)
-    return search.Searcher(index(spark, sf_dir), every).search_regex(PATTERN, 1_000_000).select("file_id", "matched")
+    return search.Searcher(index(spark, sf_dir), every).search_regex(PATTERN, None).select("file_id", "matched")
 
 
 def regex_full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
