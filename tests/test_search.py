@@ -211,3 +211,19 @@ def test_no_limit_returns_every_match_without_a_sort(spark):
             assert "GlobalLimit" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Sort [" not in plan
         assert s.search("dir/", None).count() == 300
     assert Searcher(ix).search("foo", 0).count() == 0
+
+
+def test_proximity_pairs_of_whole_texts(spark, tmp_path):
+    """Against brute force, in texts that go on after characters beyond ASCII; compat mode stops there."""
+    from trigrove.plans import catalog
+
+    texts = ["a lion with wit", "é ion 字字 with nation", "ion" + "字" * 17 + "wit", "ion" + "字" * 18 + "wit", "nation" * 3 + "é" + "wit" * 4, None, ""]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = []
+    for i, t in enumerate(texts):
+        body = f"s/{i}\n{t or ''}"
+        at = lambda x: [k for k in range(len(body)) if body.startswith(x, k)]
+        want += [(i, a, b) for a in at("ion") for b in at("wit") if abs(a - b) <= 20]
+    assert sorted(map(tuple, catalog.proximity_pairs_whole(spark, f"file://{tmp_path}").collect())) == sorted(want)
+    found = positional_postings(positions(catalog.documents(spark, f"file://{tmp_path}"), compat=True))
+    assert {r[0] for r in proximity_pairs(found, b"ion".hex(), b"wit".hex(), 20).collect()} == {0} < {i for i, _, _ in want}

@@ -153,6 +153,12 @@ def proximity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.proximity_pairs(positions.positional_postings(found), b"src".hex(), b"the".hex(), 40)
 
 
+def proximity_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs over whole texts; the SQL of ``proximity_pairs`` stops at the first character beyond ASCII."""
+    found = positions.positions(documents(spark, sf_dir)).where(F.col("tri").isin(b"ion".hex().upper(), b"wit".hex().upper()))
+    return positions.proximity_pairs(positions.positional_postings(found), b"ion".hex(), b"wit".hex(), 20)
+
+
 def rune_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.rune_maps(documents(spark, sf_dir)).select("file_id", F.posexplode("samples").alias("k", "byte_offset"))
 
@@ -240,7 +246,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         trigram_extract, trigram_count, posting_build, posting_lookup, df_dictionary, admission_filter, search_trigram_count, search_bm25, search_verified, search_name_match, search_snippets,
-        regex_trigrams, search_regex, regex_full_scan, field_search_boost, field_search_single, field_search_all, field_lookup_all, positional_postings, proximity_search, proximity_pairs, rune_sample,
+        regex_trigrams, search_regex, regex_full_scan, field_search_boost, field_search_single, field_search_all, field_lookup_all, positional_postings, proximity_search, proximity_pairs, proximity_pairs_whole, rune_sample,
         segment_lookup, segment_delete, segment_upsert, segment_merge, segment_counts, change_detect, manager_sanitize, stream_ingest,
     )
 } | {"global_ids": global_id_bases}
@@ -339,6 +345,8 @@ ORACLES: dict[str, str] = {
         select distinct x.file_id from h x join h y on x.file_id = y.file_id and x.tri = '696F6E' and y.tri = '776974' and abs(x.rune - y.rune) <= 20""",
     "proximity_pairs": f"""with {_DOCS}, s as (select file_id, regexp_extract(body, '^[\\x00-\\x7F]*') as body from d), q as ({_positions('body', 's')})
         select x.file_id, x.byte_offset::integer as rune_a, y.byte_offset::integer as rune_b from q x join q y on x.file_id = y.file_id and x.tri = '737263' and y.tri = '746865' and abs(x.byte_offset - y.byte_offset) <= 40""",
+    "proximity_pairs_whole": f"""with {_DOCS}, q as ({_positions('body', 'd')}), h as (select q.*, len(decode(encode(body)[1:byte_offset])) as rune from q join d using (file_id) where tri in ('696F6E', '776974'))
+        select x.file_id, x.rune::integer as rune_a, y.rune::integer as rune_b from h x join h y on x.file_id = y.file_id and x.tri = '696F6E' and y.tri = '776974' and abs(x.rune - y.rune) <= 20""",
     "rune_sample": f"""with {_DOCS}, s as (select file_id, body, unnest(range(0, (len(body) - 1) // 100 + 1)) as k from d where len(body) > 0)
         select file_id, k::integer as k, strlen(left(body, 100 * k))::integer as byte_offset from s""",
     "segment_lookup": f"with {_SEGMENTS} select local_id as file_id, local_id + case when seg = 1 then (select count(*) from a where seg = 0) else 0 end as global_id, seg::integer as segment_idx from n where list_contains({_tris('body')}, '696F6E')",
