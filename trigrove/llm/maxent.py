@@ -13,7 +13,7 @@ The vocabulary, the feature rows and the buckets of other words in a history
 grow as the root of the number of training tokens (:func:`sizes`), a word's
 work as the vocabulary's logarithm.
 
-Training makes :data:`ROUNDS` rounds of distributed gradient updates over a
+Training makes :data:`ROUNDS` rounds of distributed gradient updates, together one pass over a
 partition of all training rows: each task walks its rows with AdaGrad from the
 round's weights and sends the rows of the tables that it changed; their means,
 weighted by use, are the next weights.  A round takes so few tasks that the
