@@ -110,3 +110,13 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 200: 100, 300: 100, 500: 400}
     assert connected_components(df.where(F.lit(False))).count() == 0
+
+
+def test_links_are_named_as_those_of_the_grouping(spark):
+    """Of mutually similar texts only links that span the group are counted, and the column says so."""
+    base = " ".join(f"word{k}" for k in range(200))
+    docs = spark.createDataFrame([(i, f"{base} end{i}") for i in range(6)], "doc_id long, text string")
+    got = M.near_duplicates(docs)
+    assert "n_links" not in got.columns
+    rows = got.collect()
+    assert {r["component_id"] for r in rows} == {0} and all(r["n_spanning_links"] >= 1 for r in rows)

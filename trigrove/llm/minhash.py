@@ -144,10 +144,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, n_links`` of every row.
+    """``doc_id, n_shingles, component_id, kept, n_spanning_links`` of every row.
 
-    ``n_links`` counts the confirmed links of the row's set that the grouping
-    used; ``kept`` marks the smallest id of each group.
+    ``n_spanning_links`` counts the confirmed links of the row's set that the grouping
+    used, not all near duplicates of the row; ``kept`` marks the smallest id of each group.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
     rows = written(source.mapInArrow(_describe, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "minhash-rows")
@@ -176,8 +176,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     more = written(_verified(across, sets), "minhash-links")
     used = links.union(more)
     groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    counts = used.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    counts = used.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_spanning_links"))
     classes = nodes.select("k1", "k2", "n_shingles", "node").join(groups, "node", "left").join(counts, "node", "left")
-    classes = classes.select("k1", "k2", "n_shingles", F.coalesce("component", "node").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = classes.select("k1", "k2", "n_shingles", F.coalesce("component", "node").alias("c"), F.coalesce("n_spanning_links", F.lit(0)).alias("n_spanning_links"))
     out = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("c")), F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("c")), F.col("doc_id")).alias("component_id"), F.coalesce("n_spanning_links", F.lit(0)).alias("n_spanning_links")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
