@@ -82,36 +82,35 @@ def split(part: X.Texts) -> Split:
     return Split(begin, np.append(begin[1:], len(data)), np.searchsorted(begin, offsets))
 
 
-def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Positions ``start .. start + size`` of each pair, one after the other."""
-    ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(start - (ends - size), size)
-
-
 class Encoder:
-    """Ids of whole batches; only pre-tokens that this process hasn't met reach ``encode``."""
+    """Ids of whole batches; only pre-tokens that this process hasn't met reach ``encode``.
+
+    A pre-token is found by its hash and then compared, byte for byte, with the
+    one that was encoded.  Should two share a hash, that part is encoded anew.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], cached: int = CACHED):
         self.encode, self.cached = encode, cached
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        self.key, self.at, self.size, self.text_at, self.text_size = np.zeros(0, np.uint64), none, none, none, none
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.text, self.text_used = np.zeros(1 << 18, np.uint8), 0
 
     def _learn(self, key: np.ndarray, pieces: list[bytes]) -> None:
         found = self.encode(pieces)
         size = np.array([len(x) for x in found], np.int64)
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], flat, np.zeros(self.used + len(flat), np.uint32)])
-        else:
-            self.ids[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(size) - size
-        self.used += len(flat)
+        text_size = np.array([len(x) for x in pieces], np.int64)
+        text = np.frombuffer(b"".join(pieces), np.uint8)
+        at, text_at = self.used + np.cumsum(size) - size, self.text_used + np.cumsum(text_size) - text_size
+        self.ids, self.used = _appended(self.ids, self.used, flat)
+        self.text, self.text_used = _appended(self.text, self.text_used, text)
         place = np.searchsorted(self.key, key)
         self.key, self.at, self.size = np.insert(self.key, place, key), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.text_at, self.text_size = np.insert(self.text_at, place, text_at), np.insert(self.text_size, place, text_size)
 
     def rows(self, part: X.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and ``rows + 1`` bounds."""
@@ -128,6 +127,23 @@ class Encoder:
             lo, hi = found.start[index[new]].tolist(), found.end[index[new]].tolist()
             self._learn(key[new], [raw[a:b] for a, b in zip(lo, hi)])
             place = np.searchsorted(self.key, key)
-        at, size = self.at[place][inverse], self.size[place][inverse]
+        own = place[inverse]
+        at, size = self.at[own], self.size[own]
+        if not X.same_bytes(part.data, found.start, found.end, X.view(self.text, spare=True), self.text_at[own], self.text_at[own] + self.text_size[own]).all():
+            return self._anew(part, found)
         ends = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[spread(at, size)], ends[found.bounds]
+        return self.ids[X.spread(at, size)], ends[found.bounds]
+
+    def _anew(self, part: X.Texts, found: Split) -> tuple[np.ndarray, np.ndarray]:
+        raw = part.data.tobytes()
+        ids = self.encode([raw[a:b] for a, b in zip(found.start.tolist(), found.end.tolist())])
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(ends[-1])), ends[found.bounds]
+
+
+def _appended(held: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """The array with ``more`` from ``used`` on, made longer if it doesn't leave eight elements spare."""
+    if used + len(more) + 8 > len(held):
+        held = np.concatenate([held[:used], np.zeros(used + 2 * len(more) + 8, held.dtype)])
+    held[used : used + len(more)] = more
+    return held, used + len(more)

@@ -18,7 +18,6 @@ CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
-_BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -33,23 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _BASE)
-_LOWER_BYTE = _BYTE.copy()
-_LOWER_BYTE[65:91] = _BYTE[97:123]
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to ``n``; only usual sizes stay in memory."""
-    global _powers
-    if len(_powers[0]) <= n:
-        up, down = np.full(n + 1, _BASE), np.full(n + 1, _BASE_INVERSE)
-        up[0] = down[0] = _U(1)
-        made = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if n > 4 * CHUNK_BYTES:
-            return made
-        _powers = made
-    return _powers
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 class Texts(NamedTuple):
@@ -85,28 +69,99 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def segment_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, table: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hashes of byte segments (in order, not overlapping): equal bytes, equal values, in every process."""
-    if table is None:
-        table = _LOWER_BYTE if lower else _BYTE
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions ``start .. start + size`` of each pair, one after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(start - (ends - size), size)
+
+
+def view(data: np.ndarray, spare: bool = False) -> np.ndarray:
+    """The eight bytes from each byte on as a number; ``spare``: eight bytes more than used are there already."""
+    if not spare:
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        data = padded
+    return np.ndarray(len(data) - 7, "<u8", data.data, 0, (1,))
+
+
+def _blocks(every: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of segments as 64-bit numbers, the last one of a segment filled up with zeros, and how many each has."""
+    count = -(-(end - start) // 8)
+    last = np.cumsum(count) - 1
+    place = np.arange(int(last[-1]) + 1 if len(last) else 0) - np.repeat(last + 1 - count, count)
+    value = every[np.repeat(start, count) + 8 * place]
+    full = count > 0
+    tail = (end - start - 8 * (count - 1))[full]
+    value[last[full]] &= ~_U(0) >> (_U(8) * (8 - tail).astype(_U))
+    return value, count
+
+
+def segment_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte segments (in order, not overlapping): equal bytes, equal values, in every process.
+
+    Eight bytes at a time are mixed with their place in the segment before they
+    are added up, so no arithmetic relation between texts makes two hashes meet.
+    Values are of 64 bits all the same: where equality must be certain, callers
+    compare the bytes too (:func:`same_bytes`).
+    """
     if len(data) <= 4 * CHUNK_BYTES or len(start) < 2:
-        return _hashes(data, start, end, table)
+        return _hashes(data, start, end, seed)
     out, at = np.empty(len(start), _U), 0
     while at < len(start):  # a long text's segments go by runs of about a chunk
         to = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK_BYTES, "right")))
         base = start[at]
-        out[at:to] = _hashes(data[base : end[to - 1]], start[at:to] - base, end[at:to] - base, table)
+        out[at:to] = _hashes(data[base : end[to - 1]], start[at:to] - base, end[at:to] - base, seed)
         at = to
     return out
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(table[data] * up[: len(data)], out=sums[1:])
-    found = (sums[end] - sums[start]) * down[start]
-    found ^= (end - start).astype(_U) << _U(48)
-    return mix(found)
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    if not len(start):
+        return np.zeros(0, _U)
+    value, count = _blocks(view(data), start, end)
+    salt = _U((seed * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF)
+    value *= _U(0xD1342543DE82EF95)
+    value += salt
+    if len(value) == len(start) and (count == 1).all():
+        total = mix(value)
+    else:
+        first = np.cumsum(count) - count
+        value += (np.arange(len(value)) - np.repeat(first, count)).astype(_U) * _BASE
+        sums = np.zeros(len(value) + 1, _U)
+        np.cumsum(mix(value), out=sums[1:])
+        total = sums[first + count] - sums[first]
+    return mix(total + (end - start).astype(_U) * _BASE)
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray | None, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether each segment of ``data`` equals, byte for byte, its partner in ``other`` (a :func:`view`; None: in ``data``)."""
+    size = end - start
+    same = size == end2 - start2
+    at = np.flatnonzero(same & (size > 0))
+    if not len(at):
+        return same
+    one = view(data)
+    two = one if other is None else other
+    run = np.cumsum(size[at]) // (4 * CHUNK_BYTES)  # long segments are compared a few at a time
+    for own in np.split(at, np.flatnonzero(np.diff(run)) + 1) if run[-1] else [at]:
+        value, count = _blocks(one, start[own], end[own])
+        differ = value != _blocks(two, start2[own], end2[own])[0]
+        same[own] = np.add.reduceat(differ, np.cumsum(count) - count) == 0
+    return same
+
+
+def exact_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """Numbers from 0 for segments, equal where their bytes are equal and nowhere else, and how many there are."""
+    key = segment_hash(data, start, end) if hashes is None else hashes
+    _, index, found = np.unique(key, return_index=True, return_inverse=True)
+    found = found.reshape(-1)
+    rest = np.flatnonzero(index[found] != np.arange(len(found)))
+    first = index[found[rest]]
+    if same_bytes(data, start[rest], end[rest], None, start[first], end[first]).all():
+        return found, len(index)
+    raw, seen = data.tobytes(), {}  # two texts of one hash: rarer than any test will see, yet settled by the bytes
+    return np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(start.tolist(), end.tolist())], np.int64), len(seen)
 
 
 def words(part: Texts, lower: bool = False) -> Words:
@@ -126,7 +181,7 @@ def words(part: Texts, lower: bool = False) -> Words:
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     bounds = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    return Words(start, end, row, bounds, segment_hash(data, start, end, lower))
+    return Words(start, end, row, bounds, segment_hash(LOWER[data] if lower else data, start, end))
 
 
 def lines(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,6 +8,9 @@ stay in their buckets and are skipped when they come up.  A pre-token of n
 bytes costs O(n log n) whatever its length.
 
 Edge cases: null and empty texts have no ids.  Any valid text round-trips.
+Repeated rows are encoded alike; an empty table gives an empty result.  Of the
+columns that are carried, one that bears the name of a result column (``ids``,
+``decoded``) is replaced by it; all others keep their names and values.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._pretokens import Encoder, spread
+from ._pretokens import Encoder
 
 
 class RankQueue:
@@ -136,7 +139,7 @@ class Bpe:
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of the ids, and the end of each id's bytes."""
         size = self.sizes[ids]
-        return self.bytes[spread(self.starts[ids], size)], np.cumsum(size)
+        return self.bytes[X.spread(self.starts[ids], size)], np.cumsum(size)
 
 
 _loaded: dict[str, Bpe] = {}

@@ -16,7 +16,9 @@ Maximal runs of at least ``min_words`` words are deleted from the later copy,
 together with the blank lines that follow a deleted line; the first copy stays.
 
 Every table of a round is written to the shared folder.  Exact copies of whole
-texts take part once.  Lines are equal if 128 bits of hashes are.
+texts take part once.  Lines are equal if 128 bits of their BLAKE2 digests are,
+texts if 128 bits of their SHA-256 are: cryptographic digests, of which no two
+different inputs with a common value are known.
 
 Edge cases: a null text stays null, with no lines.  Rows that have equal ids
 and texts are one document, cut alike.  Rows without an id come last.  A text
@@ -26,6 +28,7 @@ that is deleted whole becomes empty.  Extra columns are passed through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,6 @@ from ._store import drop, written
 #: Words of a repeated run, at least.
 MIN_WORDS = 10
 _LAST = (1 << 63) - 1
-_SALT = X.mix(np.arange(1000, 1256, dtype=np.uint64))
 
 
 def _full_lines(part: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +59,10 @@ def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(part.offsets) - 1
             start, end, row, _ = _full_lines(part)
             bounds = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(X.segment_hash(part.data, start, end, table=t).view(np.int64))) for t in (None, _SALT)]
+            raw = memoryview(part.data)
+            digests = b"".join(blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist()))
+            halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(halves[:, i]))) for i in (0, 1)]
             own = batch.slice(part.first, n)
             yield pa.RecordBatch.from_arrays([*own.columns[:3], *lists], ["d", "t1", "t2", "h1", "h2"])
 
@@ -83,7 +88,9 @@ def _ranked(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def text_key(text: str) -> list[Column]:
-    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+    """Two longs: the first 128 bits of the text's SHA-256."""
+    digest = F.sha2(F.col(text), 256)
+    return [F.conv(F.substring(digest, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "t1"), (17, "t2"))]
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -11,7 +11,8 @@ many tasks.
 
 Edge cases: a null or empty text is its closing id alone.  Repeated rows are
 packed as often as they occur, in any order among themselves.  Without rows
-there are no sequences.
+there are no sequences.  Of the input only the key and the text are read, so
+extra columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
