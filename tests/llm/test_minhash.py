@@ -120,3 +120,27 @@ def test_links_are_named_as_those_of_the_grouping(spark):
     assert "n_links" not in got.columns
     rows = got.collect()
     assert {r["component_id"] for r in rows} == {0} and all(r["n_spanning_links"] >= 1 for r in rows)
+
+
+def test_pages_of_one_template_meet_in_few_pairs(spark):
+    """Seven tenths in common: they share buckets, but none is linked and few pairs are compared."""
+    common = " ".join(f"t{k}" for k in range(140))
+    rows = [(i, common + " " + " ".join(f"own{i}x{k}" for k in range(60))) for i in range(60)]
+    rows += [(100, rows[7][1] + " more"), (101, rows[9][1] + " words")]
+    check(spark, rows)
+    part = next(iter(X.texts(pa.array([t for _, t in rows]))))
+    value, bounds = M.shingle_sets(part)
+    sets = [(i, i, value[bounds[k] : bounds[k + 1]].view(np.int64).tolist()) for k, (i, _) in enumerate(rows)]
+    pairs = {(r["a"], r["b"]) for r in M._across(spark.createDataFrame(sets, "node long, c long, shingles array<long>")).collect()}
+    assert {(7, 100), (9, 101)} <= pairs and len(pairs) < 20  # of 1,891
+
+
+def test_prefix_filter_misses_no_link(spark):
+    r = random.Random(6)
+    sets = []
+    for i in range(120):
+        base = r.sample(range(30), r.choice([1, 2, 4, 9, 20]))
+        sets.append((i, i, sorted({x if r.random() < 0.9 else 100 + x for x in base})))
+    got = {(x["a"], x["b"]) for x in M._across(spark.createDataFrame(sets, "node long, c long, shingles array<long>")).collect()}
+    want = {(a, b) for a, _, x in sets for b, _, y in sets if a < b and 100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y))}
+    assert want <= got

@@ -1,13 +1,22 @@
 """Near-duplicate detection: SuperMinHash signatures, banding, exact verification, union-find grouping.
 
-A text's set holds its distinct two-word shingles (64-bit hashes).  SuperMinHash
-draws one permutation of the signature's slots per shingle, rank by rank; a
-shingle stops as soon as its rank exceeds every slot's present value, so most
-stop after a few ranks.  Equal sets collapse into one node before banding.
-Inside a bucket each node is first checked against a single hub; only where the
-verified links leave a bucket in several components are the pairs *between*
-components checked too.  Every link is confirmed on the full sets, so there are
-no false links.  A link at exactly the threshold is missed if all bands differ:
+A text's set holds its distinct two-word shingles (64-bit hashes of a mixing
+hash over the words' bytes).  SuperMinHash draws one permutation of the
+signature's slots per shingle, rank by rank; a shingle stops as soon as its rank
+exceeds every slot's present value, so most stop after a few ranks.  Texts with
+the same sequence of words, by a 128-bit BLAKE2 digest, collapse into one node
+before banding.  Inside a bucket each node is first checked against a single hub.
+
+Where those links leave a bucket in several components, its nodes are compared
+across components by an exact prefix filter: each set is put in one order of
+shingles for all (rarest first, by a counted table of bounded size), and two
+sets that are similar enough share a shingle among the first quarter of each.
+So pages of one template, which share most of their shingles without being
+similar enough, meet in few pairs and not all with all, and no bucket's pairs
+are enumerated.  Sizes and places of the shared shingle rule out further pairs.
+
+Every link is confirmed on the full sets, so there are no false links.  A link
+at exactly the threshold is missed if all bands differ:
 ``(1 - 0.75**ROWS) ** BANDS``, 2e-6.
 
 Edge cases: a null or empty text has the empty set and is linked with nothing
@@ -15,12 +24,14 @@ Edge cases: a null or empty text has the empty set and is linked with nothing
 get statistics and a null component.  Rows are grouped
 by their texts, so rows with an equal id and different texts may differ; where
 such an id is the smallest of both texts, the set that sorts first stands for it.
-An empty table gives an empty result.
+An empty table gives an empty result.  Of the input only the key and the text
+are read, so extra columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +46,14 @@ BANDS, ROWS = 48, 5
 SLOTS = BANDS * ROWS
 #: Link where 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
+#: Counters of the table that orders shingles: one for this many shingles, within these bounds (a power of two).
+SHINGLES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 256, 1 << 12, 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(part: X.Texts) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(part: X.Texts, w: X.Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles, sorted inside each row, and ``rows + 1`` bounds."""
-    w = X.words(part, lower=True)
+    w = X.words(part, lower=True) if w is None else w
     n = len(part.offsets) - 1
     if not len(w.row):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
@@ -57,6 +70,18 @@ def shingle_sets(part: X.Texts) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(row, np.arange(n + 1))
 
 
+def word_digests(part: X.Texts, w: X.Words) -> np.ndarray:
+    """``rows x 2`` longs: a digest of each row's lower-cased words with single spaces between them."""
+    keep = ~X.SPACE[part.data]
+    gap = w.end[:-1][w.row[:-1] == w.row[1:]]
+    keep[gap] = True
+    body = X.LOWER[part.data]
+    body[gap] = 32
+    raw = memoryview(body[keep])
+    ends = X.counted_prefix(keep)[part.offsets].tolist()
+    return np.frombuffer(b"".join(blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends, ends[1:])), np.int64).reshape(-1, 2)
+
+
 def signatures(value: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """SuperMinHash: ``rows x slots`` of ``rank << 24 | fraction``; rows with an empty set keep the maximum."""
     n = len(bounds) - 1
@@ -100,12 +125,6 @@ def band_keys(best: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return key.view(np.int64)
 
 
-def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x, out=total[1:])
-    return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
-
-
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
@@ -114,11 +133,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for part in X.texts(batch.column(1)):
-            value, bounds = shingle_sets(part)
+            w = X.words(part, lower=True)
+            value, bounds = shingle_sets(part, w)
             n = np.diff(bounds)
             full = np.flatnonzero(n)
+            digest = word_digests(part, w)
             keys = band_keys(signatures(value, np.append(bounds[:-1][full], len(value)))) if len(full) else np.zeros((0, BANDS), np.int64)
-            out.append((n, _sums(X.mix(value), bounds), _sums(X.mix(value ^ _GOLD), bounds), keys.ravel(), np.where(n > 0, BANDS, 0)))
+            out.append((n, digest[:, 0], digest[:, 1], keys.ravel(), np.where(n > 0, BANDS, 0)))
         if out:
             n, k1, k2, keys, size = (np.concatenate(x) for x in zip(*out))
             lists = _lists(keys, np.concatenate([[0], np.cumsum(size)]))
@@ -143,6 +164,59 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(F.lit(100) * common >= F.lit(SIMILAR) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _counters(sets: DataFrame) -> np.ndarray:
+    """How common the shingles of each hash bucket are over all ``sets(shingles)``, in eighths of an octave."""
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    size = LEAST_COUNTERS
+    while size < min(MOST_COUNTERS, total // SHINGLES_A_COUNTER):
+        size *= 2
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy().view(np.uint64)
+            held += np.bincount((flat & np.uint64(size - 1)).astype(np.int64), minlength=size)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], ["at", "n"])
+
+    found = sets.select("shingles").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # MOST_COUNTERS rows
+    out = np.zeros(size, np.uint16)
+    out[found["at"].to_numpy()] = np.log2(found["n"].to_numpy()) * 8 + 1
+    return out
+
+
+def _prefixes(sets: DataFrame, counters: np.ndarray) -> DataFrame:
+    """``token, node, c, n, place``: of each set the rarest shingles, one of which any similar set has among its own."""
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            value = lists.flatten().to_numpy().view(np.uint64)
+            n = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((value, counters[(value & np.uint64(len(counters) - 1)).astype(np.int64)], row))
+            place = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n)  # the order keeps rows together
+            used = place < (n - (SIMILAR * n + 99) // 100 + 1)[row]
+            own = row[used]
+            arrays = [pa.array(value[order][used].view(np.int64)), batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(n[own].astype(np.int32)), pa.array(place[used].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["token", "node", "c", "n", "place"])
+
+    return sets.select("node", "c", "shingles").mapInArrow(prefix, "token long, node long, c long, n int, place int")
+
+
+def _across(sets: DataFrame) -> DataFrame:
+    """``a, b``: pairs of ``sets(node, c, shingles)`` with different ``c`` that may be similar enough; none that is, is missing."""
+    found = written(_prefixes(sets, _counters(sets)), "minhash-prefixes")
+    shared = found.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
+    found = found.join(shared, "token")
+    a, b = found.alias("a"), found.alias("b")
+    least = (F.col("a.n") + F.col("b.n")) * F.lit(SIMILAR)  # of (100 + SIMILAR) times the common shingles
+    most = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))  # as a pair's first common shingle
+    allowed = (F.lit(100) * F.least("a.n", "b.n") >= F.lit(SIMILAR) * F.greatest("a.n", "b.n")) & (F.lit(100 + SIMILAR) * most >= least)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & allowed)
+    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, n_spanning_links`` of every row.
 
@@ -152,12 +226,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
     rows = written(source.mapInArrow(_describe, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "minhash-rows")
     valid = rows.where("n_shingles > 0 and doc_id is not null")
-    # rows with equal sets become one node, named by their smallest id; partial aggregation absorbs groups of copies
+    # rows with equal words become one node, named by their smallest id; partial aggregation absorbs groups of copies
     nodes = written(valid.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("s")).select("k1", "k2", "n_shingles", F.col("s.doc_id").alias("node"), F.col("s.bands").alias("bands")), "minhash-nodes")
     band = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
     shared = band.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last")
     member = written(band.join(shared.select("key", "hub"), "key"), "minhash-members")
-    close = lambda a, b: (F.lit(100) * F.least(a, b) >= F.lit(SIMILAR) * F.greatest(a, b))
     # first each node against the hub with which it shares most buckets
     first = member.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
     first = first.groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("s")).select(F.col("node").alias("a"), (-F.col("s.h")).alias("b"))
@@ -165,14 +238,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     sets = written(source.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(_sets, "node long, shingles array<long>").groupBy("node").agg(F.min("shingles").alias("shingles")), "minhash-sets")
     links = written(_verified(first, sets), "minhash-links")
     groups = connected_components(links)
-    # then the pairs of a bucket that are still in different components, whose sizes allow a link
-    placed = written(member.join(groups, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("c")), "minhash-placed")
+    # then the nodes of the buckets that are still in several components
+    placed = written(member.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "minhash-placed")
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    split = placed.join(mixed, "key")
-    a, b = split.alias("a"), split.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & close(F.col("a.n_shingles"), F.col("b.n_shingles")))
-    across = across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    across = across.join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    split = placed.join(mixed, "key").select("node", "c").distinct()
+    across = _across(written(sets.join(split, "node"), "minhash-split"))
+    across = across.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = written(_verified(across, sets), "minhash-links")
     used = links.union(more)
     groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
