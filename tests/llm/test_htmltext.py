@@ -1,8 +1,10 @@
 import itertools
 import random
+import time
 
 import numpy as np
 
+from tests.llm import pages as by_hand
 from trigrove.llm import gbt
 from trigrove.llm import htmltext as H
 
@@ -70,3 +72,36 @@ def test_extract(spark):
     assert len(got) == 5 and all(r["n_chars"] == len(r["text"]) for r in got) and H.extract(pages).columns == ["page_id", "url", "tag", "text", "n_chars"]
     assert {r["text"] for r in got if r["page_id"] == 2} == {""}
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_pages_of_other_layouts():
+    for html, text in by_hand.ALL:
+        assert H.main_texts([html], H.model())[0] == text
+
+
+def test_the_stored_trees_are_those_of_training():
+    made, held = H.train(pages=60), H.model()
+    assert made.feature.shape == held.feature.shape and made.leaf.shape == held.leaf.shape
+    page = by_hand.BLOG[0]
+    nodes = H.empty()
+    H.parse(page, 0, nodes)
+    assert (made.log_odds(H.features(nodes)) > 0).mean() > 0  # the same features
+
+
+def test_time_follows_the_length():
+    n = 100_000
+    for bit in ("<a'", '<a ">"', "<a ", "<dt></dt>", "data-x", "<p class='data-", "<div><dd></dd>", '<a "b>'):
+        for tail in ("", ">"):
+            page = "<dt>" * (bit[1] == "d") + bit * n + tail
+            began = time.time()
+            nodes = H.empty()
+            H.parse(page, 0, nodes)
+            assert time.time() - began < 20, bit
+            assert max(nodes.depth) <= H.DEEPEST + 1
+
+
+def test_parsing_of_odd_tags():
+    for html, want in [("a<b", "a<b"), ("1 < 2 &lt; 3", "1 < 2 < 3"), ("x<p title='>'>y</p>", "x|y"), ("x<p title='>y</p>z", "x|y|z"), ("<xmp>a &amp; b</xmp>", "a &amp; b"), ("a<!-- b", "a")]:
+        nodes = H.empty()
+        H.parse(html, 0, nodes)
+        assert "|".join(t for t in nodes.text if t) == want, html

@@ -8,7 +8,6 @@ import numpy as np
 
 
 class Trees(NamedTuple):
-    edges: list[np.ndarray]  # bin edges of each feature
     feature: np.ndarray  # trees x inner nodes, heap order
     cut: np.ndarray  # goes right where the value exceeds it
     leaf: np.ndarray  # trees x leaves
@@ -62,4 +61,4 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
         place = at - inner
         values[t] = -rate * np.bincount(place, g, leaves) / (np.bincount(place, h, leaves) + shrink)
         z += values[t][place]
-    return Trees(edges, features, cuts, values, prior)
+    return Trees(features, cuts, values, prior)

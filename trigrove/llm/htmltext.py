@@ -9,37 +9,59 @@ has no descendant with any; a bottom-up and a top-down pass find it exactly.
 
 There are no labelled pages, so the trees are trained on generated ones, whose
 layouts, tags and attribute tokens vary (:func:`training_page`); the generator
-and the seed are fixed, and so is the model.
+and the seed are fixed, and so is the model.  :func:`train` made the trees that
+lie beside this module, and makes the same ones again.
 
 Edge cases: null, empty and text-free pages give the empty text.  Unclosed or
 misnested tags, quotes and comments, at any length, are parsed like a browser
-would roughly do; scripts and styles end with the page at the latest.
+would roughly do, in time proportional to the page (but for sorting); scripts
+and styles end with the page at the latest, and elements deeper than
+:data:`DEEPEST` become siblings.  A ``<`` that no ``>`` follows is text.
+Character references are decoded in each run of text by itself, so a tag inside
+one leaves it as it is.  Repeated rows give equal texts; an empty table gives an
+empty result.  Extra columns pass through, but ``text`` and ``n_chars`` are
+replaced by the result's.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>?|<([a-zA-Z][^\s/>]*+)[^>]*+>|[^<]++|<""", re.S)
-_ATTRIBUTE = re.compile(r"""(?:class|id|role|aria-label|itemprop|data-[\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)|<[!?/][^>]*+>?|[^<]++|<", re.S)
+_TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role|aria-label|itemprop|data-[\w-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
+_OPEN_END = re.compile("<[!?/]")
+_UPPER = bytes(range(65, 91))
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "select", "object", "noembed", "noframes", "xmp", "canvas", "audio", "video"}
+#: Bytes of pages whose nodes are held together, about.
+PART_BYTES = 1 << 19
+#: Elements on the path to a node, at most; browsers cut there too.
+DEEPEST = 512
+_RAW = {"script", "style", "textarea", "title", "iframe", "template", "select", "noembed", "noframes", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+_INLINE = set(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var "
+    "object canvas audio video svg g text tspan textpath symbol use defs path circle ellipse rect line polyline polygon "
+    "math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot munder mover munderover mfenced mstyle mpadded mphantom semantics annotation annotation-xml".split()
+)
 _GROUPS = ["p", "h1 h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "div", "section", "article main", "nav", "header", "footer", "aside", "form fieldset button legend option", "table tbody thead tr td th", "figure figcaption", "blockquote pre", "body html head", "dialog details summary"]
 _GROUP = {tag: i for i, tags in enumerate(_GROUPS) for tag in tags.split()}
 _OTHER = len(_GROUPS)
@@ -76,6 +98,21 @@ class Nodes(NamedTuple):
     page: list[int]
 
 
+def _tag_ends(html: str) -> tuple[list[int], list[int]]:
+    """Places of quotes and ``>``, and for each of them, met outside a quotation, where the tag ends (-1: never)."""
+    marks = [m.start() for m in re.finditer("[\"'>]", html)]
+    ends = [-1] * (len(marks) + 2)
+    after = {'"': len(marks), "'": len(marks)}  # the next quote of each kind
+    for k in reversed(range(len(marks))):
+        c = html[marks[k]]
+        if c == ">":
+            ends[k] = marks[k] + 1
+        else:
+            ends[k] = ends[after[c] + 1]
+            after[c] = k
+    return marks, ends
+
+
 def parse(html: str, page: int, out: Nodes) -> None:
     """Append a page's nodes."""
     parent, end, depth, tags, bits, links, texts, pages = out
@@ -98,11 +135,13 @@ def parse(html: str, page: int, out: Nodes) -> None:
     pieces: list[str] = []
     linked = 0
     in_link = False
+    last = html.rfind(">")
+    ends: tuple[list[int], list[int]] | None = None
 
     def flush() -> None:
         nonlocal linked
         if pieces:
-            body = " ".join(unescape("".join(pieces)).split())
+            body = " ".join("".join(pieces).split())
             if body:
                 up = stack[-1][1]
                 add(up, len(stack), tags[up], 0, body, min(linked, len(body)))
@@ -114,19 +153,39 @@ def parse(html: str, page: int, out: Nodes) -> None:
         names[name] -= 1
         end[node] = len(parent)
 
+    def tag_end(at: int) -> int:
+        """Where the tag ends whose name ends at ``at``: past quoted values if their quotes close, else past the next ``>``."""
+        nonlocal ends
+        if ends is None:
+            m = _TAG_END.match(html, at)
+            if m is not None:
+                return m.end()
+            ends = _tag_ends(html)  # once for a page: no later tag scans it to its end again
+        found = ends[1][bisect_left(ends[0], at)]
+        return found if found >= 0 else html.find(">", at) + 1
+
     at, size = 0, len(html)
     match = _TOKEN.match
     while at < size:
+        if at > last:
+            rest = _OPEN_END.split(html[at:], maxsplit=1)[0]
+            pieces.append(unescape(rest))
+            if in_link:
+                linked += len(pieces[-1])
+            break
         m = match(html, at)
         at = m.end()
-        name = m[2] or m[4]
+        name = m[2]
         if name is None:
             text = m[0]
             if text[0] != "<" or len(text) == 1:
+                if "&" in text:
+                    text = unescape(text)
                 pieces.append(text)
                 if in_link:
                     linked += len(text)
             continue
+        begin, at = at, tag_end(at)
         name = name.lower()
         if m[1]:
             if name in _INLINE:
@@ -140,7 +199,9 @@ def parse(html: str, page: int, out: Nodes) -> None:
                 leave()
             continue
         if name in _RAW:
-            close = re.compile("</" + name + r"[\s/>]|</" + name + r"\Z", re.I).search(html, at)
+            close = re.compile("</" + name + r"(?:[\s/>]|\Z)", re.I).search(html, at)
+            if name == "xmp":  # shown as it stands
+                pieces.append(html[at : size if close is None else close.start()])
             at = size if close is None else html.find(">", close.start()) + 1 or size
             pieces.append(" ")
             continue
@@ -155,7 +216,7 @@ def parse(html: str, page: int, out: Nodes) -> None:
             continue
         flush()
         in_link = False
-        if name in _CLOSES:
+        if name in _CLOSES and any(names.get(n) for n in _CLOSES[name]):
             stop = _STOPS[name]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in stop:
@@ -167,8 +228,8 @@ def parse(html: str, page: int, out: Nodes) -> None:
         elif stack[-1][0] == "p" or names.get("p") and stack[-1][0] not in ("td", "th", "li", "button"):
             while names.get("p"):
                 leave()
-        bit = 0
-        attributes = m[3]
+        bit = 1 << _KIND["notice"] if name == "noscript" else 0
+        attributes = html[begin : at - 1]
         if attributes:
             for value in _ATTRIBUTE.findall(attributes):
                 for word in _PART.findall("".join(value)):
@@ -177,6 +238,8 @@ def parse(html: str, page: int, out: Nodes) -> None:
                         bit |= 1 << kind
             if _HIDDEN.search(attributes):
                 bit |= 1 << _HIDE
+        if len(stack) >= DEEPEST:
+            leave()
         node = add(stack[-1][1], len(stack), _GROUP.get(name, _OTHER), bit, None, 0)
         stack.append((name, node))
         names[name] = names.get(name, 0) + 1
@@ -197,7 +260,8 @@ def features(n: Nodes) -> np.ndarray:
     at = np.arange(count)
     is_text = np.array([t is not None for t in n.text])
     full = [t or "" for t in n.text]
-    own = np.array([[len(t), t.count(" ") + 1 if t else 0, sum(map(t.count, ".,!?;:。、")), sum(map(str.isupper, t[:200]))] for t in full], float).reshape(count, 4)
+    raw = [t.encode("utf-8", "surrogatepass") for t in full]
+    own = np.array([[len(t), t.count(" ") + 1 if t else 0, sum(map(t.count, ".,!?;:。、")), len(b) - len(b.translate(None, _UPPER))] for t, b in zip(full, raw)], float).reshape(count, 4)
     own = np.concatenate([own, np.array(n.links, float)[:, None], is_text[:, None], 1.0 - is_text[:, None], ((own[:, 1] >= 12) & is_text)[:, None]], 1)
     sums = np.concatenate([np.zeros((1, own.shape[1])), np.cumsum(own, 0)])
     sub = sums[end] - sums[at]
@@ -224,7 +288,7 @@ def features(n: Nodes) -> np.ndarray:
     share = lambda a, b: a / np.maximum(b, 1)
     density = share(linked, chars)
     columns = [
-        is_text, depth, np.log1p(chars), share(words, blocks), density, share(stops, words), share(upper, np.minimum(chars, 200 * np.maximum(blocks, 1))), np.log1p(blocks), share(chars, elements), place, siblings, share(place, siblings),
+        is_text, depth, np.log1p(chars), share(words, blocks), density, share(stops, words), share(upper, chars), np.log1p(blocks), share(chars, elements), place, siblings, share(place, siblings),
         share(sums[at, 0] - sums[root, 0], total), share(chars, total), share(chars[up], total), share(chars, chars[up]), density[up], np.log1p(left), np.log1p(right), share(long, blocks), share(long[up], blocks[up]), kids, share(words[up], blocks[up]),
     ]
     return np.concatenate([np.stack([np.asarray(c, float) for c in columns], 1), own_flags, above], 1)
@@ -321,7 +385,7 @@ def training_page(r: random.Random) -> str:
         main.insert(len(main) if extra is comments else r.randint(0, len(main)), extra())
     inner = "".join(main)
     article = box("article article main section div div", "good", inner) if not plain else r.choice(["<article>{}</article>", "<main>{}</main>", "<article>{}</article>"]).format(inner)
-    if r.random() < 0.12:
+    if r.random() < 0.18:
         article = inner  # no wrapper at all
     elif r.random() < 0.35:
         inside = "".join(x() for x, p in ((side, 0.4), (comments, 0.25), (form, 0.15)) if r.random() < p)
@@ -334,8 +398,8 @@ def training_page(r: random.Random) -> str:
     after = [x for p, x in ((0.4, side()), (0.35, comments()), (0.25, form()), (0.25, share()), (0.3, ad()), (0.25, notice())) if r.random() < p]
     r.shuffle(after)
     after += [foot] if r.random() < 0.8 else []
-    if r.random() < 0.06:
-        before, after = [], []
+    if r.random() < (0.3 if article == inner else 0.06):
+        before, after = [], []  # the text and nothing else
     body = "".join([*before, article, *after])
     if r.random() < 0.3:
         body = f'<div class="{r.choice(["page", "wrapper", "container", "site"])}">{body}</div>'
@@ -346,8 +410,7 @@ def empty() -> Nodes:
     return Nodes([], [], [], [], [], [], [], [])
 
 
-@lru_cache(1)
-def model(pages: int = 900, seed: int = 7) -> gbt.Trees:
+def train(pages: int = 1600, seed: int = 7) -> gbt.Trees:
     """Trees trained on generated pages, in a few seconds."""
     r = random.Random(seed)
     nodes = empty()
@@ -359,6 +422,22 @@ def model(pages: int = 900, seed: int = 7) -> gbt.Trees:
     return gbt.fit(features(clean), label, trees=90)
 
 
+STORED = Path(__file__).with_name("trees.json")
+
+
+def store(trees: gbt.Trees) -> None:
+    """Write the trees beside this module: ``python -c "from trigrove.llm import htmltext as h; h.store(h.train())"``."""
+    rows = [f'"prior": {trees.prior!r}'] + [f'"{name}": {json.dumps(getattr(trees, name).tolist())}' for name in ("feature", "cut", "leaf")]
+    STORED.write_text("{" + ",\n".join(rows) + "}\n")
+
+
+@lru_cache(1)
+def model() -> gbt.Trees:
+    """The stored trees."""
+    held = json.loads(STORED.read_text())
+    return gbt.Trees(np.array(held["feature"], np.int64), np.array(held["cut"]), np.array(held["leaf"]), held["prior"])
+
+
 def main_texts(htmls: list[str | None], trees: gbt.Trees) -> list[str]:
     """The main text of each page."""
     nodes = empty()
@@ -384,10 +463,14 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:  # about PART_BYTES of pages at once
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, "right")))
+                part = batch.slice(at, to - at)
                 found = main_texts(part.column(part.num_columns - 1).to_pylist(), trees)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], [*safe, "text", "n_chars"])
+                at = to
 
     schema = ", ".join([f"{s} {types[c]}" for s, c in zip(safe, carried)] + ["text string", "n_chars long"])
     return pages.select(*(F.col(f"`{c}`").alias(s) for s, c in zip(safe, carried)), F.col(html).alias("__html")).mapInArrow(apply, schema).toDF(*carried, "text", "n_chars")
