@@ -7,14 +7,25 @@ next symbol if the training text lacks that symbol altogether.  ``phrases *
 log2(training length) / symbols`` estimates the cross entropy in bits a symbol;
 the language with the smallest estimate wins (ties: the smaller name).
 
-Texts are parsed whole, as blocks of :data:`BLOCK` symbols that each open a new
-phrase, so thousands of blocks step through the automata at once in numpy and
-one very long text is no slower than many short ones.
+Symbols are the UTF-8 bytes of the lower-case letters, and the space between
+words: every script's letters stay apart, and an automaton never needs more
+than 256 of them.
+
+Texts are parsed whole.  Blocks of :data:`BLOCK` symbols step through the
+automata at once in numpy, each as if a phrase began with it; then the phrase
+that comes in from the block before is carried on until it ends where one of
+the block's own phrases ends, from where on both parses are the same.  A block
+that this never happens in hands its new state to the next one, until nothing
+changes.  So one very long text is no slower than many short ones, and its
+phrases are those of a parse from end to end.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0.
 Rows without a language, and held-out rows, teach nothing.  Without training
 rows everything is ``und``.  With one language that language always wins, with
-score 1.  Repeated rows are predicted alike.
+score 1.  Repeated rows are predicted alike, and equal texts teach once.  An
+empty table gives an empty result.  Of the columns that are carried, those that
+bear the name of a result column (``lang_pred``, ``score``, ``bits``) are
+replaced by it.
 """
 
 from __future__ import annotations
@@ -32,12 +43,12 @@ from pyspark.sql import functions as F
 from . import _text as X
 
 BLOCK = 512
-#: The training text of a language: symbols of each document, documents, and symbols over all languages, at most.
-DOC_SYMBOLS = 1_000
-TRAIN_DOCS = 32
+#: The training text of a language: whole texts, at most so many; symbols of them together, and over all languages, about.
+TRAIN_DOCS = 64
+LANGUAGE_SYMBOLS = 32_000
 TOTAL_SYMBOLS = 1_200_000
-#: Letters that have a symbol of their own, at most; the other letters share one.
-ALPHABET = 250
+#: Bytes of a text that is taken before shorter and longer ones.
+USUAL_BYTES = (300, 6_000)
 UNKNOWN = "und"
 
 
@@ -53,10 +64,7 @@ def letters() -> np.ndarray:
 
 
 def symbols_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case letters with one space (code 32) between words; bounds of the rows; rows with a letter.
-
-    Each row that has a letter begins with a space.
-    """
+    """Lower-case letters with one space (code 32) between words and before one that other characters precede; bounds of the rows; rows with a letter."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
     at = X.counted_prefix((data & 0xC0) != 0x80)[offsets] if len(data) else np.zeros(len(offsets), np.int64)
     table = letters()
@@ -107,9 +115,17 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
     return table
 
 
+def as_bytes(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of code points, and the rows' bounds among them."""
+    if not len(symbols) or symbols.max() < 128:
+        return symbols.astype(np.uint8), bounds
+    raw = np.frombuffer(symbols.astype("<u4").tobytes().decode("utf-32-le", "replace").encode(), np.uint8)
+    return raw, X.counted_prefix(1 + (symbols > 0x7F) + (symbols > 0x7FF) + (symbols > 0xFFFF).astype(np.int64))[bounds]
+
+
 class Model(NamedTuple):
     names: list[str]
-    code: np.ndarray  # symbol of each code point
+    code: np.ndarray  # symbol of each byte
     steps: np.ndarray  # of all automata, flat: state * width + symbol
     restart: np.ndarray  # language, symbol -> state after a phrase ended before the symbol
     roots: np.ndarray
@@ -117,41 +133,50 @@ class Model(NamedTuple):
     width: int
 
 
+def _bounded(texts: list[str], most: int) -> np.ndarray:
+    """Whole texts in order until they have ``most`` symbols; of a first one that is longer, passages from all over it."""
+    got: list[np.ndarray] = []
+    held = 0
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        letters_, bounds, _ = symbols_of(raw, np.array([0, len(raw)]))
+        own = as_bytes(letters_, bounds)[0]
+        if held + len(own) > most:
+            if held:
+                continue
+            count = max(1, most // 1000)
+            own = np.concatenate([own[at : at + most // count] for at in np.linspace(0, len(own) - most // count, count).astype(int)])
+        got.append(own)
+        held += len(own)
+    return np.concatenate([*got, np.zeros(0, np.uint8)])
+
+
 def train(samples: dict[str, list[str]]) -> Model:
-    """Automata of the sample texts by language (a few dozen short texts each)."""
+    """Automata of the sample texts by language."""
     names = sorted(samples)
-    each = max(2_000, min(DOC_SYMBOLS * TRAIN_DOCS, TOTAL_SYMBOLS // max(1, len(names))))
-    parts: dict[str, np.ndarray] = {}
-    for name in names:
-        got = []
-        for text in samples[name]:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            got.append(symbols_of(raw, np.array([0, len(raw)]))[0][:DOC_SYMBOLS])
-        parts[name] = np.concatenate([*got, np.zeros(0, np.uint32)])[:each].astype(np.int64)
+    most = max(2_000, min(LANGUAGE_SYMBOLS, TOTAL_SYMBOLS // max(1, len(names))))
+    parts = {name: _bounded(samples[name], most) for name in names}
     names = [n for n in names if len(parts[n])]
-    seen = np.bincount(np.concatenate([*(parts[n] for n in names), np.zeros(0, np.int64)]), minlength=33)
-    common = [c for c in np.argsort(-seen, kind="stable")[:ALPHABET].tolist() if seen[c] and c != 32]
-    code = np.ones(0x32400, np.uint8)  # 1: any other letter
-    code[32] = 0
-    code[common] = np.arange(2, 2 + len(common))
-    width = len(common) + 3  # the last symbol ends a block and stays in the state
+    seen = np.bincount(np.concatenate([*(parts[n] for n in names), np.zeros(0, np.uint8)]), minlength=256)
+    known = np.flatnonzero(seen)
+    code = np.zeros(256, np.int64)  # 0: a byte that no training text holds
+    code[known] = np.arange(1, 1 + len(known))
+    width = len(known) + 1
     tables, roots, base = [], [], 0
     for n in names:
         t = automaton(code[parts[n]], width)
-        t = np.where(t > 0, t + base, 0).astype(np.int32)
-        t[:, width - 1] = np.arange(len(t)) + base
-        tables.append(t)
+        tables.append(np.where(t > 0, t + base, 0).astype(np.int32))
         roots.append(base + 1)
         base += len(t)
     steps = np.concatenate([*tables, np.zeros((0, width), np.int32)]).ravel()
     roots_ = np.array(roots, np.int64)
     restart = np.array([steps[r * width : (r + 1) * width] for r in roots], np.int64).reshape(len(names), width)
     restart = np.where(restart == 0, roots_[:, None], restart)
-    return Model(names, code, steps, restart, roots_, np.log2([max(2, len(parts[n])) for n in names]), width)
+    return Model(names, code.astype(np.uint8), steps, restart, roots_, np.log2([max(2, len(parts[n])) for n in names]), width)
 
 
 def phrases(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Phrases of each row (over its blocks) against each language."""
+    """Phrases of each row against each language."""
     rows, langs = len(bounds) - 1, len(model.names)
     sizes = np.diff(bounds)
     blocks = -(-sizes // BLOCK)
@@ -162,27 +187,69 @@ def phrases(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray
     begin = bounds[:-1][owner] + order * BLOCK
     size = np.minimum(bounds[1:][owner] - begin, BLOCK)
     by = np.argsort(-size, kind="stable")  # longest first: the blocks still running are a prefix
-    owner, begin, size = owner[by], begin[by], size[by]
-    coded = np.append(model.code[symbols], np.uint8(model.width - 1))
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    owner, begin, size, order = owner[by], begin[by], size[by], order[by]
+    coded = model.code[symbols]
     running = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
     state = np.repeat(model.roots[:, None], len(owner), 1)
     count = np.zeros((langs, len(owner)), np.int32)
+    ends = np.zeros((langs, len(coded)), bool)  # a block's own phrases end before these symbols
     steps, width = model.steps, model.width
     for t in range(int(size[0])):
         k = running[t]
         s = coded[begin[:k] + t].astype(np.int64)
-        now = state[:, :k]
-        to = steps[now * width + s]
+        to = steps[state[:, :k] * width + s]
         miss = to == 0
         count[:, :k] += miss
+        ends[:, begin[:k] + t] = miss
         state[:, :k] = np.where(miss, model.restart[:, s], to)
-    count += 1
-    return np.stack([np.bincount(owner, weights=count[i], minlength=rows) for i in range(langs)], 1)
+    found, alone = count.copy(), state.copy()
+    lang, block = np.divmod(np.flatnonzero(np.repeat((order > 0)[None], langs, 0)), len(owner))
+    before = np.zeros(len(owner), np.int64)
+    before[place[1:]] = place[:-1]
+    after = np.zeros(len(owner), np.int64)  # the same text's next block; 0: none, since the first place has no block before it in reach
+    after[before[order > 0]] = np.flatnonzero(order > 0)
+    follows = np.zeros(len(owner), bool)
+    follows[before[order > 0]] = True
+    entered = state[lang, before[block]]
+    while len(lang):
+        own, mine, theirs = entered, np.zeros(len(lang), np.int32), np.zeros(len(lang), np.int32)
+        l, b = lang, block
+        late: list[tuple[np.ndarray, ...]] = []
+        for t in range(BLOCK):
+            over = size[b] <= t
+            if over.any():
+                late.append((l[over], b[over], own[over], mine[over]))
+                l, b, own, mine, theirs = l[~over], b[~over], own[~over], mine[~over], theirs[~over]
+            if not len(l):
+                break
+            at = begin[b] + t
+            s = coded[at].astype(np.int64)
+            to = steps[own * width + s]
+            miss = to == 0
+            theirs = theirs + ends[l, at]
+            mine = mine + miss
+            met = miss & (ends[l, at] | (t == 0))
+            if met.any():
+                late.append((l[met], b[met], alone[l[met], b[met]], mine[met] + count[l[met], b[met]] - theirs[met]))
+            go = ~met
+            l, b, own, mine, theirs, s = l[go], b[go], np.where(miss, model.restart[l, s], to)[go], mine[go], theirs[go], s[go]
+        else:
+            late.append((l, b, own, mine))
+        # where a block ends in another state than before, the next one is entered anew
+        l, b, own, mine = (np.concatenate(x) for x in zip(*late)) if late else (np.zeros(0, np.int64),) * 4
+        found[l, b] = mine
+        go = follows[b] & (own != state[l, b])
+        state[l[go], b[go]] = own[go]
+        lang, block, entered = l[go], after[b[go]], own[go]
+    return np.stack([np.bincount(owner, weights=found[i], minlength=rows) for i in range(langs)], 1) + (sizes > 0)[:, None]
 
 
 def predict(model: Model, part: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the language (-1: unknown), score and bits a symbol of each row."""
-    symbols, bounds, known = symbols_of(part.data, part.offsets)
+    letters_, bounds, known = symbols_of(part.data, part.offsets)
+    symbols, bounds = as_bytes(letters_, bounds)
     if not model.names:
         nothing = np.zeros(len(known))
         return np.full(len(known), -1), nothing, nothing
@@ -200,17 +267,17 @@ def held_out(key: str):
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Learn from at most :data:`TRAIN_DOCS` rows of each language, chosen by the hash of their keys."""
+    """Learn from at most :data:`TRAIN_DOCS` different texts of each language, chosen by their hashes, those of usual length first."""
     labelled = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    w = Window.partitionBy("l").orderBy("h", "k")
-    # ranks up to a limit: each task sends at most TRAIN_DOCS keys of a language on
-    keys = labelled.select(F.col(lang).alias("l"), F.col(key).alias("k"), F.xxhash64(key).alias("h"))
-    keys = keys.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TRAIN_DOCS)
-    chosen = {(r["l"], r["k"]): r["r"] for r in keys.select("l", "k", "r").collect()}
+    odd = ~F.octet_length(text).between(*USUAL_BYTES)
+    rows = labelled.select(F.col(lang).alias("l"), F.col(key).alias("k"), odd.alias("odd"), F.xxhash64(text).alias("h"))
+    # ranks up to a limit: each task sends the rows of at most TRAIN_DOCS texts of a language on, and copies of a text are one
+    few = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("l").orderBy("odd", "h"))).where(F.col("r") <= TRAIN_DOCS)
+    chosen = {(r["l"], r["k"]): r["r"] for r in few.groupBy("l", "r").agg(F.min("k").alias("k")).collect()}
     if not chosen:
         return train({})
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(k, n) for (k, n) in {(k, n) for (n, k) in chosen}], f"k {dict(docs.dtypes)[key]}, l string"))
-    found = labelled.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.substring(text, 1, 4 * DOC_SYMBOLS).alias("t")).join(wanted, ["k", "l"])
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(k, n) for (n, k) in chosen], f"k {dict(docs.dtypes)[key]}, l string"))
+    found = labelled.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).join(wanted, ["k", "l"])
     samples: dict[str, list[tuple[int, str]]] = {}
     for r in found.groupBy("k", "l").agg(F.min("t").alias("t")).collect():  # one text of a repeated key
         samples.setdefault(r["l"], []).append((chosen[r["l"], r["k"]], r["t"]))
@@ -231,7 +298,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
         m = shared.value
         labels = np.array([*m.names, UNKNOWN], object)
         for batch in batches:
-            got = [predict(m, part) for part in X.texts(batch.column(at), 8 * X.CHUNK_BYTES)]
+            got = [predict(m, part) for part in X.texts(batch.column(at), max(X.CHUNK_BYTES, 32 * X.CHUNK_BYTES // max(4, len(m.names))))]
             if got:
                 pred, score, bits = (np.concatenate(x) for x in zip(*got))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(safe)], pa.array(labels[pred], pa.string()), pa.array(score), pa.array(bits)], [*safe, *names])
