@@ -45,15 +45,15 @@ def test_shares_add_up_to_one(spark):
     docs = spark.createDataFrame([(i, f"the cat w{i % 5} sat on w{i % 11} the mat") for i in range(60)], "doc_id long, text string")
     counts = M.word_counts(docs)
     model = M.fit(docs, counts)
-    assert np.abs(model.class_rows).max() > 0
+    assert np.abs(model.rows).max() > 0
     vocab = int((model.rank >= 0).sum())
     part = next(iter(X.texts(pa.array(["the cat sat on"]))))
     key, _, bounds = M.tokens(part)
     _, rank = model.ids(key)
-    for feature in M.history(key, rank, bounds).T:
+    for feature in M.history(key, rank, bounds, model.others).T:
         tries = np.append(np.arange(vocab), np.full(M.FORMS, -1))
         form = np.append(np.zeros(vocab, np.int64), np.arange(M.FORMS))
-        total = np.exp(M.log_probabilities(model, np.repeat(feature[:, None], len(tries), 1), tries, form)).sum()
+        total = np.exp(M.log_probabilities(model, np.repeat(feature[:, None], len(tries), 1), model.leaves(tries, form))).sum()
         assert abs(total - 1) < 1e-4
     rest = [r for r in counts.collect() if np.int64(r["w"]).view(np.uint64) not in set(model.top[model.rank >= 0].tolist())]
     for f in range(M.FORMS):
@@ -87,13 +87,13 @@ def test_the_model_grows_with_the_corpus():
     assert M.sizes(0) == (M.VOCAB, M.ROWS)
     (small, few), (large, many) = M.sizes(10**8), M.sizes(10**10)
     assert large > 9 * small > 9 * M.VOCAB and many > 9 * few > 9 * M.ROWS and few % M._BLOCK == many % M._BLOCK == 0
-    rank = np.unique(np.append(np.arange(600), np.geomspace(600, 500_000, 5000).astype(np.int64)))
-    paths = [[int(k)] for k in M.classes(rank)]
-    for known, node, child in M._steps(rank):
-        for at, n, c in zip(known, node, child):
-            assert 0 <= c < M.BRANCH
-            paths[at] += [int(n), int(c)]
-    assert len({tuple(p) for p in paths}) == len(rank) and max(map(len, paths)) == 7
+    r = np.random.default_rng(1)
+    for leaves in (1, 5, 600, 20_000):
+        for mass in (np.ones(leaves), 1e9 / np.arange(1, leaves + 1), np.append(np.ones(leaves - 1), 1e12), r.permutation(1e9 / np.arange(1, leaves + 1) ** 2)):
+            t = M.tree(mass)
+            paths = {tuple((int(t.node[k, i]), int(t.child[k, i])) for k in range(t.depth[i])) for i in range(leaves)}
+            assert len(paths) == leaves and t.child.max() < M.BRANCH and len(t.node) < 24
+            assert np.allclose(np.exp(t.bias.astype(float)).sum(1), 1, atol=1e-4)
 
 
 def test_history_predicts_words_beyond_the_512_most_frequent(spark):
@@ -115,6 +115,45 @@ def test_history_predicts_words_beyond_the_512_most_frequent(spark):
     feature = M.history(key, model.ids(key)[1], bounds, model.others)[:, 1:2]
     tries = np.append(np.arange((model.rank >= 0).sum()), np.full(M.FORMS, -1))
     form = np.append(np.zeros(len(tries) - M.FORMS, np.int64), np.arange(M.FORMS))
-    assert abs(np.exp(M.log_probabilities(model, np.repeat(feature, len(tries), 1), tries, form)).sum() - 1) < 1e-3
+    assert abs(np.exp(M.log_probabilities(model, np.repeat(feature, len(tries), 1), model.leaves(tries, form))).sum() - 1) < 1e-3
     got = M.score(docs, model, counts, keep=["doc_id"]).selectExpr("sum(score - base_score) / sum(n_tokens) as gain").first()["gain"]
     assert got > 0.5
+
+
+def test_score_matches_a_plain_computation(spark):
+    """Token by token, in Python: the softmaxes along a word's path from the fitted rows, and the unigram share of other words."""
+    docs = spark.createDataFrame([(i, f"The cat w{i % 5} sat on w{i % 11} the mat, rare{i} ünï{i}") for i in range(40)], "doc_id long, text string")
+    training = docs.where(~M.held_out("doc_id"))
+    counts = M.word_counts(training)
+    model = M.fit(training, counts)
+    got = {r["doc_id"]: r["score"] for r in M.score(docs, model, counts, keep=["doc_id"]).collect()}
+    n_of = {np.int64(r["w"]).view(np.uint64).item(): r["n"] for r in counts.collect()}
+    mix = lambda v: int(M.X.mix(np.array([v % 2**64], np.uint64))[0])
+    gold, t = int(M._GOLD), model.tree
+    rank_of = {int(k): int(r) for k, r in zip(model.top, model.rank)}
+    for i, text in [(r["doc_id"], r["text"]) for r in docs.limit(12).collect()]:
+        key, form, _ = M.tokens(next(iter(X.texts(pa.array([text])))))
+        own = [rank_of[k] + 1 if rank_of.get(k, -1) >= 0 else (1 << 40) + k % model.others + 1 for k in key.tolist()]
+        total = 0.0
+        for at, k in enumerate(key.tolist()):
+            rank = rank_of.get(k, -1)
+            a, b = ([0, 0] + own)[at + 1], ([0, 0] + own)[at]
+            c = next((own[j] for j in reversed(range(at)) if 0 <= rank_of.get(key.tolist()[j], -1) < M.ANCHORS), 0)
+            features = [mix(3 * a + 1), mix(a * gold + 3 * b), mix(3 * b + 2), mix(5 * c + 4)]
+            leaf = int(model.leaf[rank]) if rank >= 0 else len(model.leaf) + int(form[at])
+            for level in range(t.depth[leaf]):
+                node = int(t.node[level, leaf])
+                z = t.bias[node].astype(float) + sum(model.rows[(mix(f + (node + 1) * gold) >> 32) * len(model.rows) >> 32].astype(float) for f in features)
+                total += (z[t.child[level, leaf]] - math.log(np.exp(z).sum())) / math.log(10)
+            if rank < 0:
+                total += math.log10(n_of.get(k, 0) + 1) - math.log10(model.other_size[form[at]])
+        assert abs(total - got[i]) < 1e-3
+
+
+def test_words_of_like_neighbourhoods_stand_together():
+    r = np.random.default_rng(4)
+    side = r.permutation(400) % 2
+    near = r.poisson(np.where(side[:, None] == (np.arange(M.MARKERS) % 2)[None], 8.0, 0.2)).astype(np.float32)
+    order = M.word_order(near, np.full(400, 10))
+    assert (np.diff(side[order]) != 0).sum() == 1
+    assert M.word_order(np.zeros((0, M.MARKERS), np.float32), np.zeros(0, np.int64)).size == 0

@@ -1,29 +1,34 @@
 """A hashed maximum-entropy language model with a class-factored softmax, and the add-one unigram score.
 
-``P(word | history) = P(class | history) * P(word | class, history)``.  The most
-frequent words fill classes by rank: :data:`CLASSES` of :data:`BRANCH` words,
-then as many of ``BRANCH ** 2`` words, and so on, each a tree of softmaxes over
-``BRANCH`` children.  Every other word is in the class of its form (closing
-punctuation, last letters, letters beyond ASCII), drawn there by its add-one
-unigram share.  All softmaxes add up
-hashed feature rows: the previous word, the previous two (n-grams), and the one
-before the previous alone (skip).  They start from the corpus's unigrams.
+The words of the vocabulary, and one leaf for every form that all other words
+have (closing punctuation, last letters, letters beyond ASCII), are the leaves
+of a tree of classes: a node has at most :data:`BRANCH` children, of about equal
+mass, so frequent words have short paths.  ``P(word | history)`` is the product
+of the softmaxes along its path; of a form, a word has its add-one unigram
+share.  A softmax adds up hashed feature rows, chosen by node and history: the
+previous word, the previous two (n-grams), the one before the previous alone and
+the last very frequent word before (skips).  It starts from the corpus's
+unigrams.  Vocabulary words stand in the tree in the order of the frequent words
+that they occur after, so classes hold words of one language or subject.
 
 The vocabulary, the feature rows and the buckets of other words in a history
 grow as the root of the number of training tokens (:func:`sizes`), a word's
 work as the vocabulary's logarithm.
 
-Training makes :data:`ROUNDS` rounds of distributed gradient updates, together one pass over a
-partition of all training rows: each task walks its rows with AdaGrad from the
-round's weights and sends the rows of the tables that it changed; their means,
-weighted by use, are the next weights.  A round takes so few tasks that the
-tables they send stay a bounded part of the input.  The word counts stay a table:
-the :data:`TOP` words, or the vocabulary if it is larger, go to the tasks, the others are joined.
+Training makes :data:`ROUNDS` rounds of distributed gradient updates, each over
+all training rows: each task walks its rows with AdaGrad from the round's
+weights and sends the rows of the table that it changed; their means, weighted
+by use, are the next weights.  A round takes so few tasks that the tables they
+send stay a bounded part of the input.  The word counts stay a table: the
+:data:`TOP` words, or the vocabulary if it is larger, go to the tasks, the
+others are joined.
 
 Words are held as 64-bit hashes.  Edge cases: a null or empty text is one end
 token.  Rows without an id are held out.  With no training row every count is
 0 and the model is uniform over the forms.  Repeated rows count and are
-scored as often as they occur.
+scored as often as they occur; an empty table gives an empty result.  Of the
+columns that are carried, those that bear the name of a result column are
+replaced by it.
 """
 
 from __future__ import annotations
@@ -40,24 +45,31 @@ from pyspark.sql import functions as F
 from . import _text as X
 from ._store import written
 
-#: Classes of each depth, and children of each node of a class.
-CLASSES, BRANCH = 16, 32
-#: Least vocabulary, and words for each root of a training token.
-VOCAB, VOCAB_GROWTH = CLASSES * BRANCH, 4
-#: Classes of the other words, by form.
-FORMS = 32
-#: Least hash buckets for other words in a history and least rows of each feature table, and rows for each root of a training token.
-OTHERS, ROWS, ROWS_GROWTH = 512, 1 << 14, 6
+#: Children of a node of the tree of classes, at most.
+BRANCH = 16
+#: Least and most words of the vocabulary, and words for each root of a training token.
+VOCAB, MOST_VOCAB, VOCAB_GROWTH = 512, 1 << 20, 8
+#: Leaves of the other words, by form.
+FORMS = 256
+#: Least hash buckets for other words in a history.
+OTHERS = 512
+#: Least and most feature rows, and rows for each root of a training token; the most bound a worker's memory (64 bytes a row).
+ROWS, MOST_ROWS, ROWS_GROWTH = 1 << 14, 1 << 22, 32
+#: Most frequent words that the last skip feature looks back for.
+ANCHORS = 256
+#: Very frequent words that describe where others occur, and how often the vocabulary is halved by those descriptions.
+MARKERS, HALVINGS = 32, 5
 #: Words whose counts every task holds.
 TOP = 300_000
 ROUNDS = 2
-BATCH = 1 << 14
+#: Tokens of a gradient step.
+BATCH = 1 << 12
 RATE = 0.1
-_BLOCK = 256  # rows of a table that travel together
+_BLOCK = 256  # rows of the table that travel together
 #: Tasks whose changes one task adds up.
 FAN_IN = 64
-#: Training tokens of a task for each row of a table that it sends.
-TOKENS_A_ROW = 128
+#: Training tokens of a task for each row of the table that it sends.
+TOKENS_A_ROW = 48
 #: Tasks of a round on a small input.
 LEAST_TASKS = 6
 END = np.uint64(0x656E64)
@@ -82,7 +94,8 @@ def forms(data: np.ndarray, w: X.Words) -> np.ndarray:
     before = np.maximum(last - 1, w.start)
     pair = (data[last] & 0xDF).astype(np.uint64) * np.uint64(257) + (data[before] & 0xDF)
     beyond = np.maximum.reduceat(np.where((data & 0xC0) == 0x80, data, 0), w.start).astype(np.int64)
-    return closing * 8 + np.where(beyond > 0, 4 + beyond % 4, (X.mix(pair) % np.uint64(4)).astype(np.int64))
+    ending = (X.mix(pair) % np.uint64(32)).astype(np.int64)
+    return closing * 64 + np.where(beyond > 0, 32 + (ending + beyond) % 32, ending)
 
 
 def tokens(part: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,41 +142,51 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sizes(total: int) -> tuple[int, int]:
-    """Words of the vocabulary and rows of each feature table for so many training tokens."""
+    """Words of the vocabulary and feature rows for so many training tokens."""
     root = total**0.5
-    return max(VOCAB, int(VOCAB_GROWTH * root)), max(ROWS, -(-int(ROWS_GROWTH * root) // _BLOCK) * _BLOCK)
-
-
-def _depths(words: int) -> int:
-    """Depths of classes that so many words fill."""
-    depth, held = 1, CLASSES * BRANCH
-    while held < words:
-        depth += 1
-        held += CLASSES * BRANCH**depth
-    return depth
-
-
-_MOST = 8  # depths: more words than hashes
-_FIRST = np.cumsum([0] + [CLASSES * BRANCH**d for d in range(1, _MOST)])
-#: Number of the first node of each depth, and of the first one on each level below it.
-_NODES = np.cumsum([0] + [CLASSES * BRANCH**k for d in range(1, _MOST) for k in range(d)])
-
-
-def depth(rank: np.ndarray) -> np.ndarray:
-    """Levels of nodes below a word's class, from 1."""
-    return np.searchsorted(_FIRST, rank, "right")
-
-
-def classes(rank: np.ndarray) -> np.ndarray:
-    d = depth(rank)
-    return (d - 1) * CLASSES + (rank - _FIRST[d - 1]) // BRANCH**d
-
-
-def step(rank: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Node and child on a level (from 0) of words that are deep enough."""
-    d = depth(rank)
-    q, span = rank - _FIRST[d - 1], BRANCH ** (d - level)
-    return _NODES[d * (d - 1) // 2 + level] + q // span, q % span // (span // BRANCH)
+    return min(MOST_VOCAB, max(VOCAB, int(VOCAB_GROWTH * root))), min(MOST_ROWS, max(ROWS, -(-int(ROWS_GROWTH * root) // _BLOCK) * _BLOCK))
+
+
+class Tree(NamedTuple):
+    """Node and child on each level (rows) of the path to each leaf (columns), and the length of the paths."""
+
+    node: np.ndarray
+    child: np.ndarray
+    depth: np.ndarray
+    bias: np.ndarray  # log share of each node's children
+
+
+def tree(mass: np.ndarray) -> Tree:
+    """Leaves in the given order, cut again and again into at most :data:`BRANCH` runs of about equal mass."""
+    leaves = len(mass)
+    sums = np.concatenate([[0.0], np.cumsum(np.maximum(mass, 1e-3))])
+    node, child = [np.full(leaves, -1, np.int32)], [np.zeros(leaves, np.uint8)]
+    bias: list[np.ndarray] = []
+    level = [(0, leaves)]
+    while level:
+        after = []
+        for a, b in level:
+            if b - a <= BRANCH:
+                cuts = np.arange(a, b + 1)
+            else:
+                inner = np.searchsorted(sums, sums[a] + (sums[b] - sums[a]) * np.arange(1, BRANCH) / BRANCH)
+                cuts = np.unique(np.concatenate([[a], np.clip(inner, a, b), [b]]))
+                if len(cuts) == 2:  # nearly all mass is the last leaf's
+                    cuts = np.array([a, b - 1, b])
+            row = np.full(BRANCH, -1e4)
+            for k, (lo, hi) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+                row[k] = np.log((sums[hi] - sums[lo]) / (sums[b] - sums[a]))
+                child[-1][lo:hi] = k
+                if hi - lo > 1:
+                    after.append((lo, hi))
+            node[-1][a:b] = len(bias)
+            bias.append(row)
+        level = after
+        if level:
+            node.append(np.full(leaves, -1, np.int32))
+            child.append(np.zeros(leaves, np.uint8))
+    nodes = np.stack(node)
+    return Tree(nodes, np.stack(child), (nodes >= 0).sum(0).astype(np.uint8), np.stack(bias).astype(np.float32))
 
 
 class Model(NamedTuple):
@@ -173,19 +196,19 @@ class Model(NamedTuple):
     total: int
     distinct: int
     other_size: np.ndarray  # of each form's words beyond the vocabulary: tokens, words and one unknown
-    class_bias: np.ndarray
-    word_bias: np.ndarray
-    class_rows: np.ndarray
-    word_rows: np.ndarray
+    leaf: np.ndarray  # of each vocabulary word, by rank; the forms' leaves follow
+    tree: Tree
+    rows: np.ndarray  # feature rows x children
 
     @property
     def others(self) -> int:
         """Buckets of other words in a history."""
-        return len(self.class_rows) * OTHERS // ROWS
+        return max(OTHERS, len(self.rows) // 32)
 
-    def kinds(self, rank: np.ndarray, form: np.ndarray) -> np.ndarray:
-        """Class of each word, the forms after those of the vocabulary."""
-        return np.where(rank >= 0, classes(np.maximum(rank, 0)), self.class_rows.shape[1] - FORMS + form)
+    def leaves(self, rank: np.ndarray, form: np.ndarray) -> np.ndarray:
+        if not len(self.leaf):
+            return form
+        return np.where(rank >= 0, self.leaf[rank], len(self.leaf) + form)
 
     def ids(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place among the top words (or -1), and vocabulary rank (or -1)."""
@@ -225,25 +248,19 @@ def unigram_model(counts: DataFrame) -> Model:
     for f, (t, v) in by_form.items():
         other[f] += t + v
     np.subtract.at(other, form[:vocab], n[:vocab] + 1)
-    words, deep = np.arange(vocab), _depths(vocab)
-    mass = np.append(np.bincount(classes(words), n[:vocab], CLASSES * deep), other)
-    by_node = np.zeros((_NODES[deep * (deep + 1) // 2], BRANCH))
-    for level in range(deep):
-        low = words[depth(words) > level]
-        np.add.at(by_node, step(low, level), n[low])
-    with np.errstate(divide="ignore"):
-        class_bias = np.where(mass > 0, np.log(np.maximum(mass, 1)), -1e4)
-        word_bias = np.where(by_node > 0, np.log(np.maximum(by_node, 1)), -1e4)
     order = np.argsort(key)
-    return Model(
-        key[order], n[order], rank[order], total, distinct, other,
-        class_bias.astype(np.float32), word_bias.astype(np.float32),
-        np.zeros((rows, CLASSES * deep + FORMS), np.float32), np.zeros((rows, BRANCH), np.float32),
-    )
+    return Model(key[order], n[order], rank[order], total, distinct, other, np.arange(vocab), tree(np.append(n[:vocab], other)), np.zeros((rows, BRANCH), np.float32))
+
+
+def _last(marked: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each token, the place of the last marked one before it in its text, or -1."""
+    at = np.maximum.accumulate(np.where(marked, np.arange(len(marked)), -1)) if len(marked) else np.zeros(0, np.int64)
+    before = np.concatenate([[-1], at[:-1]]) if len(at) else at
+    return np.where(before >= np.repeat(bounds[:-1], np.diff(bounds)), before, -1)
 
 
 def history(key: np.ndarray, rank: np.ndarray, bounds: np.ndarray, others: int = OTHERS) -> np.ndarray:
-    """Hashes of the three features of each token's history: one word back, two words, and the second alone."""
+    """Hashes of the features of each token's history: one word back, two words, the second alone, the last very frequent one."""
     own = np.where(rank >= 0, rank, (1 << 40) + (key % np.uint64(others)).astype(np.int64)) + 1  # 0: before the text
     first = bounds[:-1][np.diff(bounds) > 0]
     back = np.zeros((2, len(own)), np.int64)
@@ -253,95 +270,174 @@ def history(key: np.ndarray, rank: np.ndarray, bounds: np.ndarray, others: int =
     second = first + 1
     back[1, second[second < len(own)]] = 0
     a, b = back.astype(np.uint64)
-    return np.stack([X.mix(a * np.uint64(3) + np.uint64(1)), X.mix(a * _GOLD + b * np.uint64(3)), X.mix(b * np.uint64(3) + np.uint64(2))])
-
+    last = _last((rank >= 0) & (rank < ANCHORS), bounds)
+    c = np.where(last >= 0, own[last], 0).astype(np.uint64)
+    return np.stack([X.mix(a * np.uint64(3) + np.uint64(1)), X.mix(a * _GOLD + b * np.uint64(3)), X.mix(b * np.uint64(3) + np.uint64(2)), X.mix(c * np.uint64(5) + np.uint64(4))])
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
 
+def neighbourhoods(docs: DataFrame, m: Model, text: str = "text") -> np.ndarray:
+    """Vocabulary words x markers: how often a word occurs after each of the most frequent words, none of them between.
 
-def _rows(feature: np.ndarray, salt: np.ndarray | int, size: int) -> np.ndarray:
-    return (X.mix(feature + np.asarray(salt, np.uint64) * _GOLD) % np.uint64(size)).astype(np.int64)
+    Over all rows given; at most MOST_VOCAB * MARKERS numbers reach the driver.
+    """
+    vocab = len(m.leaf)
+    shared = docs.sparkSession.sparkContext.broadcast(m._replace(rows=np.zeros((0, BRANCH), np.float32)))
 
-
-def _steps(rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Level by level: the places of the words that reach it, their nodes and children."""
-    known, level = np.flatnonzero(rank >= 0), 0
-    while len(known):
-        yield known, *step(rank[known], level)
-        level += 1
-        known = known[depth(rank[known]) > level]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(vocab * MARKERS, np.int32)
+        for batch in batches:
+            for part in X.texts(batch.column(0)):
+                key, _, bounds = tokens(part)
+                _, rank = shared.value.ids(key)
+                last = _last((rank >= 0) & (rank < MARKERS), bounds)
+                known = (last >= 0) & (rank >= 0)
+                cell, n = np.unique(rank[known] * MARKERS + rank[last[known]], return_counts=True)
+                held[cell] += n.astype(np.int32)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at].astype(np.int64))], ["cell", "n"])
+
+    found = docs.select(text).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(vocab * MARKERS, np.float32)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(vocab, MARKERS)
+
+
+def word_order(near: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Vocabulary ranks so ordered that words of like neighbourhoods stand together; by frequency inside a group.
+
+    Neighbourhoods become square roots of smoothed shares; the words are cut in
+    half, by occurrences, along the direction in which they differ most, and the
+    halves again.
+    """
+    usual = near.sum(0) + 1
+    usual /= usual.sum()
+    x = np.sqrt((near + 2 * usual) / (near.sum(1, keepdims=True) + 2))
+    done: list[np.ndarray] = []
+    waiting = [(np.arange(len(near)), HALVINGS)]
+    while waiting:
+        own, left = waiting.pop()
+        if not left or len(own) < 2 * BRANCH:
+            done.append(own)
+            continue
+        weight = np.sqrt(n[own]).astype(np.float32)
+        y = x[own] - weight @ x[own] / weight.sum()
+        way = np.linalg.eigh((y * weight[:, None]).T.astype(np.float64) @ y)[1][:, -1]
+        way *= np.sign(way[np.abs(way).argmax()])
+        by = np.argsort((y @ way).round(6), kind="stable")
+        sums = np.cumsum(n[own][by])
+        cut = min(max(int(np.searchsorted(sums, sums[-1] / 2, "right")), 1), len(by) - 1)
+        waiting += [(np.sort(own[by[cut:]]), left - 1), (np.sort(own[by[:cut]]), left - 1)]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+
+def grouped(m: Model, near: np.ndarray) -> Model:
+    """The model with its vocabulary's leaves in :func:`word_order`."""
+    vocab = len(m.leaf)
+    if not vocab:
+        return m
+    n = np.empty(vocab, np.int64)
+    n[m.rank[m.rank >= 0]] = m.top_n[m.rank >= 0]
+    order = word_order(near, n)
+    leaf = np.empty(vocab, np.int64)
+    leaf[order] = np.arange(vocab)
+    return m._replace(leaf=leaf, tree=tree(np.append(n[order], m.other_size)))
+
+
+class Choices(NamedTuple):
+    """The decisions on the paths of some tokens."""
+
+    token: np.ndarray
+    node: np.ndarray
+    child: np.ndarray
+    rows: np.ndarray  # features x decisions
+
+
+def choices(m: Model, feature: np.ndarray, leaf: np.ndarray) -> Choices:
+    t = m.tree
+    deep = t.depth[leaf]
+    token = np.concatenate([np.flatnonzero(deep > level) for level in range(len(t.node))]) if len(leaf) else np.zeros(0, np.int64)
+    node = np.concatenate([t.node[level][leaf[deep > level]] for level in range(len(t.node))])
+    child = np.concatenate([t.child[level][leaf[deep > level]] for level in range(len(t.node))])
+    mixed = X.mix(feature[:, token] + (node.astype(np.uint64) + np.uint64(1)) * _GOLD)
+    rows = ((mixed >> np.uint64(32)) * np.uint64(len(m.rows))) >> np.uint64(32)
+    return Choices(token, node, child, rows.astype(np.int64))
+
+
+def _exponentials(m: Model, weights: np.ndarray, c: Choices) -> tuple[np.ndarray, np.ndarray]:
+    """Of each decision the children's unnormalised shares, and their sum."""
+    z = m.tree.bias.take(c.node, 0)
+    for r in c.rows:
+        z += weights.take(r, 0)
+    np.minimum(z, 80, out=z)  # the biases are at most 0; this bound only keeps the sum finite
+    np.exp(z, out=z)
+    return z, np.einsum("ij->i", z)
+
+
+def log_probabilities(m: Model, feature: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Natural logs of each leaf's probability."""
+    out = np.empty(len(leaf))
+    for at in range(0, len(leaf), BATCH):
+        c = choices(m, feature[:, at : at + BATCH], leaf[at : at + BATCH])
+        z, total = _exponentials(m, m.rows, c)
+        own = np.log(np.maximum(z[np.arange(len(z)), c.child], 1e-37) / total)
+        out[at : at + BATCH] = np.bincount(c.token, own, len(out[at : at + BATCH]))
+    return out
 
 
-def log_probabilities(m: Model, feature: np.ndarray, rank: np.ndarray, form: np.ndarray) -> np.ndarray:
-    """Natural logs of each token's share, for other words of their class alone."""
-    out = np.empty(len(rank))
-    for at in range(0, len(rank), BATCH):
-        f, r = feature[:, at : at + BATCH], rank[at : at + BATCH]
-        kind = m.kinds(r, form[at : at + BATCH])
-        rows = _rows(f, 0, len(m.class_rows))
-        z = _log_softmax(m.class_bias + m.class_rows[rows[0]] + m.class_rows[rows[1]] + m.class_rows[rows[2]])
-        got = z[np.arange(len(r)), kind].astype(np.float64)
-        for known, node, child in _steps(r):
-            rows = _rows(f[:, known], node + 1, len(m.word_rows))
-            z = _log_softmax(m.word_bias[node] + m.word_rows[rows[0]] + m.word_rows[rows[1]] + m.word_rows[rows[2]])
-            got[known] += z[np.arange(len(known)), child]
-        out[at : at + BATCH] = got
-    return out
+_ROW = f"V{4 * BRANCH}"
 
 
 class _Trainer:
-    """One table's AdaGrad state in a task."""
-
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights.copy()
-        self.squares = np.full(len(weights), 1e-2, np.float32)
-        self.used = np.zeros(len(weights), np.int64)
-
-    def update(self, rows: np.ndarray, slope: np.ndarray) -> None:
-        """``rows``: 3 x tokens; ``slope``: gradient of each token's logits."""
-        flat = rows.ravel()
-        order = np.argsort(flat.astype(np.uint16), kind="stable")  # 16 bits at a time are sorted by counting
-        if len(self.weights) > 1 << 16:
-            order = order[np.argsort((flat[order] >> 16).astype(np.uint16), kind="stable")]
+    """The table's AdaGrad state in a task."""
+
+    def __init__(self, m: Model):
+        self.model, self.weights = m, m.rows.copy()
+        self.whole = self.weights.view(_ROW).ravel()  # a row at a time is quicker to put back
+        self.squares = np.full(len(m.rows), 1e-2, np.float32)
+        self.used = np.zeros(len(m.rows), np.int64)
+
+    def update(self, feature: np.ndarray, leaf: np.ndarray) -> None:
+        c = choices(self.model, feature, leaf)
+        slope, total = _exponentials(self.model, self.weights, c)
+        slope /= total[:, None]
+        slope[np.arange(len(slope)), c.child] -= 1
+        flat = c.rows.ravel()
+        order = np.argsort((flat & 0xFFFF).astype(np.uint16), kind="stable")  # 16 bits at a time are sorted by counting
+        order = order[np.argsort((flat >> 16).astype(np.uint16)[order], kind="stable")]
         flat = flat[order]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        total = np.add.reduceat(slope[order % rows.shape[1]], first, axis=0)
+        uses = np.diff(np.append(first, len(flat)))
+        order %= len(slope)
+        change = slope.take(order[first], 0)  # most rows are used once in a batch
+        many = np.flatnonzero(uses > 1)
+        if len(many):
+            ends = np.cumsum(uses[many])
+            change[many] = np.add.reduceat(slope.take(order[np.repeat(uses > 1, uses)], 0), ends - uses[many], axis=0)
         own = flat[first]
-        self.used[own] += np.diff(np.append(first, len(flat)))
-        self.squares[own] += (total * total).mean(1)
-        self.weights[own] -= RATE * total / np.sqrt(self.squares[own])[:, None]
+        self.used[own] += uses
+        squares = self.squares[own] + np.einsum("ij,ij->i", change, change) / BRANCH
+        self.squares[own] = squares
+        change *= (RATE / np.sqrt(squares))[:, None]
+        weights = self.weights.take(own, 0)
+        weights -= change
+        np.put(self.whole, own, weights.view(_ROW).ravel())
 
 
 def _fit_task(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    classes, words = _Trainer(m.class_rows), _Trainer(m.word_rows)
+    table = _Trainer(m)
     for batch in batches:
         for part in X.texts(batch.column(0)):
             key, form, bounds = tokens(part)
             _, rank = m.ids(key)
-            feature = history(key, rank, bounds, m.others)
+            feature, leaf = history(key, rank, bounds, m.others), m.leaves(rank, form)
             for at in range(0, len(key), BATCH):
-                f, r = feature[:, at : at + BATCH], rank[at : at + BATCH]
-                kind = m.kinds(r, form[at : at + BATCH])
-                rows = _rows(f, 0, len(m.class_rows))
-                w = classes.weights
-                slope = np.exp(_log_softmax(m.class_bias + w[rows[0]] + w[rows[1]] + w[rows[2]]))
-                slope[np.arange(len(r)), kind] -= 1
-                classes.update(rows, slope)
-                for known, node, child in _steps(r):
-                    rows = _rows(f[:, known], node + 1, len(m.word_rows))
-                    w = words.weights
-                    slope = np.exp(_log_softmax(m.word_bias[node] + w[rows[0]] + w[rows[1]] + w[rows[2]]))
-                    slope[np.arange(len(known)), child] -= 1
-                    words.update(rows, slope)
+                table.update(feature[:, at : at + BATCH], leaf[at : at + BATCH])
     out: list[tuple[int, int, bytes, bytes]] = []
-    own, blocks = TaskContext.get().partitionId(), len(m.class_rows) // _BLOCK
-    for table, t in enumerate((classes, words)):
-        for b in range(blocks):
-            s = slice(b * _BLOCK, (b + 1) * _BLOCK)
-            if t.used[s].any():
-                out.append((table * blocks + b, own, t.used[s].astype("<f8").tobytes(), (t.weights[s] * t.used[s, None]).astype("<f4").tobytes()))
+    own = TaskContext.get().partitionId()
+    for b in range(len(m.rows) // _BLOCK):
+        s = slice(b * _BLOCK, (b + 1) * _BLOCK)
+        if table.used[s].any():
+            out.append((b, own, table.used[s].astype("<f8").tobytes(), (table.weights[s] * table.used[s, None]).astype("<f4").tobytes()))
     yield _blocks(out)
 
 
@@ -364,7 +460,7 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _blocks([(s, p, u.tobytes(), t.astype("<f4").tobytes()) for (s, p), (u, t) in held.items()])
 
 
-def _summed(sent: DataFrame, parts: int, slots: int = 2 * ROWS // _BLOCK) -> DataFrame:
+def _summed(sent: DataFrame, parts: int, slots: int = ROWS // _BLOCK) -> DataFrame:
     """The blocks of ``parts`` tasks added up by slot, as a tree: no task reads more than :data:`FAN_IN` blocks of a slot."""
     while parts > 1:
         parts = -(-parts // FAN_IN)
@@ -373,25 +469,25 @@ def _summed(sent: DataFrame, parts: int, slots: int = 2 * ROWS // _BLOCK) -> Dat
     return sent
 
 
-def fit(docs: DataFrame, counts: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
+def fit(docs: DataFrame, counts: DataFrame, text: str = "text") -> Model:
     """The model of the training rows ``docs``, whose word counts are given."""
     spark = docs.sparkSession
     model = unigram_model(counts)
-    rows = len(model.class_rows)
-    blocks, tasks = rows // _BLOCK, max(1, model.total // (TOKENS_A_ROW * rows))
-    for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(model)  # the top words and two tables
-        own = docs.where(F.pmod(F.xxhash64(key), F.lit(ROUNDS)) == turn).select(text).coalesce(max(tasks, LEAST_TASKS))
+    model = grouped(model, neighbourhoods(docs, model, text))
+    rows = len(model.rows)
+    tasks = max(LEAST_TASKS, model.total // (TOKENS_A_ROW * rows))
+    own = docs.select(text).coalesce(tasks)
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(model)  # the top words and the table
         sent = own.mapInArrow(lambda b, s=shared: _fit_task(s.value, b), _BLOCKS)
-        done = _summed(sent, own.rdd.getNumPartitions(), 2 * blocks).collect()  # the rows of two tables
-        tables = [model.class_rows.copy(), model.word_rows.copy()]
-        for r in done:
-            t, b = divmod(r["slot"], blocks)
+        table = model.rows.copy()
+        for r in _summed(sent, tasks, rows // _BLOCK).collect():  # the rows of the table, each block once
             used = np.frombuffer(r["used"], "<f8")
             total = np.frombuffer(r["total"], "<f4").reshape(_BLOCK, -1)
-            part = tables[t][b * _BLOCK : (b + 1) * _BLOCK]
+            part = table[r["slot"] * _BLOCK : (r["slot"] + 1) * _BLOCK]
             part[used > 0] = total[used > 0] / used[used > 0, None]
-        model = model._replace(class_rows=tables[0], word_rows=tables[1])
+        model = model._replace(rows=table)
+        shared.destroy()
     return model
 
 
@@ -416,7 +512,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
                 row = np.repeat(np.arange(n), np.diff(bounds))
                 at, rank = m.ids(key)
                 share = np.where(at >= 0, np.log10(m.top_n[at] + 1.0), 0.0) if len(m.top) else np.zeros(len(key))
-                lm = log_probabilities(m, history(key, rank, bounds, m.others), rank, form) / np.log(10)
+                lm = log_probabilities(m, history(key, rank, bounds, m.others), m.leaves(rank, form)) / np.log(10)
                 lm += np.where(rank < 0, share - other_low[form], 0.0)
                 tail = np.flatnonzero(at < 0)
                 order = np.lexsort((key[tail], row[tail]))
@@ -461,6 +557,6 @@ def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     """Count, train and score: ``key, held_out`` and the scores of every row."""
     training = docs.where(~held_out(key)).select(key, text)
     counts = written(word_counts(training, text), "maxent-counts")
-    model = fit(training, counts, text, key)
+    model = fit(training, counts, text)
     marked = docs.select(key, held_out(key).alias("held_out"), text)
     return score(marked, model, counts, text, [key, "held_out"])
