@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import edges
@@ -135,7 +136,9 @@ def test_pages_of_one_template_meet_in_few_pairs(spark):
     assert {(7, 100), (9, 101)} <= pairs and len(pairs) < 20  # of 1,891
 
 
-def test_prefix_filter_misses_no_link(spark):
+@pytest.mark.parametrize("dealt", [4096, 3])
+def test_prefix_filter_misses_no_link(spark, monkeypatch, dealt):
+    monkeypatch.setattr(M, "TOKEN_ROWS", dealt)
     r = random.Random(6)
     sets = []
     for i in range(120):

@@ -30,6 +30,7 @@ are read, so extra columns, whatever their names, change nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -48,6 +49,8 @@ SLOTS = BANDS * ROWS
 SIMILAR = 75
 #: Counters of the table that orders shingles: one for this many shingles, within these bounds (a power of two).
 SHINGLES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 256, 1 << 12, 1 << 20
+#: Sets that hold one shingle and are compared by one task, about.
+TOKEN_ROWS = 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -207,14 +210,20 @@ def _prefixes(sets: DataFrame, counters: np.ndarray) -> DataFrame:
 def _across(sets: DataFrame) -> DataFrame:
     """``a, b``: pairs of ``sets(node, c, shingles)`` with different ``c`` that may be similar enough; none that is, is missing."""
     found = written(_prefixes(sets, _counters(sets)), "minhash-prefixes")
-    shared = found.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-    found = found.join(shared, "token")
-    a, b = found.alias("a"), found.alias("b")
+    shared = found.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo != hi")
+    # a pair's sizes differ by a third at most, so the smaller set looks in its own step of sizes and in the next one;
+    # a token that many sets hold is dealt to several tasks, each of which sees all its smaller sets
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / SIMILAR)) + 1e-9)
+    found = found.join(shared.select("token", F.ceil(F.col("k") / TOKEN_ROWS).alias("deals")), "token").withColumn("step", step)
+    a = found.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).withColumn("step", F.explode(F.array("step", F.col("step") + 1))).alias("a")
+    b = found.withColumn("deal", F.pmod(F.xxhash64("node"), F.col("deals"))).alias("b")
     least = (F.col("a.n") + F.col("b.n")) * F.lit(SIMILAR)  # of (100 + SIMILAR) times the common shingles
     most = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))  # as a pair's first common shingle
-    allowed = (F.lit(100) * F.least("a.n", "b.n") >= F.lit(SIMILAR) * F.greatest("a.n", "b.n")) & (F.lit(100 + SIMILAR) * most >= least)
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & allowed)
-    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    allowed = (F.lit(100) * F.col("a.n") >= F.lit(SIMILAR) * F.col("b.n")) & (F.lit(100 + SIMILAR) * most >= least)
+    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
+    same = (F.col("a.token") == F.col("b.token")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.deal") == F.col("b.deal"))
+    pairs = a.join(b, same & smaller & (F.col("a.c") != F.col("b.c")) & allowed)
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
