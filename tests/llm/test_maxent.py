@@ -65,7 +65,9 @@ def test_history():
     assert bounds.tolist() == [0, 4, 5, 7]
     rank = np.arange(len(key))
     f = M.history(key, rank, bounds)
-    assert f[0][0] == f[0][4] == f[0][5] and f[2][1] == f[2][6] == f[2][0] and len(set(f[0][:4].tolist())) == 4
+    assert all(x[0] == x[4] == x[5] for x in f) and all(len(set(x[:4].tolist())) == 4 for x in f)
+    g = M.history(key, np.where(rank == 1, 1, 10**6 + rank), bounds)  # only the second token is very frequent
+    assert g[1][0] == g[1][1] == g[1][4] == g[1][6] != g[1][2] == g[1][3]
 
 
 def test_model_beats_the_unigrams_on_held_out_text(spark):
@@ -139,11 +141,11 @@ def test_score_matches_a_plain_computation(spark):
             rank = rank_of.get(k, -1)
             a, b = ([0, 0] + own)[at + 1], ([0, 0] + own)[at]
             c = next((own[j] for j in reversed(range(at)) if 0 <= rank_of.get(key.tolist()[j], -1) < M.ANCHORS), 0)
-            features = [mix(3 * a + 1), mix(a * gold + 3 * b), mix(3 * b + 2), mix(5 * c + 4)]
+            features = [mix(3 * a + 1), mix(5 * c + 4), mix(a * gold + 3 * b)]
             leaf = int(model.leaf[rank]) if rank >= 0 else len(model.leaf) + int(form[at])
             for level in range(t.depth[leaf]):
                 node = int(t.node[level, leaf])
-                z = t.bias[node].astype(float) + sum(model.rows[(mix(f + (node + 1) * gold) >> 32) * len(model.rows) >> 32].astype(float) for f in features)
+                z = t.bias[node].astype(float) + sum(model.rows[(mix(f + (node + 1) * gold) >> 32) * len(model.rows) >> 32].astype(float) for f in (features if level < M.UPPER else features[: M.LOWER_FEATURES]))
                 total += (z[t.child[level, leaf]] - math.log(np.exp(z).sum())) / math.log(10)
             if rank < 0:
                 total += math.log10(n_of.get(k, 0) + 1) - math.log10(model.other_size[form[at]])

@@ -6,16 +6,16 @@ of a tree of classes: a node has at most :data:`BRANCH` children, of about equal
 mass, so frequent words have short paths.  ``P(word | history)`` is the product
 of the softmaxes along its path; of a form, a word has its add-one unigram
 share.  A softmax adds up hashed feature rows, chosen by node and history: the
-previous word, the previous two (n-grams), the one before the previous alone and
-the last very frequent word before (skips).  It starts from the corpus's
-unigrams.  Vocabulary words stand in the tree in the order of the frequent words
-that they occur after, so classes hold words of one language or subject.
+previous word, the last very frequent word before (a skip) and, in the root, the
+previous two words.  It starts from the corpus's unigrams.  Vocabulary words
+stand in the tree in the order of the frequent words that they occur after, so
+classes hold words of one language or subject.
 
 The vocabulary, the feature rows and the buckets of other words in a history
 grow as the root of the number of training tokens (:func:`sizes`), a word's
 work as the vocabulary's logarithm.
 
-Training makes :data:`ROUNDS` rounds of distributed gradient updates, each over
+Training makes :data:`ROUNDS` (one) rounds of distributed gradient updates, each over
 all training rows: each task walks its rows with AdaGrad from the round's
 weights and sends the rows of the table that it changed; their means, weighted
 by use, are the next weights.  A round takes so few tasks that the tables they
@@ -59,12 +59,14 @@ ROWS, MOST_ROWS, ROWS_GROWTH = 1 << 14, 1 << 22, 32
 ANCHORS = 256
 #: Very frequent words that describe where others occur, and how often the vocabulary is halved by those descriptions.
 MARKERS, HALVINGS = 32, 5
+#: Levels of the tree that see all features of a history, and how many of them the lower levels see.
+UPPER, LOWER_FEATURES = 1, 2
 #: Words whose counts every task holds.
 TOP = 300_000
-ROUNDS = 2
+ROUNDS = 1
 #: Tokens of a gradient step.
 BATCH = 1 << 12
-RATE = 0.1
+RATE = 0.3
 _BLOCK = 256  # rows of the table that travel together
 #: Tasks whose changes one task adds up.
 FAN_IN = 64
@@ -260,7 +262,7 @@ def _last(marked: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def history(key: np.ndarray, rank: np.ndarray, bounds: np.ndarray, others: int = OTHERS) -> np.ndarray:
-    """Hashes of the features of each token's history: one word back, two words, the second alone, the last very frequent one."""
+    """Hashes of the features of each token's history: one word back, the last very frequent one (a skip), two words back."""
     own = np.where(rank >= 0, rank, (1 << 40) + (key % np.uint64(others)).astype(np.int64)) + 1  # 0: before the text
     first = bounds[:-1][np.diff(bounds) > 0]
     back = np.zeros((2, len(own)), np.int64)
@@ -272,7 +274,7 @@ def history(key: np.ndarray, rank: np.ndarray, bounds: np.ndarray, others: int =
     a, b = back.astype(np.uint64)
     last = _last((rank >= 0) & (rank < ANCHORS), bounds)
     c = np.where(last >= 0, own[last], 0).astype(np.uint64)
-    return np.stack([X.mix(a * np.uint64(3) + np.uint64(1)), X.mix(a * _GOLD + b * np.uint64(3)), X.mix(b * np.uint64(3) + np.uint64(2)), X.mix(c * np.uint64(5) + np.uint64(4))])
+    return np.stack([X.mix(a * np.uint64(3) + np.uint64(1)), X.mix(c * np.uint64(5) + np.uint64(4)), X.mix(a * _GOLD + b * np.uint64(3))])
 
 
 def neighbourhoods(docs: DataFrame, m: Model, text: str = "text") -> np.ndarray:
@@ -344,12 +346,19 @@ def grouped(m: Model, near: np.ndarray) -> Model:
 
 
 class Choices(NamedTuple):
-    """The decisions on the paths of some tokens."""
+    """The decisions on the paths of some tokens, level by level."""
 
     token: np.ndarray
     node: np.ndarray
     child: np.ndarray
-    rows: np.ndarray  # features x decisions
+    high: int  # decisions on the first UPPER levels
+    above: np.ndarray  # their rows: features x decisions
+    below: np.ndarray  # the rows of the others
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every use of a row, and the decision that it belongs to."""
+        rest = np.arange(self.high, len(self.token))
+        return np.concatenate([self.above.ravel(), self.below.ravel()]), np.concatenate([np.tile(np.arange(self.high), len(self.above)), np.tile(rest, len(self.below))])
 
 
 def choices(m: Model, feature: np.ndarray, leaf: np.ndarray) -> Choices:
@@ -358,16 +367,22 @@ def choices(m: Model, feature: np.ndarray, leaf: np.ndarray) -> Choices:
     token = np.concatenate([np.flatnonzero(deep > level) for level in range(len(t.node))]) if len(leaf) else np.zeros(0, np.int64)
     node = np.concatenate([t.node[level][leaf[deep > level]] for level in range(len(t.node))])
     child = np.concatenate([t.child[level][leaf[deep > level]] for level in range(len(t.node))])
-    mixed = X.mix(feature[:, token] + (node.astype(np.uint64) + np.uint64(1)) * _GOLD)
-    rows = ((mixed >> np.uint64(32)) * np.uint64(len(m.rows))) >> np.uint64(32)
-    return Choices(token, node, child, rows.astype(np.int64))
+    high = int(np.minimum(deep, UPPER).sum())
+
+    def rows(features: slice, part: slice) -> np.ndarray:
+        mixed = X.mix(feature[features, token[part]] + (node[part].astype(np.uint64) + np.uint64(1)) * _GOLD)
+        return (((mixed >> np.uint64(32)) * np.uint64(len(m.rows))) >> np.uint64(32)).astype(np.int64)
+
+    return Choices(token, node, child, high, rows(slice(None), slice(high)), rows(slice(LOWER_FEATURES), slice(high, None)))
 
 
 def _exponentials(m: Model, weights: np.ndarray, c: Choices) -> tuple[np.ndarray, np.ndarray]:
     """Of each decision the children's unnormalised shares, and their sum."""
     z = m.tree.bias.take(c.node, 0)
-    for r in c.rows:
-        z += weights.take(r, 0)
+    for r in c.above:
+        z[: c.high] += weights.take(r, 0)
+    for r in c.below:
+        z[c.high :] += weights.take(r, 0)
     np.minimum(z, 80, out=z)  # the biases are at most 0; this bound only keeps the sum finite
     np.exp(z, out=z)
     return z, np.einsum("ij->i", z)
@@ -401,13 +416,13 @@ class _Trainer:
         slope, total = _exponentials(self.model, self.weights, c)
         slope /= total[:, None]
         slope[np.arange(len(slope)), c.child] -= 1
-        flat = c.rows.ravel()
+        flat, decision = c.rows()
         order = np.argsort((flat & 0xFFFF).astype(np.uint16), kind="stable")  # 16 bits at a time are sorted by counting
         order = order[np.argsort((flat >> 16).astype(np.uint16)[order], kind="stable")]
         flat = flat[order]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         uses = np.diff(np.append(first, len(flat)))
-        order %= len(slope)
+        order = decision[order]
         change = slope.take(order[first], 0)  # most rows are used once in a batch
         many = np.flatnonzero(uses > 1)
         if len(many):
