@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, htmltext, langid, linededup, maxent, media, minhash, packing, quality, warc
+from ._store import written
 
 #: Folder of the public tokenizers' vocabulary files; None: the installed package's.
 TOKENIZERS: str | None = None
@@ -35,7 +36,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = media.media_column(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    files = written(media.media_column(_read(spark, sf_dir, "documents"), keep=["doc_id"]), "media-files")
     return media.digests(files, keep=["doc_id", "n_bytes"])
 
 
@@ -72,6 +73,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_media_columns that SQL can express."""
+    return op3_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_lm_scoring that SQL can express."""
+    return op8_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_quality_rules that SQL can express."""
+    return op9_quality_rules(spark, sf_dir).select("doc_id", *(n for n, _ in quality.STATISTICS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -83,8 +99,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "media_payloads": media_payloads,
+    "unigram_scores": unigram_scores,
+    "quality_statistics": quality_statistics,
 }
 
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, byte by byte through the usual table of 256 numbers."""
+    table = []
+    for number in range(256):
+        for _ in range(8):
+            number = number >> 1 ^ (0xEDB88320 if number & 1 else 0)
+        table.append(number)
+    codes = f"list_transform(string_split({text}, ''), lambda c: ord(c)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda a, b: xor(({table}::bigint[])[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::bigint)"
+
+
 ORACLES: dict[str, str] = {
     # deleted lines are those in a window of just enough words (from a line forwards, or back from it) that occurred before
     "op1_line_dedup": r"""
@@ -121,6 +152,32 @@ ORACLES: dict[str, str] = {
                case when payload_bytes >= 100 and page_id is distinct from first_id and first_id is not null then 'revisit' else 'response' end as record_type,
                case when payload_bytes >= 100 and page_id is distinct from first_id then first_id end as refers_to
         from f""",
+    "media_payloads": """
+        with b as (select doc_id, encode(coalesce(text, '')) as b from documents),
+             p as (select doc_id, octet_length(b) as n_bytes, greatest(64, (octet_length(b) + 63) // 64 * 64) as payload_bytes, b from b)
+        select doc_id, n_bytes, payload_bytes, sha256(b || from_hex(repeat('00', payload_bytes - n_bytes))) as payload_sha256 from p""",
+    "unigram_scores": rf"""
+        with w as (
+            select doc_id, coalesce({_crc32("doc_id::varchar")} % 7 = 2, true) as held_out,
+                   list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) as words
+            from documents),
+        t as materialized (select row_number() over () as r, * from w),
+        u as (select r, held_out, unnest(words) as word from t),
+        c as (select word, count(*) as c from u where not held_out group by word),
+        s as (select sum(c)::bigint as n, count(*) as v from c),
+        x as (select r, count(*) as n_tokens, count(c) as n_known, sum(log10((coalesce(c, 0) + 1.0::double) / (n + v + 1))) as base_score from u left join c using (word) cross join s group by r)
+        select doc_id, held_out, n_tokens, n_known, n as train_tokens, round(base_score, 4) as base_score from t join x using (r) cross join s""",
+    "quality_statistics": r"""
+        with t as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+        g as (select r, unnest(range(1, len(words) - 1)) as i, words from t where len(words) > 2),
+        d as (select r, i, count(*) over (partition by r, words[i], words[i + 1], words[i + 2]) as k from g),
+        q as (select r, count(distinct p) as n_repeat_words from (select r, unnest([i, i + 1, i + 2]) as p from d where k > 1) group by r),
+        l as (select r, count(*) - count(distinct line) as n_dup_lines from (select r, unnest(string_split(text, chr(10))) as line from t) where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+        o as (
+            select doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: len(x))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
+                   coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+            from t left join l using (r) left join q using (r))
+        select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from o""",
     "op10_minhash_near_dedup": r"""
         with recursive w as (
             select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
