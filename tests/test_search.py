@@ -224,6 +224,89 @@ def test_proximity_pairs_of_whole_texts(spark, tmp_path):
         body = f"s/{i}\n{t or ''}"
         at = lambda x: [k for k in range(len(body)) if body.startswith(x, k)]
         want += [(i, a, b) for a in at("ion") for b in at("wit") if abs(a - b) <= 20]
-    assert sorted(map(tuple, catalog.proximity_pairs_whole(spark, f"file://{tmp_path}").collect())) == sorted(want)
+    assert sorted(map(tuple, catalog.proximity_pairs(spark, f"file://{tmp_path}").collect())) == sorted(want)
     found = positional_postings(positions(catalog.documents(spark, f"file://{tmp_path}"), compat=True))
     assert {r[0] for r in proximity_pairs(found, b"ion".hex(), b"wit".hex(), 20).collect()} == {0} < {i for i, _, _ in want}
+
+
+def test_lookups_prune(spark, tmp_path):
+    """Postings and documents of a stored index are read by their keys, whatever the number of values."""
+    ix = index(spark, {f"n{i}": f"needle {i} hay" if i % 2 else "straw" for i in range(80)}).write(f"file://{tmp_path}/ix")
+    found = Searcher(ix).search("needle", 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    docs = next(line for line in plan.splitlines() if "FileScan" in line and "content" in line)
+    assert "PushedFilters" in docs and "In(file_id" in docs
+    assert found.count() == 20
+    from trigrove.operators.search import hits
+
+    plan = hits(ix.postings, T.of_query("a long query with many trigrams"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("In(tri") >= 2
+
+
+def test_long_lists_come_in_parts(spark):
+    ix = index(spark, {f"n{i}": "abc" for i in range(25)})
+    rows = [r for r in ix.lists(10).collect() if r["tri"] == "616263"]
+    assert sorted((r["part"], r["file_ids"]) for r in rows) == [(k, list(range(10 * k, min(25, 10 * k + 10)))) for k in range(3)]
+
+
+def test_scanned_trigrams_are_those_of_the_expressions(spark, monkeypatch):
+    """The numpy passes against the column expressions, in small runs too."""
+    import random
+
+    from trigrove.functions import scan
+
+    r = random.Random(3)
+    texts = [None, "", "ab", "abc", "x" * 2000, "x" * 2001, "x" * 1999 + "\n", "x" * 2000 + "\ny", "a\0b", "é字" * 9, "\n\n", "y\n" * 5] + ["".join(r.choices("ab\ncé", k=r.randint(0, 60))) for _ in range(80)]
+    raws = [t if t is None else bytearray(t.encode()) for t in texts] + [bytearray(r.choices([0x41, 0x7F, 0x80, 0xBF, 0xC3, 0xE5, 0xF0, 0xF7, 0xF8, 0xFF, 0], k=r.randint(0, 6))) for _ in range(300)]
+    for bound in (1 << 20, 64):
+        monkeypatch.setattr(scan, "RUN_BYTES", bound)
+        for rows, kind, binary in ((texts, "string", False), (raws, "binary", True)):
+            df = spark.createDataFrame(list(enumerate(rows)), f"i int, t {kind}")
+            want = df.where(T.admitted(F.col("t"), binary=binary))
+            assert sorted(x.i for x in scan.admitted(df, ["t"], binary).collect()) == sorted(x.i for x in want.collect())
+            got = sorted(map(tuple, scan.exploded(df, ["t"], ["i"], binary).collect()))
+            assert got == sorted(map(tuple, want.select(F.explode(T.distinct_trigrams(F.col("t"))).alias("tri"), "i").collect()))
+            every = sorted(map(tuple, scan.exploded(df, ["t"], ["i"], binary, limits=False).collect()))
+            assert every == sorted(map(tuple, df.select(F.explode(T.distinct_trigrams(F.col("t"))).alias("tri"), "i").collect()))
+
+
+def test_documents_beyond_the_limits_can_be_indexed(spark):
+    docs = spark.createDataFrame([(0, "a", "x" * 3000 + " needle"), (1, "b", "a\0 needle"), (2, "c", None)], "file_id long, name string, content string")
+    assert names(Searcher(TrigramIndex.build(docs)).search("needle", 5)) == []
+    assert sorted(names(Searcher(TrigramIndex.build(docs, limits=False)).search("needle", 5))) == ["a", "b"]
+
+
+REGEXES = ["(?i)HELLO", "[]abc]x", "[^]abc]x", "\\x68ello", "\\u0068ello", "[a[bc]d]ello", "hel[a-z&&[^m]]o", "\\Qa(b\\Ec", "(?x) he llo", "hello|(abc", "(hello)\\1", "h{1,2}ello", "a{0}hello", "hel+?lo", "(?:hel)?lo w", "^hello$", "\\bhello\\b", "\\p{Lower}ello", "(?<=h)ello", "é+字"]
+
+
+def test_no_regex_loses_a_row(spark):
+    """Whatever is required of candidates, the result is that of the full scan, with the places that Java's engine finds."""
+    docs = {f"n{i}": t for i, t in enumerate(["hello", "HELLO", "]x", "ax", "dello", "bello", "a(bc", "hellohello", "hhello", "hello world", "éé字 x", "say hello\nhello", "lo w", "hel\nlo", "\ufdd0hello\ufdd1", "", "helo"])}
+    ix = index(spark, docs)
+    s = Searcher(ix, SearchOptions(candidate_factor=None))
+    for p in REGEXES:
+        try:
+            want = sorted(r["name"] for r in ix.docs.where(F.col("content").rlike(p)).collect())
+        except Exception:
+            want = []  # not valid
+        assert sorted(names(s.search_regex(p, 100))) == want, p
+    hit = {r["name"]: [tuple(m) for line in r["snippets"] for m in line["matches"]] for r in s.search_regex("hello", 100).collect()}
+    assert hit["n11"] == [(4, 9), (0, 5)] and hit["n14"] == [(3, 8)] and hit["n7"] == [(0, 5), (5, 10)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_regexes_lose_no_row(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    texts = ["".join(r.choices("abcABC]-[&x1", k=r.randint(0, 14))) for _ in range(60)]
+    ix = index(spark, {f"n{i}": t for i, t in enumerate(texts)})
+    s = Searcher(ix, SearchOptions(candidate_factor=None))
+    pieces = ["abc", "bca", "a", "b?", "c*", "(?i)", "(ab|c)", "[]a]", "[^b]", "[a[b]]", "\\x61", "|", "{2}", "+", ".", "\\Q", "\\E", "\\]", "x1", "(?:a)"]
+    for _ in range(12):
+        p = "".join(r.choices(pieces, k=r.randint(1, 5)))
+        try:
+            want = sorted(x["name"] for x in ix.docs.where(F.col("content").rlike(p)).collect())
+        except Exception:
+            want = []
+        assert sorted(names(s.search_regex(p, None))) == want, p

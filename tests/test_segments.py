@@ -128,3 +128,44 @@ def test_stream(spark, tmp_path):
 def test_latest(spark):
     rows = spark.createDataFrame([("a", "old", 1), ("a", "new", 2)], "path string, content string, m long").withColumn("mtime", F.timestamp_seconds("m"))
     assert streaming.latest(rows).collect() == [("a", "new")]
+
+
+def test_the_last_row_of_a_path_counts(spark, tmp_path):
+    w = SegmentWriter(spark, f"file://{tmp_path}/seg")
+    rows = spark.createDataFrame([("a", "zzz first", 1), ("a", "aaa last", 2), ("b", "one", 1)], "path string, content string, n int")
+    w.apply(rows, order="n")
+    assert sorted((r["path"], r["content"]) for r in SegmentReader.open(spark, w.path).docs().collect()) == [("a", "aaa last"), ("b", "one")]
+    tied = spark.createDataFrame([("a", "x", 1), ("a", None, 1), ("b", "p", 1), ("b", "q", 1)], "path string, content string, m long").withColumn("mtime", F.timestamp_seconds("m"))
+    assert sorted(map(tuple, streaming.latest(tied).collect())) == [("a", None), ("b", "q")]
+
+
+def test_a_change_during_apply_stays_pending(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("hello a")
+    t = FileTracker(spark, f"file://{tmp_path}/state", [str(folder)])
+    seen = t.snapshot()
+    (folder / "b.txt").write_text("hello b")  # after the snapshot
+    t.mark_indexed(seen)
+    assert [(r["path"].rsplit("/", 1)[1], r["change_type"]) for r in t.pending().collect()] == [("b.txt", "added")]
+
+
+def test_large_files_are_indexed_unless_bounded(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "big.txt").write_text("needle in a line\n" * 700_000)  # over 10 MiB
+    t = FileTracker(spark, f"file://{tmp_path}/state", [str(folder)])
+    assert t.rebuild(f"file://{tmp_path}/ix").file_count == 1
+    small = FileTracker(spark, f"file://{tmp_path}/state2", [str(folder)], max_bytes=1000)
+    assert small.rebuild(f"file://{tmp_path}/ix2").file_count == 0
+
+
+def test_watch_debounces(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("hello a")
+    w = SegmentWriter(spark, f"file://{tmp_path}/seg")
+    query = streaming.ingest(streaming.watch(spark, str(folder)), w, str(tmp_path / "check"))
+    query.processAllAvailable()
+    query.stop()
+    assert counts(spark, w.path) == (1, 1, 1)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions import trigrams as T
 from ..sources import store
-from .index import TrigramIndex
-from .search import Searcher, SearchOptions, _bytes, _lines_around, _name_snippet, _with_snippets, best, hits, idf, literal_spans
+from .index import TrigramIndex, write_docs
+from .search import Searcher, SearchOptions, _bytes, _lines_around, _name_snippet, _with_snippets, best, documents_of, hits, idf, literal_spans
 
 FORMAT = "trigrove-fields-1"
 
@@ -26,20 +27,21 @@ class FieldIndex:
     docs: DataFrame
     fields: list[str]
     postings: DataFrame
+    meta: dict = field(default_factory=dict)
 
     @classmethod
-    def build(cls, rows: DataFrame, fields: list[str]) -> FieldIndex:
+    def build(cls, rows: DataFrame, fields: list[str], limits: bool = True) -> FieldIndex:
         """Index ``rows(file_id, name, field, content)``.
 
         A document counts even if none of its fields is admitted.  A field that
         is added to a document twice has its postings twice.  Fields that
-        aren't registered, and null contents, give no postings.
+        aren't registered, and null contents, give no postings.  ``limits=False``
+        admits every content.
         """
         names = list(dict.fromkeys(fields))
         number = F.array_position(F.array(*(F.lit(f) for f in names)), F.col("field")) - 1 if names else F.lit(-1)
-        tris = T.distinct_trigrams(F.col("content"))
-        good = rows.withColumn("field_id", number.cast("int")).where("field_id >= 0").withColumn("__tris", tris).where(T.admitted(F.col("content"), F.col("__tris")))
-        postings = good.select(F.explode("__tris").alias("tri"), "field_id", "file_id")
+        good = rows.withColumn("field_id", number.cast("int")).where("field_id >= 0")
+        postings = scan.exploded(good, ["content"], ["field_id", "file_id"], limits=limits)
         body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(number.alias("f"), "content"))), lambda x: x["content"]), "\n")
         docs = rows.groupBy("file_id").agg(F.min("name").alias("name"), body.alias("content"))
         return cls(docs, names, postings)
@@ -52,9 +54,9 @@ class FieldIndex:
 
     def write(self, path: str) -> FieldIndex:
         spark = self.docs.sparkSession
-        self.postings.repartitionByRange("tri", "field_id").sortWithinPartitions("tri", "field_id", "file_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        store.write_json(spark, f"{path}/fields.json", {"format": FORMAT, "fields": self.fields})
+        self.postings.repartitionByRange("tri", "field_id", "file_id").sortWithinPartitions("tri", "field_id", "file_id").write.mode("overwrite").parquet(f"{path}/postings")
+        write_docs(self.docs, f"{path}/docs")
+        store.write_json(spark, f"{path}/fields.json", {"format": FORMAT, "fields": self.fields, "files": spark.read.parquet(f"{path}/docs").count()})
         return self.open(spark, path)
 
     @classmethod
@@ -62,11 +64,11 @@ class FieldIndex:
         meta = store.read_json(spark, f"{path}/fields.json")
         if meta is None or meta.get("format") != FORMAT:
             raise ValueError(f"no field index of format {FORMAT} at {path}")
-        return cls(spark.read.parquet(f"{path}/docs"), meta["fields"], spark.read.parquet(f"{path}/postings"))
+        return cls(spark.read.parquet(f"{path}/docs"), meta["fields"], spark.read.parquet(f"{path}/postings"), meta)
 
     @cached_property
     def file_count(self) -> int:
-        return self.docs.count()
+        return self.meta["files"] if "files" in self.meta else self.docs.count()
 
     @cached_property
     def pair_count(self) -> int:
@@ -106,8 +108,9 @@ class FieldSearcher:
         if not tris or not boosts or max_results <= 0:
             return Searcher(TrigramIndex(self.index.docs, self.index.postings)).empty()
         o, raw = self.options, query.encode()
-        cut = best(self.ranked(tris, boosts), None if o.candidate_factor is None else o.candidate_factor * max_results)
-        found = cut.join(self.index.docs, "file_id").where(F.contains("name", F.lit(query)) | F.contains("content", F.lit(query)))
+        most = None if o.candidate_factor is None else o.candidate_factor * max_results
+        ranked = self.ranked(tris, boosts)
+        found = documents_of(ranked if most is None else best(ranked, most), self.index.docs, most).where(F.contains("name", F.lit(query)) | F.contains("content", F.lit(query)))
 
         def make(name: str, content: object) -> list[dict] | None:
             if raw in name.encode():

@@ -14,10 +14,14 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import trigrams as T
+from ..functions import scan
 from ..sources import store
 
 FORMAT = "trigrove-index-1"
+#: Bytes of a row group of stored documents: small, so that a lookup by id reads little.
+DOC_GROUP = 8 << 20
+#: Ids of a row of a posting list, at most.
+LIST_IDS = 1 << 16
 
 
 def dense_ids(docs: DataFrame, *order: str, column: str = "file_id") -> DataFrame:
@@ -52,24 +56,23 @@ class TrigramIndex:
     meta: dict = field(default_factory=dict)
 
     @classmethod
-    def build(cls, docs: DataFrame, binary: bool = False) -> TrigramIndex:
+    def build(cls, docs: DataFrame, binary: bool = False, limits: bool = True) -> TrigramIndex:
         """Index ``docs(file_id, name, content)``; documents that break an admission rule are left out.
 
         Null contents are left out too; a null name counts as empty.  A text
-        under three bytes is a document without postings.
+        under three bytes is a document without postings.  ``limits=False``
+        admits every content that isn't null.
         """
-        name = F.coalesce("name", F.lit(""))
-        body = F.concat(name.cast("binary"), F.lit(b"\n"), F.col("content")) if binary else indexed_text(F.col("content"), name)
-        full = docs.select("file_id", name.alias("name"), "content", body.alias("__body")).withColumn("__tris", T.distinct_trigrams(F.col("__body")))
-        full = full.where(T.admitted(F.col("__body"), F.col("__tris"), binary))
-        return cls(full.select("file_id", "name", "content"), full.select(F.explode("__tris").alias("tri"), "file_id"))
+        full = docs.select("file_id", F.coalesce("name", F.lit("")).alias("name"), "content")
+        texts = ["name", "content"]
+        return cls(scan.admitted(full, texts, binary, limits), scan.exploded(full, texts, ["file_id"], binary, limits))
 
     def write(self, path: str) -> TrigramIndex:
-        """Persist as Parquet and return the stored index."""
+        """Persist as Parquet and return the stored index: postings sorted by trigram, documents by id."""
         spark = self.docs.sparkSession
         self.postings.repartitionByRange("tri", "file_id").sortWithinPartitions("tri", "file_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        store.write_json(spark, f"{path}/index.json", {"format": FORMAT})
+        write_docs(self.docs, f"{path}/docs")
+        store.write_json(spark, f"{path}/index.json", {"format": FORMAT, "files": spark.read.parquet(f"{path}/docs").count()})
         return self.open(spark, path)
 
     @classmethod
@@ -81,7 +84,7 @@ class TrigramIndex:
 
     @cached_property
     def file_count(self) -> int:
-        return self.docs.count()
+        return self.meta["files"] if "files" in self.meta else self.docs.count()
 
     @cached_property
     def trigram_count(self) -> int:
@@ -91,9 +94,15 @@ class TrigramIndex:
         """``tri, df``."""
         return self.postings.groupBy("tri").agg(F.count("*").alias("df"))
 
-    def lists(self) -> DataFrame:
-        """``tri, file_ids``: whole posting lists, for export."""
-        return self.postings.groupBy("tri").agg(F.sort_array(F.collect_list("file_id")).alias("file_ids"))
+    def lists(self, most: int = LIST_IDS) -> DataFrame:
+        """``tri, part, file_ids``: posting lists for export, a long one in parts of at most ``most`` ids, in order.
+
+        Parts are cut at multiples of a rank that range-sorted partitions count, so no task holds a whole hot list.
+        """
+        ranked = dense_ids(self.postings, "tri", "file_id", column="__rank")
+        first = ranked.groupBy("tri").agg(F.min("__rank").alias("__first"))
+        part = F.floor((F.col("__rank") - F.col("__first")) / most).alias("part")
+        return ranked.join(first, "tri").groupBy("tri", part).agg(F.sort_array(F.collect_list("file_id")).alias("file_ids"))
 
     def lookup(self, tri: str) -> DataFrame:
         """Ids of the documents with a trigram."""
@@ -104,6 +113,11 @@ class TrigramIndex:
         return ids.join(self.docs.select("file_id", "name"), "file_id", "left")
 
 
+def write_docs(docs: DataFrame, path: str) -> None:
+    """Documents sorted by id in small row groups, so that those of some ids are read without the others."""
+    docs.repartitionByRange("file_id").sortWithinPartitions("file_id").write.option("parquet.block.size", DOC_GROUP).mode("overwrite").parquet(path)
+
+
 def global_ids(segments: DataFrame) -> DataFrame:
     """``base`` of each row of ``segments(ord, num_docs)``: documents in the segments before it."""
     before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)  # a row a segment: a manifest's size

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions import trigrams as T
 from ..sources import store
 from .index import indexed_text
@@ -18,22 +16,6 @@ from .index import indexed_text
 FORMAT = "trigrove-positions-1"
 
 
-def _runes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Byte and character offsets of each trigram of each text, from one pass over its bytes."""
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for i, text in enumerate(texts):
-            raw = (text or "").encode()
-            n = len(raw) - 2
-            if n < 1:
-                continue
-            data = np.frombuffer(raw, np.uint8)
-            rune = np.cumsum((data & 0xC0) != 0x80)[:n] - 1
-            digits = raw.hex().upper()
-            tris = [digits[2 * k : 2 * k + 6] for k in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(tris), ids.take(pa.array([i] * n)), pa.array(np.arange(n, dtype=np.int32)), pa.array(rune.astype(np.int32))], ["tri", "file_id", "byte_offset", "rune_offset"])
-
-
 def positions(docs: DataFrame, compat: bool = False) -> DataFrame:
     """``tri, file_id, byte_offset, rune_offset`` of every trigram of ``docs(file_id, name, content)``.
 
@@ -44,7 +26,7 @@ def positions(docs: DataFrame, compat: bool = False) -> DataFrame:
     body = indexed_text(F.col("content"), F.coalesce("name", F.lit("")))
     whole = docs.where(F.col("content").isNotNull()).select("file_id", body.alias("body")).where(F.instr("body", "\0") == 0)
     if not compat:
-        return whole.mapInArrow(_runes, f"tri string, file_id {dict(docs.dtypes)['file_id']}, byte_offset int, rune_offset int")
+        return scan.every_position(whole, ["body"], "file_id")
     plain = F.regexp_extract("body", "^[\\x00-\\x7F]*", 0)
     seen = F.concat(F.hex(plain), F.substring(F.hex(F.substring(F.col("body"), F.char_length(plain) + 1, F.lit(1))), 1, 2))
     found = whole.select("file_id", F.posexplode(F.regexp_extract_all(seen, F.lit("(?=(.{6}))(?:..)"), 1)).alias("byte_offset", "tri"))

@@ -13,17 +13,20 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns
 from ..functions import trigrams as T
 from .index import TrigramIndex
 
-#: Trigrams up to which a lookup is an IN list that Parquet can filter by; longer queries join.
+#: Values up to which a lookup is a filter that Parquet prunes by; longer ones join.
 IN_LIST = 200
+#: Values of one IN list; Parquet takes longer ones for the range from their least to their greatest.
+IN_GROUP = 10
 SNIPPETS = "array<struct<line_number:int,byte_offset:long,line_content:string,matches:array<struct<start:int,end:int>>>>"
 
 
@@ -42,10 +45,28 @@ def idf(n: int, df: int) -> float:
     return math.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
+def any_of(column: str, values: list) -> Column:
+    """Whether a column has one of the values, as short IN lists that each prune row groups and pages."""
+    groups = [F.col(column).isin(values[i : i + IN_GROUP]) for i in range(0, len(values), IN_GROUP)]
+    return reduce(lambda a, b: a | b, groups) if groups else F.lit(False)
+
+
+def documents_of(candidates: DataFrame, docs: DataFrame, most: int | None) -> DataFrame:
+    """The candidates with their documents; of at most ``most`` (None: any number of) candidates.
+
+    A few candidates' ids go to the driver, so that only the row groups that hold them are read.
+    """
+    if most is None or most > IN_LIST:
+        return candidates.join(docs, "file_id")
+    rows = candidates.collect()
+    few = docs.sparkSession.createDataFrame(rows, candidates.schema)
+    return docs.where(any_of("file_id", sorted(r["file_id"] for r in rows))).join(F.broadcast(few), "file_id").select(*few.columns, *(c for c in docs.columns if c != "file_id"))
+
+
 def hits(postings: DataFrame, tris: list[str]) -> DataFrame:
     """The postings of some trigrams."""
     if len(tris) <= IN_LIST:
-        return postings.where(F.col("tri").isin(tris))
+        return postings.where(any_of("tri", sorted(tris)))
     wanted = postings.sparkSession.createDataFrame([(t,) for t in tris], "tri string")
     return postings.join(F.broadcast(wanted), "tri", "left_semi")  # at most MAX_TRIGRAMS rows
 
@@ -114,15 +135,38 @@ def literal_spans(data: bytes, query: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def regex_spans(text: str, pattern: str) -> list[tuple[int, int]]:
-    """Byte spans of the matches."""
-    out = []
-    byte = char = 0
-    for m in re.finditer(pattern, text):
-        byte += len(text[char : m.start()].encode())
-        char = m.start()
-        out.append((byte, byte + len(m[0].encode())))
-    return out
+#: Pairs of noncharacters that mark matches; the first pair that a text doesn't hold is used.
+MARKS = [("\ufdd0", "\ufdd1"), ("\ufdd2", "\ufdd3"), ("\ufdd4", "\ufdd5"), ("\ufdd6", "\ufdd7")]
+
+
+def marked(text: Column, pattern: str) -> Column:
+    """The text with a mark before and after each match, preceded by the two marks.
+
+    The JVM's engine finds the matches, as it does for the filter.  Null where a
+    text holds characters of all pairs.
+    """
+    cases = None
+    for a, b in MARKS:
+        free = (F.instr(text, a) == 0) & (F.instr(text, b) == 0)
+        made = F.concat(F.lit(a + b), F.regexp_replace(text, F.lit(pattern), F.lit(f"{a}$0{b}")))
+        cases = F.when(free, made) if cases is None else cases.when(free, made)
+    return cases
+
+
+def marked_spans(body: str) -> tuple[bytes, list[tuple[int, int]]]:
+    """The bytes of a marked text without its marks, and the byte spans of the matches."""
+    a, b, text = body[0], body[1], body[2:]
+    out: list[tuple[int, int]] = []
+    pieces: list[bytes] = []
+    at = 0
+    for part in text.split(a):
+        inside, _, after = part.partition(b) if pieces else ("", "", part)
+        raw = inside.encode()
+        if pieces:
+            out.append((at, at + len(raw)))
+        pieces += [raw, rest := after.encode()]
+        at += len(raw) + len(rest)
+    return b"".join(pieces), out
 
 
 def _name_snippet(name: bytes, query: bytes) -> list[dict]:
@@ -167,10 +211,12 @@ class Searcher:
     def candidates(self, tris: list[str], max_results: int | None, count: bool = False) -> DataFrame:
         """The candidates that get verified."""
         ranked = trigram_count_rank(self.index, tris) if count else self.ranked(tris)
+        most = self._most(max_results)
+        return ranked if most is None else best(ranked, most)
+
+    def _most(self, max_results: int | None) -> int | None:
         factor = self.options.candidate_factor
-        if max_results is None:
-            return ranked
-        return best(ranked, None if factor is None else factor * max_results)
+        return None if max_results is None or factor is None else factor * max_results
 
     def empty(self) -> DataFrame:
         id_type = dict(self.index.docs.dtypes)["file_id"]
@@ -182,7 +228,7 @@ class Searcher:
         if not tris or max_results is not None and max_results <= 0:
             return self.empty()
         o, raw = self.options, query.encode()
-        found = self.candidates(tris, max_results).join(self.index.docs, "file_id")
+        found = documents_of(self.candidates(tris, max_results), self.index.docs, self._most(max_results))
         needle = F.lit(query) if dict(self.index.docs.dtypes)["content"] == "string" else F.lit(raw)
         found = found.where(F.contains("name", F.lit(query)) | F.contains("content", needle))
 
@@ -197,7 +243,7 @@ class Searcher:
         return made if max_results is None else best(made, max_results)
 
     def search_regex(self, pattern: str, max_results: int | None = 100) -> DataFrame:
-        """Documents whose content matches ``pattern``; no row if the pattern isn't valid. ``max_results`` as in :meth:`search`."""
+        """Documents whose content matches ``pattern`` (of Java); no row if the pattern isn't valid. ``max_results`` as in :meth:`search`."""
         docs = self.index.docs
         if not valid_pattern(docs, pattern) or max_results is not None and max_results <= 0:
             return self.empty()
@@ -205,28 +251,34 @@ class Searcher:
         text = F.col("content").cast("string")
         o = self.options
         if tris:
-            found = self.candidates(tris, max_results, count=True).join(docs, "file_id").where(text.rlike(pattern))
+            found = documents_of(self.candidates(tris, max_results, count=True), docs, self._most(max_results)).where(text.rlike(pattern))
         else:
             found = docs.where(text.rlike(pattern))
             found = found if max_results is None else found.orderBy("file_id").limit(max_results)
             found = found.select("file_id", F.lit(0).cast("long").alias("matched"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank_key"), "name", "content")
+        found = found.withColumn("content", F.coalesce(marked(text, pattern), text))
 
         def make(name: str, content: object) -> list[dict] | None:
-            data = _bytes(content)
-            spans = regex_spans(data.decode("utf-8", "replace"), pattern)
-            return _lines_around(data, spans, o.context_lines, o.max_snippets_per_file) if data and spans else None
+            body = str(content or "")
+            if body[:2] in MARK_PAIRS:
+                data, spans = marked_spans(body)
+            else:  # a text with characters of all pairs of marks: its lines are shown, without places
+                data, spans = body.encode(), [(0, 0)]
+            return _lines_around(data, spans, o.context_lines, o.max_snippets_per_file) if spans else None
 
         made = _with_snippets(found, make)
         return made if max_results is None else best(made, max_results)
 
 
+MARK_PAIRS = {a + b for a, b in MARKS}
+
+
 def valid_pattern(docs: DataFrame, pattern: str) -> bool:
-    """Whether both engines that apply the pattern accept it."""
+    """Whether the JVM's regular expressions accept it."""
     from pyspark.errors import IllegalArgumentException
 
     try:
         docs.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-        re.compile(pattern)
-    except (IllegalArgumentException, re.error):
+    except IllegalArgumentException:
         return False
     return True

@@ -5,21 +5,21 @@ A document's id is ``doc_id``, its name ``source/doc_id``, its content ``text``.
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names, patterns
+from ..functions import codecs, names, patterns
 from ..functions import trigrams as T
 from ..operators import fields, positions, search
 from ..operators.index import TrigramIndex, global_ids, indexed_text
-from ..sources import files
-from ..sources.segments import SegmentReader, SegmentWriter
+from ..sources import files, store
+from ..sources.segments import SegmentReader, SegmentWriter, path_index
 from ..streaming import changes
 
-QUERY, RARE, PATTERN, BARE_PATTERN = "ation", "Apache License", "th[aeiou]+nd", "[0-9]{3,}"
+QUERY, RARE, PATTERN, BARE_PATTERN, GUIDED_PATTERN = "ation", "Apache License", "th[aeiou]+nd", "[0-9]{3,}", "tion[a-z]* the"
 FIELDS = {"url": 3.0, "html": 1.0}
 
 
@@ -37,12 +37,12 @@ def index(spark: SparkSession, sf_dir: str) -> TrigramIndex:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/{names.segment_id()}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="trigrove-")
+    return f"{store.shared_folder(spark)}/{names.segment_id()}"
+
+
+def stored(spark: SparkSession, sf_dir: str) -> TrigramIndex:
+    """The index of the documents, written and opened again."""
+    return index(spark, sf_dir).write(_folder(spark))
 
 
 def trigram_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +99,16 @@ def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_id", F.explode("snippets").alias("s")).select("file_id", "s.line_number", "s.byte_offset", "s.line_content", F.size("s.matches").alias("n_matches"))
 
 
+#: What the trigrams of :func:`regex_trigrams` must be, by hand.
+REGEX_TRIGRAMS = [
+    (p, t)
+    for p, tris in {"hello": "68656C 656C6C 6C6C6F", "hel.o": "68656C", "foo[0-9]+bar": "666F6F 626172", "abc(def|ghi)jkl": "616263 6A6B6C", "hello+world": "68656C 656C6C 6C6C6F 776F72 6F726C 726C64", "foo\\.bar": "666F6F 626172"}.items()
+    for t in tris.split()
+]
+
+
 def regex_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = ["hello", "hel.o", "foo[0-9]+bar", "abc(def|ghi)jkl", "hello+world", "foo\\.bar", "abc?", "abcd|wxyz"]
+    asked = ["hello", "hel.o", "foo[0-9]+bar", "abc(def|ghi)jkl", "hello+world", "foo\\.bar", "abc?", "abcd|wxyz", "(?i)hello", "[]abc]xyz", "\\x41bcd", "[a[bc]d]efg"]
     rows = [(p, t) for p in asked for t in patterns.required_trigrams(p)]
     return spark.createDataFrame(rows, "pattern string, tri string")
 
@@ -110,10 +118,60 @@ def search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.Searcher(index(spark, sf_dir), every).search_regex(PATTERN, None).select("file_id", "matched")
 
 
+def search_regex_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern with required trigrams, over a stored index: candidates come from the postings."""
+    every = search.SearchOptions(candidate_factor=None)
+    return search.Searcher(stored(spark, sf_dir), every).search_regex(GUIDED_PATTERN, None).select("file_id", "matched")
+
+
+def search_regex_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a match, and where it is."""
+    alone = search.SearchOptions(candidate_factor=None, context_lines=0, max_snippets_per_file=1 << 30)
+    found = search.Searcher(index(spark, sf_dir), alone).search_regex(GUIDED_PATTERN, None)
+    return found.select("file_id", F.explode("snippets").alias("s")).select("file_id", "s.line_number", "s.byte_offset", F.size("s.matches").alias("n_matches"), F.col("s.matches")[0]["start"].alias("start"))
+
+
 def regex_full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.Searcher(index(spark, sf_dir)).search_regex(BARE_PATTERN, 25).select("file_id")
 
 
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked, verified search over a stored index."""
+    found = search.Searcher(stored(spark, sf_dir)).search(QUERY, 10)
+    return found.select("file_id", "name", F.col("rank_key").cast("long").alias("rank_key"))
+
+
+def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A posting list of a stored index with its documents' names."""
+    ix = stored(spark, sf_dir)
+    return ix.names(ix.lookup(T.of_query(RARE)[0]))
+
+
+def stored_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ids each exported part of a posting list holds, and the first and last of them."""
+    lists = stored(spark, sf_dir).lists(100)
+    return lists.select("tri", "part", F.size("file_ids").alias("n_ids"), F.col("file_ids")[0].alias("first_id"), F.element_at("file_ids", -1).alias("last_id"))
+
+
+def index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without admission rules every document with a text is indexed."""
+    ix = TrigramIndex.build(documents(spark, sf_dir), limits=False)
+    return ix.postings.groupBy("file_id").agg(F.count("*").alias("n_trigrams"))
+
+
+def utf8_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of which every seventh byte was overwritten: is each pair of bytes possible in UTF-8?"""
+    damaged = F.unhex(F.regexp_replace(F.hex(F.col("content").cast("binary")), "(.{12})..", "$1FF"))
+    cut = F.when(F.col("file_id") % 3 == 0, damaged).otherwise(F.col("content").cast("binary"))
+    return documents(spark, sf_dir).where("content is not null").select("file_id", T.valid_pairs(cut).alias("valid"))
+
+
+def rune_to_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the middle character of each text starts."""
+    middle = F.floor(F.char_length("content") / 2).cast("int")
+    return documents(spark, sf_dir).where("content is not null").select("file_id", T.rune_to_byte(F.col("content"), middle).alias("byte_offset"))
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> fields.FieldSearcher:
     pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("page_id").cast("string").alias("name"), "url", "html")
     return fields.FieldSearcher(fields.FieldIndex.from_columns(pages, list(FIELDS)))
@@ -139,6 +197,32 @@ def field_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).index.lookup_all(b"htt".hex())
 
 
+def _stored_pages(spark: SparkSession, sf_dir: str) -> fields.FieldSearcher:
+    return fields.FieldSearcher(_pages(spark, sf_dir).index.write(_folder(spark)))
+
+
+def field_lookup_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_pages(spark, sf_dir).index.lookup(b"htt".hex(), "html")
+
+
+def field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a stored index with their names, and how many (trigram, field) pairs and documents it has."""
+    ix = _stored_pages(spark, sf_dir).index
+    rows = [(i, ix.field_name(i), ix.pair_count, ix.file_count) for i in range(len(ix.fields))]
+    return spark.createDataFrame(rows, "field_id int, field string, n_pairs long, n_files long")
+
+
+def field_search_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted search over a stored index, verified against the pages."""
+    found = _stored_pages(spark, sf_dir).search_with_fields("example.net", FIELDS, 20)
+    return found.select("file_id", F.round("score", 6).alias("score"))
+
+
+def stored_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and places of each trigram of a stored positional index."""
+    return positions.PositionalIndex.build(documents(spark, sf_dir)).write(_folder(spark)).counts()
+
+
 def positional_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.positions(documents(spark, sf_dir))
 
@@ -149,12 +233,6 @@ def proximity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proximity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = positions.positions(documents(spark, sf_dir), compat=True).where(F.col("tri").isin(b"src".hex().upper(), b"the".hex().upper()))
-    return positions.proximity_pairs(positions.positional_postings(found), b"src".hex(), b"the".hex(), 40)
-
-
-def proximity_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs over whole texts; the SQL of ``proximity_pairs`` stops at the first character beyond ASCII."""
     found = positions.positions(documents(spark, sf_dir)).where(F.col("tri").isin(b"ion".hex().upper(), b"wit".hex().upper()))
     return positions.proximity_pairs(positions.positional_postings(found), b"ion".hex(), b"wit".hex(), 20)
 
@@ -206,6 +284,49 @@ def segment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SegmentReader.open(spark, writer.path).segments().select(F.col("ord").cast("long").alias("ord"), "num_docs", "num_deleted_docs")
 
 
+def segment_merge_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a merge: each live document's text, and its place by the path index."""
+    writer = _segmented(spark, sf_dir, 3)
+    paths = _paths(spark, sf_dir)
+    writer.apply(paths.where("false").select("path", "content"), paths.where("file_id % 7 = 0").select("path"))
+    writer.merge([s["id"] for s in SegmentReader.open(spark, writer.path).meta["segments"][:2]])
+    reader = SegmentReader.open(spark, writer.path)
+    found = reader.docs().select("path", "global_id", F.md5("content").alias("digest"))
+    return found.join(path_index(reader).select("path", "segment_idx", "local_id"), "path")
+
+
+def segment_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of some global ids, deleted or not; null beyond the end."""
+    reader = SegmentReader.open(spark, _segmented(spark, sf_dir).path)
+    return spark.createDataFrame([(i, reader.name(i)) for i in (0, 1, 50, 1 << 40)], "global_id long, path string")
+
+
+def folder_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a file of a folder, scanned, indexed and marked."""
+    folder = _folder(spark)
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("k"), F.col("text").alias("value"))
+    items.repartition("k").write.partitionBy("k").text(f"{folder}/in")
+    tracker = files.FileTracker(spark, f"{folder}/state", [f"{folder}/in"])
+    built = tracker.rebuild(f"{folder}/index")
+    name = F.regexp_extract("name", "k=([0-9]+)/", 1).cast("long").alias("item_id")
+    pending = tracker.pending().count()
+    return built.docs.select(name, F.octet_length("content").cast("long").alias("n_bytes"), F.lit(pending).alias("n_pending"))
+
+
+def posting_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posting lists as gaps in variable-length bytes, and back."""
+    lists = index(spark, sf_dir).lists().where(F.size("file_ids") > 1).select("tri", "file_ids")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(1).to_pylist()
+            coded = [codecs.encode_postings(x) for x in ids]
+            same = [codecs.decode_postings(c) == x for c, x in zip(coded, ids)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in coded], pa.int64()), pa.array(same)], ["tri", "n_bytes", "same"])
+
+    return lists.mapInArrow(apply, "tri string, n_bytes long, same boolean")
+
+
 def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = _segmented(spark, sf_dir)
     paths = _paths(spark, sf_dir)
@@ -246,8 +367,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         trigram_extract, trigram_count, posting_build, posting_lookup, df_dictionary, admission_filter, search_trigram_count, search_bm25, search_verified, search_name_match, search_snippets,
-        regex_trigrams, search_regex, regex_full_scan, field_search_boost, field_search_single, field_search_all, field_lookup_all, positional_postings, proximity_search, proximity_pairs, proximity_pairs_whole, rune_sample,
-        segment_lookup, segment_delete, segment_upsert, segment_merge, segment_counts, change_detect, manager_sanitize, stream_ingest,
+        regex_trigrams, search_regex, search_regex_guided, search_regex_snippets, regex_full_scan, stored_search, stored_lookup, stored_lists, index_all, utf8_pairs, rune_to_byte, posting_codecs,
+        field_search_boost, field_search_single, field_search_all, field_lookup_all, field_lookup_single, field_counts, field_search_verified,
+        positional_postings, stored_positions, proximity_search, proximity_pairs, rune_sample,
+        segment_lookup, segment_delete, segment_upsert, segment_merge, segment_merge_docs, segment_names, segment_counts, change_detect, folder_rebuild, manager_sanitize, stream_ingest,
     )
 } | {"global_ids": global_id_bases}
 
@@ -303,7 +426,48 @@ def _field_sql(query: str, weight: str, which: str) -> str:
 _SEGMENTS = f"""{_DOCS}, a as (select *, file_id % 2 as seg from d where {_FIT}),
     n as (select *, row_number() over (partition by seg order by name) - 1 as local_id, count(*) over (partition by seg) as num_docs from a)"""
 
+def _values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in r)) for r in rows)
+
+
+_PROXIMITY = f"""{_DOCS}, q as (select * from ({_positions('body', 'd')}) where tri in ('696F6E', '776974')),
+    h as (select q.*, len(decode(encode(body)[1:byte_offset])) as rune from q join d using (file_id))"""
+_GUIDED = "', '".join(patterns.required_trigrams(GUIDED_PATTERN))
+_MERGED = f"""{_DOCS}, a as (select *, file_id % 3 as seg from d where {_FIT}),
+    m as (select name, content, file_id, 0 as segment_idx, row_number() over (order by name) - 1 as local_id, 0 as base from a where seg = 2
+          union all select name, content, file_id, 1, row_number() over (order by name) - 1, (select count(*) from a where seg = 2) from a where seg < 2 and file_id % 7 <> 0)"""
+
 ORACLES: dict[str, str] = {
+    "regex_trigrams": f"select * from (values {_values(REGEX_TRIGRAMS)}) as t(pattern, tri)",
+    "search_regex_guided": f"""with {_INDEX}, h as (select file_id, count(*) as matched from p where tri in ('{_GUIDED}') group by file_id)
+        select file_id, matched from h join a using (file_id) where regexp_matches(content, '{GUIDED_PATTERN}')""",
+    "search_regex_snippets": f"""with {_INDEX},
+        l0 as (select file_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as line_number from a where regexp_matches(content, '{GUIDED_PATTERN}')),
+        l as (select *, coalesce(sum(strlen(line) + 1) over (partition by file_id order by line_number rows between unbounded preceding and 1 preceding), 0) as byte_offset from l0)
+        select file_id, line_number::integer as line_number, byte_offset::bigint as byte_offset, len(regexp_extract_all(line, '{GUIDED_PATTERN}'))::integer as n_matches,
+               strlen(left(line, (instr(line, regexp_extract(line, '{GUIDED_PATTERN}')) - 1)::bigint))::integer as start from l where regexp_matches(line, '{GUIDED_PATTERN}')""",
+    "stored_search": f"""with {_BM25}, c as (select * from k order by rank_key desc, file_id limit 20)
+        select c.file_id, a.name, c.rank_key from c join a using (file_id) where contains(a.name, '{QUERY}') or contains(a.content, '{QUERY}') order by c.rank_key desc, c.file_id limit 10""",
+    "stored_lookup": f"with {_INDEX} select file_id, name from p join a using (file_id) where tri = '{T.of_query(RARE)[0]}'",
+    "stored_lists": f"""with {_INDEX}, r as (select tri, file_id, row_number() over (partition by tri order by file_id) - 1 as k from p)
+        select tri, (k // 100)::bigint as part, count(*)::integer as n_ids, min(file_id) as first_id, max(file_id) as last_id from r group by all""",
+    "index_all": f"with {_DOCS} select file_id, len(list_distinct({_tris('body')})) as n_trigrams from d where strlen(body) > 2",
+    "utf8_pairs": f"""with d as (select doc_id as file_id, hex(encode(text)) as h from documents where text is not null),
+        x as (select file_id, case when file_id % 3 = 0 then regexp_replace(h, '(.{{12}})..', '\\1FF', 'g') else h end as h from d)
+        select file_id, not regexp_matches(h, '^(?:..)+{T._BAD_PAIR}') as valid from x""",
+    "rune_to_byte": "select doc_id as file_id, strlen(left(text, (len(text) // 2)::bigint))::integer as byte_offset from documents where text is not null",
+    "posting_codecs": f"""with {_INDEX}, g as (select tri, file_id - lag(file_id, 1, -1) over (partition by tri order by file_id) as gap, count(*) over (partition by tri) as n from p)
+        select tri, 1 + sum(case when gap < 128 then 1 when gap < 16384 then 2 when gap < 2097152 then 3 else 4 end)::bigint as n_bytes, true as same from g where n > 1 group by tri""",
+    "field_lookup_single": f"with {_PAGES} select file_id from fp where tri = '{b'htt'.hex().upper()}' and field_id = 1",
+    "field_counts": f"""with {_PAGES}, n as (select count(*) as n_pairs, (select count(*) from pg) as n_files from (select distinct tri, field_id from fp))
+        select 0::integer as field_id, 'url' as field, n_pairs, n_files from n union all select 1, 'html', n_pairs, n_files from n""",
+    "field_search_verified": f"""with {_field_sql('example.net', 'case field_id when 0 then 3.0::double else 1.0::double end', '0, 1')}, c as (select * from r order by round(score, 9) desc, file_id limit 40)
+        select file_id, round(score, 6) as score from c join pg using (file_id) where contains(url || chr(10) || html, 'example.net') order by round(score, 9) desc, file_id limit 20""",
+    "stored_positions": f"with {_DOCS}, q as ({_positions('body', 'd')}) select tri, count(distinct file_id) as files, count(*) as positions from q group by tri",
+    "segment_merge_docs": f"select name as path, local_id + base as global_id, md5(content) as digest, segment_idx::integer as segment_idx, local_id from (with {_MERGED} select * from m where file_id % 7 <> 0)",
+    "segment_names": f"""with {_SEGMENTS}, g as (select name, local_id + case when seg = 1 then (select count(*) from a where seg = 0) else 0 end as global_id from n),
+        i as (select unnest([0::bigint, 1, 50, 1099511627776]) as global_id) select i.global_id, g.name as path from i left join g using (global_id)""",
+    "folder_rebuild": "select item_id, strlen(text) + 1 as n_bytes, 0::integer as n_pending from benchmark",
     "trigram_extract": f"with d as (select doc_id as file_id, unnest(list_distinct({_tris('text')})) as tri from documents) select file_id, tri, cast(('0x' || tri)::bigint as integer) as number from d",
     "trigram_count": f"with {_INDEX} select count(distinct tri) as n_trigrams, count(*) as n_postings, count(distinct file_id) as n_files from p",
     "posting_build": f"with {_INDEX} select tri, file_id from p",
@@ -341,11 +505,9 @@ ORACLES: dict[str, str] = {
                (case when strlen(d.body) = len(d.body) then q.byte_offset else c.i end)::integer as rune_offset
         from q join d using (file_id)
         left join (select file_id, i, unnest(range(b, (b + n)::bigint)) as byte_offset from (select *, (sum(n) over (partition by file_id order by i) - n)::bigint as b from ch)) c on c.file_id = q.file_id and c.byte_offset = q.byte_offset""",
-    "proximity_search": f"""with {_DOCS}, q as ({_positions('body', 'd')}), h as (select q.*, len(decode(encode(body)[1:byte_offset])) as rune from q join d using (file_id) where tri in ('696F6E', '776974'))
+    "proximity_search": f"""with {_PROXIMITY}
         select distinct x.file_id from h x join h y on x.file_id = y.file_id and x.tri = '696F6E' and y.tri = '776974' and abs(x.rune - y.rune) <= 20""",
-    "proximity_pairs": f"""with {_DOCS}, s as (select file_id, regexp_extract(body, '^[\\x00-\\x7F]*') as body from d), q as ({_positions('body', 's')})
-        select x.file_id, x.byte_offset::integer as rune_a, y.byte_offset::integer as rune_b from q x join q y on x.file_id = y.file_id and x.tri = '737263' and y.tri = '746865' and abs(x.byte_offset - y.byte_offset) <= 40""",
-    "proximity_pairs_whole": f"""with {_DOCS}, q as ({_positions('body', 'd')}), h as (select q.*, len(decode(encode(body)[1:byte_offset])) as rune from q join d using (file_id) where tri in ('696F6E', '776974'))
+    "proximity_pairs": f"""with {_PROXIMITY}
         select x.file_id, x.rune::integer as rune_a, y.rune::integer as rune_b from h x join h y on x.file_id = y.file_id and x.tri = '696F6E' and y.tri = '776974' and abs(x.rune - y.rune) <= 20""",
     "rune_sample": f"""with {_DOCS}, s as (select file_id, body, unnest(range(0, (len(body) - 1) // 100 + 1)) as k from d where len(body) > 0)
         select file_id, k::integer as k, strlen(left(body, 100 * k))::integer as byte_offset from s""",

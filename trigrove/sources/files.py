@@ -12,7 +12,6 @@ from ..operators.index import TrigramIndex, dense_ids
 from . import store
 from .segments import SegmentWriter
 
-MAX_REBUILD_BYTES = 10 << 20
 _STATE = "path string, mtime timestamp, size long"
 
 
@@ -28,13 +27,13 @@ def scan(spark: SparkSession, folders: list[str]) -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
-def contents(spark: SparkSession, folders: list[str], limit: int = MAX_REBUILD_BYTES) -> DataFrame:
-    """``path, content`` (binary) of the files of at most ``limit`` bytes."""
+def contents(spark: SparkSession, folders: list[str], limit: int | None = None) -> DataFrame:
+    """``path, content`` (binary) of the files; with ``limit`` only of those of at most so many bytes."""
     found = [f for f in folders if "://" in f or Path(f).is_dir()]
     if not found:
         return spark.createDataFrame([], "path string, content binary")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(found)
-    return files.where(F.col("length") <= limit).select("path", "content")
+    return (files if limit is None else files.where(F.col("length") <= limit)).select("path", "content")
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -48,11 +47,15 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 @dataclass
 class FileTracker:
-    """The last indexed state of some folders, kept in a folder of its own."""
+    """The last indexed state of some folders, kept in a folder of its own.
+
+    ``max_bytes`` leaves larger files out of what is indexed; by default none is.
+    """
 
     spark: SparkSession
     path: str
     folders: list[str] = field(default_factory=list)
+    max_bytes: int | None = None
 
     def add_directory(self, folder: str) -> None:
         if folder not in self.folders:
@@ -75,26 +78,34 @@ class FileTracker:
     def file_count(self) -> int:
         return self.state().count()
 
-    def mark_indexed(self) -> None:
-        """Make the present scan the state; deleted files leave it."""
-        version = self._version() + 1
-        scan(self.spark, self.folders).write.mode("overwrite").parquet(f"{self.path}/state-{version}")
-        store.write_json(self.spark, f"{self.path}/state.json", {"version": version})
+    def snapshot(self) -> DataFrame:
+        """The present scan, written as the next state; it becomes the state when it is marked."""
+        path = f"{self.path}/state-{self._version() + 1}"
+        scan(self.spark, self.folders).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(_STATE).parquet(path)
+
+    def mark_indexed(self, snapshot: DataFrame | None = None) -> None:
+        """Make a snapshot (a new one, if not given) the state; deleted files leave it.
+
+        What changed after the snapshot differs from the state, and so is pending.
+        """
+        if snapshot is None:
+            self.snapshot()
+        store.write_json(self.spark, f"{self.path}/state.json", {"version": self._version() + 1})
 
     def rebuild(self, target: str) -> TrigramIndex:
         """Index all present files anew, with ids in path order, and mark them."""
-        docs = dense_ids(contents(self.spark, self.folders), "path").select("file_id", F.col("path").alias("name"), "content")
+        seen = self.snapshot()
+        docs = dense_ids(contents(self.spark, self.folders, self.max_bytes), "path").select("file_id", F.col("path").alias("name"), "content")
         index = TrigramIndex.build(docs, binary=True).write(target)
-        self.mark_indexed()
+        self.mark_indexed(seen)
         return index
 
     def apply(self, writer: SegmentWriter) -> dict:
-        """Bring a segment index up to date with the folders, and mark them."""
-        changed = self.pending().select("path", "change_type").cache()
-        try:
-            fresh = contents(self.spark, self.folders).join(changed.where("change_type != 'deleted'"), "path", "left_semi")
-            meta = writer.apply(fresh.select("path", F.col("content").cast("string").alias("content")), changed.select("path"))
-        finally:
-            changed.unpersist()
-        self.mark_indexed()
+        """Bring a segment index up to date with a snapshot of the folders, and mark that."""
+        seen = self.snapshot()
+        changed = changes(self.state(), seen)
+        fresh = contents(self.spark, self.folders, self.max_bytes).join(changed.where("change_type != 'deleted'"), "path", "left_semi")
+        meta = writer.apply(fresh.select("path", F.col("content").cast("string").alias("content")), changed.select("path"))
+        self.mark_indexed(seen)
         return meta

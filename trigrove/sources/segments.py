@@ -12,9 +12,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import trigrams as T
+from ..functions import scan
 from ..functions.names import segment_id
-from ..operators.index import dense_ids, indexed_text
+from ..operators.index import DOC_GROUP, dense_ids
 from . import store
 
 FLUSH_THRESHOLD = 10_000
@@ -112,6 +112,7 @@ class SegmentWriter:
     spark: SparkSession
     path: str
     flush_threshold: int = FLUSH_THRESHOLD
+    limits: bool = True
     staged: dict[str, str | None] = field(default_factory=dict)
 
     def add_file(self, path: str, content: str) -> None:
@@ -140,18 +141,23 @@ class SegmentWriter:
         self.staged.clear()
         return meta
 
-    def apply(self, added: DataFrame, replaced: DataFrame | None = None) -> dict:
+    def apply(self, added: DataFrame, replaced: DataFrame | None = None, order: str | None = None) -> dict:
         """Commit a table ``added(path, content)`` as one segment, in path order, replacing documents of its paths.
 
         ``replaced(path)`` lists the paths whose old documents go; the added
-        ones, if not given.  Texts that break an admission rule aren't stored.
+        ones, if not given.  Of a path that is there more than once, the row
+        with the greatest value of the column ``order`` counts (ties: the
+        greatest content); without it the rows of a table have no order, and
+        the greatest content counts.  Texts that break an admission rule aren't
+        stored, unless ``limits`` is off.
         """
         meta = manifest(self.spark, self.path)
         gone = (added if replaced is None else replaced).select("path").distinct()
         reader = SegmentReader(self.spark, self.path, meta)
         old = reader.docs().join(gone, "path", "left_semi").select("segment_id", "local_id") if meta["segments"] else None
         segments = self._with_deletions(meta["segments"], old)
-        unique = added.groupBy("path").agg(F.max("content").alias("content"))
+        last = F.max("content") if order is None else F.max_by("content", F.struct(F.col(order), F.col("content")))
+        unique = added.groupBy("path").agg(last.alias("content"))
         made = self._segment(unique)
         if made:
             segments.append(made)
@@ -172,15 +178,16 @@ class SegmentWriter:
         return out
 
     def _segment(self, docs: DataFrame) -> dict | None:
-        body = indexed_text(F.col("content"), F.col("path"))
-        full = docs.withColumn("__tris", T.distinct_trigrams(body)).where(T.admitted(body, F.col("__tris")))
-        if full.isEmpty():
-            return None
         own = segment_id()
         target = f"{self.path}/segments/segment_id={own}"
+        full = scan.admitted(docs.select("path", "content"), ["path", "content"], limits=self.limits)
         numbered = dense_ids(full, "path", column="local_id").withColumn("segment_id", F.lit(own))
-        numbered.select("segment_id", "local_id", "path", "content").write.parquet(f"{target}/docs")
-        numbered.select(F.explode("__tris").alias("tri"), "segment_id", "local_id").repartitionByRange("tri").sortWithinPartitions("tri", "local_id").write.parquet(f"{target}/postings")
+        if numbered.isEmpty():
+            return None
+        numbered.select("segment_id", "local_id", "path", "content").write.option("parquet.block.size", DOC_GROUP).parquet(f"{target}/docs")
+        stored = self.spark.read.parquet(f"{target}/docs")
+        postings = scan.exploded(stored, ["path", "content"], ["segment_id", "local_id"], limits=False)
+        postings.repartitionByRange("tri", "local_id").sortWithinPartitions("tri", "local_id").write.parquet(f"{target}/postings")
         count = self.spark.read.parquet(f"{target}/docs").count()
         return {"id": own, "num_docs": count, "num_deleted_docs": 0, "has_deletions": False, "del_gen": 0}
 

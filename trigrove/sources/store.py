@@ -43,14 +43,18 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """The frame as a written table, so that ids made by it stay the same; in the session's checkpoint folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, a temporary one, for ``local`` masters only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="trigrove-")
-    path = f"{folder.rstrip('/')}/fixed-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """The frame as a written table, so that ids made by it stay the same; in the session's checkpoint folder."""
+    path = f"{shared_folder(df.sparkSession)}/fixed-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

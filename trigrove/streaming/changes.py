@@ -24,8 +24,9 @@ def watch(spark: SparkSession, folder: str, max_files: int = 10_000) -> DataFram
 
 
 def latest(batch: DataFrame) -> DataFrame:
-    """One row a path: the newest."""
-    return batch.groupBy("path").agg(F.max_by("content", "mtime").alias("content"))
+    """One row a path: the newest; of rows of one time a deletion, else the greatest content."""
+    newest = F.struct("mtime", F.col("content").isNull(), "content")
+    return batch.groupBy("path").agg(F.max_by("content", newest).alias("content"))
 
 
 def ingest(stream: DataFrame, writer: SegmentWriter, checkpoint: str, window: str | None = BATCH_WINDOW) -> StreamingQuery:
