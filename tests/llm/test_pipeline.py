@@ -3,12 +3,14 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tests.llm import edges
-from trigrove.llm import queries
+from tests.llm import edges, test_linededup, test_minhash, test_quality
+from trigrove.llm import _text as X
+from trigrove.llm import quality, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -52,3 +54,50 @@ def test_import_without_the_subpackage(tmp_path):
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, check=True)
     names, sql = json.loads(said.stdout)
     assert "search_bm25" in names and not any(n.startswith("op") or n == "pipeline" for n in names) and set(sql) <= set(names)
+
+
+def test_stages_match_brute_force(spark):
+    """Each stage's rows, from plain Python over the whole small table."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    whole = {r["doc_id"]: r["text"] for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    model = quality.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+
+    def trusted(text):
+        part = next(iter(X.texts(pa.array([text]))))
+        bucket = quality.features(X.words(part))[0]
+        return sum(model.ratio[b] for b in bucket) / max(1, len(bucket)) >= model.threshold
+
+    texts = {i: t for i, t in whole.items() if not test_quality.brute(t)["base_failed"] and trusted(t)}
+    docs = corpus_pipeline.written(stages["quality rules"](spark, docs, DATA), "test")
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == texts
+    texts = {i: t for i, t in texts.items() if any(c.isalpha() for c in t)}
+    docs = corpus_pipeline.written(stages["language id"](spark, docs, DATA), "test")
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == texts
+    cut = test_linededup.brute(sorted(texts.items()), 10)
+    texts = {i: t for i, (t, n, gone) in cut.items() if not gone or gone < n}
+    docs = corpus_pipeline.written(stages["line dedup"](spark, docs, DATA), "test")
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == texts
+    component, _ = test_minhash.brute([(i, t) for i, t in texts.items()] + [(i, whole[i]) for i in texts])
+    texts = {i: t for i, t in texts.items() if component[i] == i}
+    docs = corpus_pipeline.written(stages["near dedup"](spark, docs, DATA), "test")
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == texts
+    packed = corpus_pipeline.written(stages["packing"](spark, docs, DATA), "test").collect()
+    sizes = {}
+    for r in packed:
+        sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["length"]
+        assert r["offset"] + r["length"] <= 1024
+    assert set(sizes) == set(texts) and all(sizes[r["doc_id"]] == r["doc_tokens"] for r in packed)
+
+
+def test_clashing_columns_pass_through(spark, tmp_path):
+    """Columns with the names that operators give their own results keep their values."""
+    names = ["kept", "llr", "lang_pred", "score", "bits", "n_lines", "n_removed", "component_id", "n_words"]
+    text = " ".join(f"word{i % 97} and{i}" for i in range(120))
+    docs = spark.createDataFrame([(i, f"{text} tail{i * 7}" * (i + 1), "en", "s", 1, *[f"own{i}"] * len(names)) for i in range(3)], f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'{n} string' for n in names)}")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.count() > 0 and docs.columns[5:] == names, name
+        assert all(r[n] == f"own{r['doc_id']}" for r in docs.collect() for n in names), name
