@@ -31,11 +31,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """``df`` written as a shared Parquet table and read back: its lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,7 +36,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = written(media.media_column(_read(spark, sf_dir, "documents"), keep=["doc_id"]), "media-files")
+    files = written(media.media_column(_read(spark, sf_dir, "documents"), keep=["doc_id"]), "media-files", compression="zstd")
     return media.digests(files, keep=["doc_id", "n_bytes"])
 
 
