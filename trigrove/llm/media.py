@@ -6,7 +6,9 @@ blocks beyond it are zero.  Reading accumulates the scans, so the payload and
 the image come from the stored file alone.
 
 Edge cases: a null or empty text is a payload of 64 zero bytes.  Equal texts
-give equal files and equal features.  A payload may have up to
+give equal files and equal features; an empty table gives an empty result.  Of
+the columns that are carried, those that bear the name of a result column are
+replaced by it.  A payload may have up to
 ``4095**2 * 6`` blocks (6 GB), more than a Spark value holds.
 """
 

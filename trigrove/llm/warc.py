@@ -106,7 +106,7 @@ class _Window:
     """A file read forwards in blocks."""
 
     def __init__(self, source: BinaryIO, at: int):
-        self.source, self.at, self.held = source, at, b""  # at: file position of held[0]
+        self.source, self.at, self.held = source, at, bytearray()  # at: file position of held[0]; grows in place
         source.seek(at)
 
     def more(self) -> bool:
@@ -123,7 +123,7 @@ def _inflated(window: _Window) -> bytes | None:
     inflate = zlib.decompressobj(31)
     out: list[bytes] = []
     used = 0
-    feed = window.held
+    feed = bytes(window.held)
     checked = False
     while True:
         try:
@@ -144,7 +144,7 @@ def _inflated(window: _Window) -> bytes | None:
         before = len(window.held)
         if not window.more():
             return None
-        feed = window.held[before:]
+        feed = bytes(window.held[before:])
 
 
 def _parsed(body: bytes) -> dict[str, object]:
