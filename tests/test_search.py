@@ -294,7 +294,7 @@ def test_no_regex_loses_a_row(spark):
     assert hit["n11"] == [(4, 9), (0, 5)] and hit["n14"] == [(3, 8)] and hit["n7"] == [(0, 5), (5, 10)]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_regexes_lose_no_row(spark, seed):
     import random
 
@@ -303,7 +303,7 @@ def test_random_regexes_lose_no_row(spark, seed):
     ix = index(spark, {f"n{i}": t for i, t in enumerate(texts)})
     s = Searcher(ix, SearchOptions(candidate_factor=None))
     pieces = ["abc", "bca", "a", "b?", "c*", "(?i)", "(ab|c)", "[]a]", "[^b]", "[a[b]]", "\\x61", "|", "{2}", "+", ".", "\\Q", "\\E", "\\]", "x1", "(?:a)"]
-    for _ in range(12):
+    for _ in range(10):
         p = "".join(r.choices(pieces, k=r.randint(1, 5)))
         try:
             want = sorted(x["name"] for x in ix.docs.where(F.col("content").rlike(p)).collect())
