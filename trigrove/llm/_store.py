@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
-
-    Where the setting is absent (tests, a notebook) a temporary folder of this
-    machine is set, which only a ``local`` master may use.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if kept.isDefined():
-        return kept.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="trigrove-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+from ..sources.store import shared_folder
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
