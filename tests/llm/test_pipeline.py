@@ -78,7 +78,8 @@ def test_stages_match_brute_force(spark):
     texts = {i: t for i, (t, n, gone) in cut.items() if not gone or gone < n}
     docs = corpus_pipeline.written(stages["line dedup"](spark, docs, DATA), "test")
     assert {r["doc_id"]: r["text"] for r in docs.collect()} == texts
-    component, _ = test_minhash.brute([(i, t) for i, t in texts.items()] + [(i, whole[i]) for i in texts])
+    size = lambda t: len(t.encode())
+    component, _ = test_minhash.brute([(i, whole[i] if size(t) < 0.85 * size(whole[i]) else t) for i, t in texts.items()])
     texts = {i: t for i, t in texts.items() if component[i] == i}
     docs = corpus_pipeline.written(stages["near dedup"](spark, docs, DATA), "test")
     assert {r["doc_id"]: r["text"] for r in docs.collect()} == texts
