@@ -14,10 +14,10 @@ than 256 of them.
 Texts are parsed whole.  Blocks of :data:`BLOCK` symbols step through the
 automata at once in numpy, each as if a phrase began with it; then the phrase
 that comes in from the block before is carried on until it ends where one of
-the block's own phrases ends, from where on both parses are the same.  A block
-that this never happens in hands its new state to the next one, until nothing
-changes.  So one very long text is no slower than many short ones, and its
-phrases are those of a parse from end to end.
+the block's own phrases ends, from where on both parses are the same.  From a block
+that this never happens in the parse goes on symbol by symbol.  So one very long
+text is hardly slower than many short ones, and its phrases are those of a parse
+from end to end.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0.
 Rows without a language, and held-out rows, teach nothing.  Without training
@@ -204,7 +204,7 @@ def phrases(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray
         count[:, :k] += miss
         ends[:, begin[:k] + t] = miss
         state[:, :k] = np.where(miss, model.restart[:, s], to)
-    found, alone = count.copy(), state.copy()
+    found = count.copy()
     lang, block = np.divmod(np.flatnonzero(np.repeat((order > 0)[None], langs, 0)), len(owner))
     before = np.zeros(len(owner), np.int64)
     before[place[1:]] = place[:-1]
@@ -212,40 +212,70 @@ def phrases(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray
     after[before[order > 0]] = np.flatnonzero(order > 0)
     follows = np.zeros(len(owner), bool)
     follows[before[order > 0]] = True
-    entered = state[lang, before[block]]
-    while len(lang):
-        own, mine, theirs = entered, np.zeros(len(lang), np.int32), np.zeros(len(lang), np.int32)
-        l, b = lang, block
-        late: list[tuple[np.ndarray, ...]] = []
-        for t in range(BLOCK):
-            over = size[b] <= t
-            if over.any():
-                late.append((l[over], b[over], own[over], mine[over]))
-                l, b, own, mine, theirs = l[~over], b[~over], own[~over], mine[~over], theirs[~over]
-            if not len(l):
-                break
-            at = begin[b] + t
-            s = coded[at].astype(np.int64)
-            to = steps[own * width + s]
-            miss = to == 0
-            theirs = theirs + ends[l, at]
-            mine = mine + miss
-            met = miss & (ends[l, at] | (t == 0))
-            if met.any():
-                late.append((l[met], b[met], alone[l[met], b[met]], mine[met] + count[l[met], b[met]] - theirs[met]))
-            go = ~met
-            l, b, own, mine, theirs, s = l[go], b[go], np.where(miss, model.restart[l, s], to)[go], mine[go], theirs[go], s[go]
-        else:
-            late.append((l, b, own, mine))
-        # where a block ends in another state than before, the next one is entered anew
-        l, b, own, mine = (np.concatenate(x) for x in zip(*late)) if late else (np.zeros(0, np.int64),) * 4
-        found[l, b] = mine
-        go = follows[b] & (own != state[l, b])
-        state[l[go], b[go]] = own[go]
-        lang, block, entered = l[go], after[b[go]], own[go]
+    own, mine, theirs = state[lang, before[block]], np.zeros(len(lang), np.int32), np.zeros(len(lang), np.int32)
+    late: list[tuple[np.ndarray, ...]] = []  # blocks whose parse never met the one that came in
+    l, b = lang, block
+    for t in range(BLOCK):
+        over = size[b] <= t
+        if over.any():
+            late.append((l[over], b[over], own[over], mine[over]))
+            l, b, own, mine, theirs = l[~over], b[~over], own[~over], mine[~over], theirs[~over]
+        if not len(l):
+            break
+        at = begin[b] + t
+        s = coded[at].astype(np.int64)
+        to = steps[own * width + s]
+        miss = to == 0
+        theirs = theirs + ends[l, at]
+        mine = mine + miss
+        met = miss & (ends[l, at] | (t == 0))
+        found[l[met], b[met]] = mine[met] + count[l[met], b[met]] - theirs[met]
+        go = ~met
+        l, b, own, mine, theirs = l[go], b[go], np.where(miss, model.restart[l, s], to)[go], mine[go], theirs[go]
+    late.append((l, b, own, mine))
+    l, b, own, mine = (np.concatenate(x) for x in zip(*late))
+    _carry_on(model, coded, begin, size, ends, count, state, found, np.where(follows, after, -1), owner, order, l, b, own, mine)
     return np.stack([np.bincount(owner, weights=found[i], minlength=rows) for i in range(langs)], 1) + (sizes > 0)[:, None]
 
 
+def _carry_on(model: Model, coded: np.ndarray, begin: np.ndarray, size: np.ndarray, ends: np.ndarray, count: np.ndarray, alone: np.ndarray, found: np.ndarray, after: np.ndarray, owner: np.ndarray, order: np.ndarray, lang: np.ndarray, block: np.ndarray, own: np.ndarray, mine: np.ndarray) -> None:
+    """Symbol by symbol from the blocks that were left in another state, to where the parse meets a block's own.
+
+    Few blocks need it: those of texts that repeat themselves in step with nothing the automaton knows.
+    """
+    table, width = memoryview(model.steps), model.width
+    last = (-1, -1, -1)
+    for k in np.lexsort((order[block], owner[block], lang)).tolist():
+        l, b = int(lang[k]), int(block[k])
+        text = (l, int(owner[b]))
+        if text == last[:2] and order[b] <= last[2]:
+            continue  # the parse of an earlier block went on through this one
+        found[l, b] = mine[k]
+        state, restart = int(own[k]), model.restart[l].tolist()
+        if state == alone[l, b]:
+            continue
+        while after[b] >= 0:
+            b = int(after[b])
+            part = slice(int(begin[b]), int(begin[b] + size[b]))
+            misses = theirs = 0
+            met = False
+            for t, (s, end) in enumerate(zip(coded[part].tolist(), ends[l, part].tolist())):
+                to = table[state * width + s]
+                theirs += end
+                if to:
+                    state = to
+                    continue
+                misses += 1
+                if end or not t:
+                    met = True
+                    break
+                state = restart[s]
+            found[l, b] = misses + count[l, b] - theirs if met else misses
+            if met or state == alone[l, b]:
+                break
+        last = (*text, int(order[b]))
+
+
 def predict(model: Model, part: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the language (-1: unknown), score and bits a symbol of each row."""
     letters_, bounds, known = symbols_of(part.data, part.offsets)
