@@ -328,7 +328,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
         m = shared.value
         labels = np.array([*m.names, UNKNOWN], object)
         for batch in batches:
-            got = [predict(m, part) for part in X.texts(batch.column(at), max(X.CHUNK_BYTES, 32 * X.CHUNK_BYTES // max(4, len(m.names))))]
+            got = [predict(m, part) for part in X.texts(batch.column(at), max(X.CHUNK_BYTES // 2, 8 * X.CHUNK_BYTES // max(4, len(m.names))))]
             if got:
                 pred, score, bits = (np.concatenate(x) for x in zip(*got))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(safe)], pa.array(labels[pred], pa.string()), pa.array(score), pa.array(bits)], [*safe, *names])
