@@ -83,3 +83,33 @@ def test_labelled_documents_are_told_apart(spark):
     got = Q.quality_rules(docs, Q.fit(docs, labels), keep=["doc_id"]).join(labels, "doc_id").where("not base_failed")
     rates = {r["quality"]: r["k"] for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
     assert rates[1] > 0.99 and rates[0] < 0.1
+
+
+def test_every_labelled_row_counts(spark):
+    """More trusted rows and more labelled rows of a class than fit any fixed sample."""
+    words = "concat_ws(' ', transform(sequence(0, 54), j -> concat(if(id % 6 = 0 and j % 3 = 0, 'x', 'w'), pmod(xxhash64(id, j), 3000))))"
+    docs = spark.range(25_000).selectExpr("id as doc_id", f"{words} as text")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 6 = 0, 0, 1) as quality")
+    model = Q.fit(docs, labels)
+    kept = docs.orderBy("doc_id").toPandas()
+    good = (kept.doc_id % 6 != 0).to_numpy()
+    assert good.sum() > 20_000 and (~good).sum() > 4_000
+    parts = [(p, X.words(p)) for p in X.texts(pa.array(kept.text, pa.string()))]
+    corpus, trusted = np.zeros(Q.BUCKETS), np.zeros(Q.BUCKETS)
+    for p, w in parts:
+        bucket, row = Q.features(w)
+        corpus += np.bincount(bucket, minlength=Q.BUCKETS)
+        trusted += np.bincount(bucket[good[p.first + row]], minlength=Q.BUCKETS)
+    prior = (corpus + 1) / (corpus.sum() + Q.BUCKETS)
+    assert np.allclose(model.ratio, np.log((trusted + Q.BUCKETS * prior) / (trusted.sum() + Q.BUCKETS) / prior), atol=1e-9)
+    score = np.concatenate([Q.scores(w, len(p.offsets) - 1, model.ratio) for p, w in parts])
+    ok = ~np.concatenate([Q.statistics(p, w)["base_failed"] for p, w in parts])
+    assert model.threshold == Q.fit_threshold(score[ok & good], score[ok & ~good])
+
+
+def test_threshold_of_a_table(spark):
+    rng = np.random.default_rng(5)
+    for good, bad in (([], [1.0]), ([1.0, 2.0], [-1.0, 1.5]), ([1.0], []), ([0.0, 0.0], [-0.0, -3.0]), (rng.normal(size=1500).round(2), rng.normal(-2, 1, 300)), (-rng.random(1200), -rng.random(90))):
+        good, bad = np.array(good, float), np.array(bad, float)
+        rows = [(q, int(o)) for q, s in ((1, good), (0, bad)) for o in Q._ordered((s + 0.0).view(np.int64))]
+        assert Q.threshold_of(spark.createDataFrame(rows, "q int, o long")) == Q.fit_threshold(good, bad)

@@ -1,12 +1,12 @@
 """Quality rules: base statistics of a text, and a log-likelihood ratio of hashed n-grams.
 
 Two multinomials over hashed word unigrams and bigrams are estimated: one from
-every row of the corpus, one from a bounded sample of trusted rows.  A
-document's score is the mean, over its n-grams, of ``log p_trusted - log
-p_corpus``; the length normalisation makes one threshold fit all lengths.  The
-threshold is a number that the caller fixes or that :func:`fit_threshold`
-derives from bounded labelled samples, so each document's verdict is a function
-of its own text and of the two tables alone.
+every row of the corpus, one from every trusted row.  A document's score is the
+mean, over its n-grams, of ``log p_trusted - log p_corpus``; the length
+normalisation makes one threshold fit all lengths.  The threshold is a number
+that the caller fixes or that :func:`fit` derives from the scores of all
+labelled rows, so each document's verdict is a function of its own text and of
+the two tables alone.
 
 Edge cases: a null or empty text has no words, all statistics 0 and fails the
 base rules.  A text without an n-gram scores 0.  Without trusted rows the ratio
@@ -26,14 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._store import written
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
-#: Trusted rows that the target multinomial learns from, at most.
-TRUSTED_ROWS = 20_000
-#: Labelled rows of each class that the threshold is fitted on, at most.
-THRESHOLD_ROWS = 4_000
-#: Share of the trusted sample that the threshold may reject, at most.
+#: Share of the trusted rows that the threshold may reject, at most.
 LOSS = 0.002
 MIN_WORDS = 50
 
@@ -123,14 +120,13 @@ def scores(w: X.Words, n: int, ratio: np.ndarray) -> np.ndarray:
     return np.bincount(row, weights=ratio[bucket], minlength=n)[:n] / np.maximum(total, 1)
 
 
-def count_buckets(docs: DataFrame, trusted: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``bucket, n_corpus, n_trusted`` over every row; ``trusted`` holds sorted keys of the sample."""
+def count_buckets(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``bucket, n_corpus, n_trusted`` over every row; ``trusted`` holds distinct keys in a column ``k``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            keys = batch.column(0)
-            known = np.isin(keys.fill_null(-1).to_numpy(zero_copy_only=False), trusted) & keys.is_valid().to_numpy(zero_copy_only=False)
+            known = batch.column(0).to_numpy(zero_copy_only=False)
             for part in X.texts(batch.column(1)):
                 bucket, row = features(X.words(part))
                 corpus += np.bincount(bucket, minlength=BUCKETS)
@@ -139,20 +135,15 @@ def count_buckets(docs: DataFrame, trusted: np.ndarray, text: str = "text", key:
         at = np.flatnonzero(corpus)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(corpus[at]), pa.array(target[at])], ["bucket", "n_corpus", "n_trusted"])
 
-    parts = docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(count, "bucket int, n_corpus long, n_trusted long")
+    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    # the keys grow with the corpus: one plan for all sizes, which shuffles the texts once and broadcasts nothing
+    known = trusted.select("k", F.lit(True).alias("known")).hint("merge")
+    marked = texts.join(known, "k", "left").select(F.col("known").isNotNull(), "t")
+    parts = marked.mapInArrow(count, "bucket int, n_corpus long, n_trusted long")
     return parts.groupBy("bucket").agg(F.sum("n_corpus").alias("n_corpus"), F.sum("n_trusted").alias("n_trusted"))
 
 
-def _sample(labels: DataFrame, quality: int, rows: int, key: str) -> np.ndarray:
-    """Keys of labelled rows, at most ``rows``, the same ones whatever the partitioning."""
-    found = labels.where((F.col("quality") == quality) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k")).distinct()
-    # the smallest hashes win; a bound that twice as many keys pass keeps what the tasks send proportional to the sample
-    bound = min((1 << 63) - 1, ((2 * rows + 100) << 64) // max(1, found.count()) - (1 << 63))
-    near = found.where(F.xxhash64("k") <= F.lit(bound))
-    return np.array(sorted(r[0] for r in near.orderBy(F.xxhash64("k"), "k").limit(rows).collect()), np.int64)
-
-
-def fit_ratio(docs: DataFrame, trusted: np.ndarray, text: str = "text", key: str = "doc_id") -> np.ndarray:
+def fit_ratio(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
     """The bucket table: at most ``BUCKETS`` rows reach the driver."""
     table = count_buckets(docs, trusted, text, key).toPandas()
     corpus, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -164,31 +155,60 @@ def fit_ratio(docs: DataFrame, trusted: np.ndarray, text: str = "text", key: str
     return np.log((target + BUCKETS * prior) / (target.sum() + BUCKETS)) - np.log(prior)
 
 
+def _between(low: float, below: float | None) -> float:
+    return float(np.nextafter(low, -np.inf)) if below is None else float((low + below) / 2)
+
+
 def fit_threshold(good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> float:
-    """The score under which a text is rejected.
+    """The score under which a text is rejected, from scores in memory.
 
-    Half way between the score that at most ``loss`` of the good sample is
+    Half way between the score that at most ``loss`` of the good ones are
     below and the nearest bad score beneath it, so that texts like the good ones
-    stay clear of it; minus infinity without a good sample.
+    stay clear of it; minus infinity without a good one.
     """
     if not len(good):
         return float("-inf")
     low = np.sort(good)[int(loss * len(good))]
-    below = np.sort(bad[bad < low])
-    return float((low + below[-1]) / 2) if len(below) else float(np.nextafter(low, -np.inf))
+    below = bad[bad < low]
+    return _between(low, below.max() if len(below) else None)
+
+
+def _ordered(number: np.ndarray) -> np.ndarray:
+    """Longs in the order of the doubles whose bits they are, or those bits again."""
+    return np.where(number < 0, number ^ np.int64((1 << 63) - 1), number)
+
+
+def _score(ordered: int) -> float:
+    return float(_ordered(np.array([ordered], np.int64)).view(np.float64)[0])
+
+
+def _nth(values: DataFrame, n: int) -> int:
+    """The value of column ``o`` that ``n`` others come before: 16 bits a round, of which at most 65,536 counts reach the driver."""
+    for shift in (48, 32, 16, 0):
+        digit = F.shiftright("o", shift)
+        for found, count in sorted(tuple(r) for r in values.groupBy(digit).count().collect()):
+            if n < count:
+                break
+            n -= count
+        values = values.where(digit == found)
+    return found
+
+
+def threshold_of(scored: DataFrame, loss: float = LOSS) -> float:
+    """:func:`fit_threshold` of a table of any size: ``q`` is 1 for good rows and 0 for bad ones, ``o`` the ordered score."""
+    good = scored.where("q = 1")
+    n = good.count()
+    if not n:
+        return float("-inf")
+    low = _nth(good, int(loss * n))
+    below = scored.where((F.col("q") == 0) & (F.col("o") < low)).agg(F.max("o")).first()[0]
+    return _between(_score(low), None if below is None else _score(below))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
-    """The ratio over all ``docs``, and a threshold from bounded samples of ``labels(key, quality)``."""
-    trusted = _sample(labels, 1, TRUSTED_ROWS, key)
-    ratio = fit_ratio(docs, trusted, text, key)
-    chosen = {q: _sample(labels, q, THRESHOLD_ROWS, key) for q in (0, 1)}
-    spark = docs.sparkSession
-    rows = [(int(k), q) for q, keys in chosen.items() for k in keys]
-    if not rows:
-        return Model(ratio, float("-inf"))
-    picked = F.broadcast(spark.createDataFrame(rows, "k long, q int"))  # at most 2 * THRESHOLD_ROWS rows
-    sample = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(picked, "k").select("q", "t")
+    """The ratio over all ``docs``, and a threshold from all rows of ``labels(key, quality)``."""
+    known = labels.where(F.col(key).isNotNull() & F.col("quality").isin(0, 1)).select(F.col(key).cast("long").alias("k"), F.col("quality").cast("int").alias("q")).distinct()
+    ratio = fit_ratio(docs, known.where("q = 1").select("k"), text, key)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,10 +218,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 w = X.words(part)
                 out.append(scores(w, len(part.offsets) - 1, ratio))
                 long.append(~statistics(part, w)["base_failed"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out)), pa.array(np.concatenate(long))], ["q", "s", "ok"])
+            ordered = _ordered((np.concatenate(out) + 0.0).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ordered), pa.array(np.concatenate(long))], ["k", "o", "ok"])
 
-    found = sample.mapInArrow(score, "q int, s double, ok boolean").where("ok").toPandas()
-    return Model(ratio, fit_threshold(found.s[found.q == 1].to_numpy(), found.s[found.q == 0].to_numpy()))
+    # every text is scored where it lies, so that only keys and scores meet the labels
+    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null")
+    scored = texts.mapInArrow(score, "k long, o long, ok boolean").where("ok").join(known, "k").select("q", "o")
+    return Model(ratio, threshold_of(written(scored, "quality-scores")))
 
 
 def quality_rules(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
