@@ -9,13 +9,16 @@ Edge cases: a null or empty text fails the quality rules, so the later stages
 don't see it in the pipeline; given one, they reject it (language ID) or keep it
 (line dedup, near-dedup; packing makes it one closing id).  Rows without an id
 are kept by all stages that don't reject their text.  Repeated rows: line dedup
-cuts rows of one id and text alike, near-dedup keeps or drops all rows of an id.
+cuts rows of one id and text alike, near-dedup keeps or drops all rows of an id
+and compares rows of one id that had different texts only as they are.
 Of documents that tie, the smallest id stays.  An empty table gives an empty
 table of the same columns.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ from trigrove.llm.queries import tokenizer_path
 from trigrove.plans.session import ship
 
 
-#: Share of a text that line dedup may cut before near-dedup compares the uncut text.
+#: Share of a text that line dedup may cut before near-dedup compares the uncut text too.
 LOST = 0.15
 
 
@@ -64,26 +67,57 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _restored(cut, docs, n)
 
 
+def _uncut(own: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, form`` of the documents that lost much, ``form`` being an id that no document has, and ``form, text`` as they were.
+
+    Rows of ``whole`` count only where all of one id have one text: of several it
+    can't be told which ones the stages before this one have rejected.
+    """
+    hashed = F.xxhash64("text")
+    before = whole.groupBy("key").agg(F.max(F.octet_length("text")).alias("before"), (F.min(hashed) == F.max(hashed)).alias("one")).where("one")
+    shorter = own.select("key", F.octet_length("text").alias("now")).join(before, "key").where(F.col("now") < F.col("before") * F.lit(1 - LOST))
+    lost = written(shorter.select("key").distinct(), "pipeline-lost")
+    for salt in count():
+        named = lost.select("key", F.xxhash64("key", F.lit(salt)).alias("form"))
+        used = own.select("key").distinct().union(named.select("form"))
+        if used.groupBy("key").count().where("count > 1").isEmpty():
+            # only the texts of documents that lost much are fetched, once
+            return named, written(whole.join(named, "key").select("form", "text"), "pipeline-uncut")
+    raise AssertionError
+
+
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays.
 
-    A document that lost more than a share of :data:`LOST` of its text to line
-    dedup is compared as it was: a near copy that lost the lines it shares with
-    its original is still found.  All others are compared as they are.
+    All documents are compared as they are.  Those that lost more than a share
+    of :data:`LOST` of their text to line dedup are first compared as they were:
+    a near copy that lost the lines it shares with its original is still found.
+    Of the documents that this leaves, the smallest id of each group of what the
+    texts are now stays, so no two near duplicates remain.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), "text")
     path = f"{sf_dir}/documents.parquet"
     if exists(spark, path):
         whole = spark.read.parquet(path).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), "text")
-        before = whole.groupBy("key").agg(F.max(F.octet_length("text")).alias("before"))
-        shorter = own.select("key", F.octet_length("text").alias("now")).join(before, "key").where(F.col("now") < F.col("before") * F.lit(1 - LOST))
-        cut = shorter.select("key").distinct()
-        # only the texts of documents that lost much are fetched, once
-        own = own.join(cut, "key", "left_anti").union(written(whole.join(cut, "key", "left_semi"), "pipeline-uncut"))
-    gone = minhash.near_duplicates(own, key="key").where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+        named, uncut = _uncut(own, whole)
+        found = minhash.near_duplicates(own.union(uncut), key="key").select(F.col("doc_id").alias("form"), F.col("component_id").alias("c"))
+        found = found.join(named.withColumnRenamed("key", "was"), "form", "left").select(F.coalesce("was", "form").alias("key"), F.col("was").isNotNull().alias("uncut"), "c")
+        found = written(found.join(named.select("key", F.lit(True).alias("lost")), "key", "left"), "pipeline-groups")
+        first = found.where("uncut or lost is null")
+        gone = _later(first)
+        left = found.where("not uncut").join(gone, F.col("key") == F.col("__gone"), "left_anti")
+        gone = gone.union(_later(left)).distinct()
+    else:
+        gone = minhash.near_duplicates(own, key="key").where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 
+def _later(found: DataFrame) -> DataFrame:
+    """Ids in groups ``c`` that have a smaller id."""
+    least = found.groupBy("c").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("c", "least")
+    return written(found.join(least, "c").where("key > least").select(F.col("key").alias("__gone")).distinct(), "pipeline-gone")
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents, with their sequences and offsets."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))

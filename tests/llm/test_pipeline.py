@@ -102,3 +102,35 @@ def test_clashing_columns_pass_through(spark, tmp_path):
         docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), "test")
         assert docs.count() > 0 and docs.columns[5:] == names, name
         assert all(r[n] == f"own{r['doc_id']}" for r in docs.collect() for n in names), name
+
+
+def _words(name, n):
+    return [" ".join(f"{name}{i}x{j}" for j in range(12)) for i in range(n)]
+
+
+def test_near_dedup_follows_line_dedup(spark, tmp_path):
+    """What line dedup leaves of two texts is compared, and what it rejected doesn't come back."""
+    stages = dict(corpus_pipeline.STAGES)
+    one, two, other = _words("one", 12), _words("two", 12), _words("other", 6)
+    rest = _words("rest", 8)
+    near = [f"{line} more{i}" for i, line in enumerate(rest)]
+    rows = [(1, one), (2, two), (3, one + rest), (4, two + near), (5, one), (5, other)]
+    docs = spark.createDataFrame([(i, "\n".join(lines)) for i, lines in rows], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    cut = corpus_pipeline.written(stages["line dedup"](spark, docs, str(tmp_path)), "test")
+    assert {r["doc_id"]: r["text"].split("\n") for r in cut.collect()} == {1: one, 2: two, 3: rest, 4: near, 5: other}
+    left = stages["near dedup"](spark, cut, str(tmp_path))
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 3, 5]
+
+
+def test_near_dedup_keeps_one_of_what_is_left(spark, tmp_path):
+    """A document that goes as a near copy of its original takes no other one along."""
+    one, two, rest = _words("one", 40), _words("two", 12), _words("rest", 8)
+    near = [f"{line} more{i}" for i, line in enumerate(rest)]
+    rows = [(1, one), (2, two), (3, one + rest), (4, two + near)]
+    docs = spark.createDataFrame([(i, "\n".join(lines)) for i, lines in rows], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    cut = corpus_pipeline.written(stages["line dedup"](spark, docs, str(tmp_path)), "test")
+    left = stages["near dedup"](spark, cut, str(tmp_path))
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 4]
