@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigrove.llm import langid, linededup, minhash, packing, quality
-from trigrove.llm._store import exists, written
+from trigrove.llm._store import drop, exists, sieved, written
 from trigrove.llm.queries import tokenizer_path
 from trigrove.plans.session import ship
 
@@ -82,7 +82,7 @@ def _uncut(own: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
         used = own.select("key").distinct().union(named.select("form"))
         if used.groupBy("key").count().where("count > 1").isEmpty():
             # only the texts of documents that lost much are fetched, once
-            return named, written(whole.join(named, "key").select("form", "text"), "pipeline-uncut")
+            return named, written(sieved(whole, F.col("key"), lost).join(named, "key").select("form", "text"), "pipeline-uncut")
     raise AssertionError
 
 
@@ -103,6 +103,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         found = minhash.near_duplicates(own.union(uncut), key="key").select(F.col("doc_id").alias("form"), F.col("component_id").alias("c"))
         found = found.join(named.withColumnRenamed("key", "was"), "form", "left").select(F.coalesce("was", "form").alias("key"), F.col("was").isNotNull().alias("uncut"), "c")
         found = written(found.join(named.select("key", F.lit(True).alias("lost")), "key", "left"), "pipeline-groups")
+        drop(uncut)
         first = found.where("uncut or lost is null")
         gone = _later(first)
         left = found.where("not uncut").join(gone, F.col("key") == F.col("__gone"), "left_anti")

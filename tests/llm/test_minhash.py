@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import edges
+from trigrove.llm import _store
 from trigrove.llm import _text as X
 from trigrove.llm import minhash as M
 from trigrove.llm.components import connected_components
@@ -147,3 +149,33 @@ def test_prefix_filter_misses_no_link(spark, monkeypatch, dealt):
     got = {(x["a"], x["b"]) for x in M._across(spark.createDataFrame(sets, "node long, c long, shingles array<long>")).collect()}
     want = {(a, b) for a, _, x in sets for b, _, y in sets if a < b and 100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y))}
     assert want <= got
+
+
+def test_tables_go_when_nothing_reads_them_any_more(spark, tmp_path, monkeypatch):
+    """Signatures, sets and candidates don't stay on the disk beside the result, nor do shuffle files."""
+    monkeypatch.setattr(_store, "shared_folder", lambda session: f"file://{tmp_path}")
+    base = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(base[: 40 - i % 7] + [f"x{i % 5}"] * (i % 3))) for i in range(60)], "doc_id long, text string")
+    found = M.near_duplicates(docs)
+    assert {p.name.rpartition("-")[0] for p in tmp_path.iterdir()} <= {"minhash-rows", "minhash-links", "cc"}
+    got = {(r["doc_id"], r["component_id"]) for r in found.collect()}
+    assert got == set(brute([(r["doc_id"], r["text"]) for r in docs.collect()])[0].items())
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = files.getAllFiles().size()
+    _store.written(docs.repartition(3, "doc_id"), "test")
+    for _ in range(50):  # they are removed beside the run
+        if files.getAllFiles().size() <= before:
+            break
+        time.sleep(0.1)
+    assert files.getAllFiles().size() <= before
+
+
+def test_sieve_loses_no_key(spark):
+    keys = spark.range(0, 30_000, 7).select(F.col("id").alias("k"))
+    rows = spark.range(-30_000, 60_000).select("id", F.lit("x").alias("text")).union(spark.createDataFrame([(None, "x")], "id long, text string"))
+    left = _store.sieved(rows, F.col("id"), keys)
+    assert left.columns == rows.columns
+    got = [r["id"] for r in left.select("id").collect()]
+    wanted = {r["k"] for r in keys.collect()}
+    assert len(got) == len(set(got)) and wanted <= set(got) and len(got) < len(wanted) + 0.15 * 90_000
+    assert _store.sieved(rows, F.col("id"), keys.limit(0)).isEmpty()

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import written
+from ._store import drop, sieved, written
 from .components import connected_components
 
 BANDS, ROWS = 48, 5
@@ -209,7 +209,7 @@ def _prefixes(sets: DataFrame, counters: np.ndarray) -> DataFrame:
 
 def _across(sets: DataFrame) -> DataFrame:
     """``a, b``: pairs of ``sets(node, c, shingles)`` with different ``c`` that may be similar enough; none that is, is missing."""
-    found = written(_prefixes(sets, _counters(sets)), "minhash-prefixes")
+    prefixes = found = written(_prefixes(sets, _counters(sets)), "minhash-prefixes")
     shared = found.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo != hi")
     # a pair's sizes differ by a third at most, so the smaller set looks in its own step of sizes and in the next one;
     # a token that many sets hold is dealt to several tasks, each of which sees all its smaller sets
@@ -223,7 +223,9 @@ def _across(sets: DataFrame) -> DataFrame:
     smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
     same = (F.col("a.token") == F.col("b.token")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.deal") == F.col("b.deal"))
     pairs = a.join(b, same & smaller & (F.col("a.c") != F.col("b.c")) & allowed)
-    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    pairs = written(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "minhash-pairs")
+    drop(prefixes)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -233,31 +235,41 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     used, not all near duplicates of the row; ``kept`` marks the smallest id of each group.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    rows = written(source.mapInArrow(_describe, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "minhash-rows")
-    valid = rows.where("n_shingles > 0 and doc_id is not null")
+    described = written(source.mapInArrow(_describe, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "minhash-bands")
+    rows = written(described.drop("bands"), "minhash-rows")
     # rows with equal words become one node, named by their smallest id; partial aggregation absorbs groups of copies
-    nodes = written(valid.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("s")).select("k1", "k2", "n_shingles", F.col("s.doc_id").alias("node"), F.col("s.bands").alias("bands")), "minhash-nodes")
-    band = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
+    same = ["k1", "k2", "n_shingles"]
+    nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("node"))
+    banded = described.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "bands")).alias("s"))
+    band = banded.select(F.col("s.doc_id").alias("node"), F.explode("s.bands").alias("key")).repartition("key")  # once for both sides of the join
     shared = band.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last")
     member = written(band.join(shared.select("key", "hub"), "key"), "minhash-members")
+    drop(described)
     # first each node against the hub with which it shares most buckets
     first = member.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
     first = first.groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("s")).select(F.col("node").alias("a"), (-F.col("s.h")).alias("b"))
-    wanted = member.select("node").distinct()
-    sets = written(source.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(_sets, "node long, shingles array<long>").groupBy("node").agg(F.min("shingles").alias("shingles")), "minhash-sets")
+    first = written(first, "minhash-first")
+    wanted = written(member.select("node").distinct(), "minhash-wanted")
+    fetched = sieved(source, F.col("doc_id"), wanted).join(wanted.withColumnRenamed("node", "doc_id"), "doc_id")
+    sets = written(fetched.mapInArrow(_sets, "node long, shingles array<long>").groupBy("node").agg(F.min("shingles").alias("shingles")), "minhash-sets")
     links = written(_verified(first, sets), "minhash-links")
     groups = connected_components(links)
     # then the nodes of the buckets that are still in several components
     placed = written(member.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "minhash-placed")
+    drop(member)
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    split = placed.join(mixed, "key").select("node", "c").distinct()
-    across = _across(written(sets.join(split, "node"), "minhash-split"))
-    across = across.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(_verified(across, sets), "minhash-links")
+    split = written(sets.join(placed.join(mixed, "key").select("node", "c").distinct(), "node"), "minhash-split")
+    for old in (sets, placed, wanted):
+        drop(old)
+    across = _across(split)
+    found = across.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = written(_verified(found, split), "minhash-links")
+    for old in (split, across, first):
+        drop(old)
     used = links.union(more)
     groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     counts = used.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_spanning_links"))
-    classes = nodes.select("k1", "k2", "n_shingles", "node").join(groups, "node", "left").join(counts, "node", "left")
-    classes = classes.select("k1", "k2", "n_shingles", F.coalesce("component", "node").alias("c"), F.coalesce("n_spanning_links", F.lit(0)).alias("n_spanning_links"))
-    out = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"], "left")
+    classes = nodes.join(groups, "node", "left").join(counts, "node", "left")
+    classes = classes.select(*same, F.coalesce("component", "node").alias("c"), F.coalesce("n_spanning_links", F.lit(0)).alias("n_spanning_links"))
+    out = rows.join(classes, same, "left")
     return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("c")), F.col("doc_id")).alias("component_id"), F.coalesce("n_spanning_links", F.lit(0)).alias("n_spanning_links")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
