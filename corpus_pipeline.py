@@ -17,6 +17,8 @@ table of the same columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,10 @@ from trigrove.llm.queries import tokenizer_path
 from trigrove.plans.session import ship
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Rows of an Arrow batch, at most: an executor holds several copies of a batch of texts for each task.
+BATCH_ROWS = 1000
 #: Share of a text that line dedup may cut before near-dedup compares the uncut text too.
 LOST = 0.15
 
@@ -124,12 +130,25 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
+def _small_batches(stage: Stage) -> Stage:
+    """The stage with batches of at most :data:`BATCH_ROWS` rows; the setting stays, since its result is computed later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        now = int(spark.conf.get(name))
+        spark.conf.set(name, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality rules", quality_stage),
-    ("language id", language_stage),
-    ("line dedup", line_stage),
-    ("near dedup", near_dup_stage),
-    ("packing", packing_stage),
+    ("quality rules", _small_batches(quality_stage)),
+    ("language id", _small_batches(language_stage)),
+    ("line dedup", _small_batches(line_stage)),
+    ("near dedup", _small_batches(near_dup_stage)),
+    ("packing", _small_batches(packing_stage)),
 ]
 
 #: The verdicts of the n-gram ratio and of the language model can't be said in SQL.

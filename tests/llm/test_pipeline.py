@@ -134,3 +134,24 @@ def test_near_dedup_keeps_one_of_what_is_left(spark, tmp_path):
     cut = corpus_pipeline.written(stages["line dedup"](spark, docs, str(tmp_path)), "test")
     left = stages["near dedup"](spark, cut, str(tmp_path))
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 4]
+
+
+def test_stages_take_small_batches(spark):
+    """Also what a stage returns and what is computed later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    try:
+        spark.conf.set(name, "10000")
+        docs = spark.createDataFrame([], "doc_id long, text string")
+        for _, stage in corpus_pipeline.STAGES[3:]:
+            spark.conf.set(name, "10000")
+            stage(spark, docs, "/nowhere")
+            found = [r["n"] for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").collect()]
+            assert sum(found) == 5000 and max(found) <= 1000
+    finally:
+        spark.conf.set(name, before)

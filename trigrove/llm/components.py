@@ -34,8 +34,15 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    waiting: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:  # the forest so far has fewer edges than nodes, so memory follows the nodes of a partition
-        a, b = forest(np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()]))
+        waiting.append(batch)
+        size += batch.num_rows
+        if size > max(1 << 16, len(a)):  # however small the batches, all the work stays in proportion to the edges
+            a, b = forest(*(np.concatenate([x, *(w.column(i).to_numpy() for w in waiting)]) for i, x in enumerate((a, b))))
+            waiting, size = [], 0
+    a, b = forest(*(np.concatenate([x, *(w.column(i).to_numpy() for w in waiting)]) for i, x in enumerate((a, b))))
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
