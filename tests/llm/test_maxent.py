@@ -159,3 +159,18 @@ def test_words_of_like_neighbourhoods_stand_together():
     order = M.word_order(near, np.full(400, 10))
     assert (np.diff(side[order]) != 0).sum() == 1
     assert M.word_order(np.zeros((0, M.MARKERS), np.float32), np.zeros(0, np.int64)).size == 0
+
+
+def test_words_are_looked_up_as_by_search():
+    """The index of the top words finds what a binary search finds, also with crowded first bits and at both ends."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 1000, 4096):
+        crowded = rng.integers(0, 1 << 20, n // 2, dtype=np.uint64)
+        top = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2), crowded, np.array([0, (1 << 64) - 1], np.uint64)]))
+        rank = rng.permutation(len(top)) - 5
+        m = M.Model(top, np.ones(len(top), np.int64), rank, 0, 0, np.ones(1), np.zeros(0), None, None, M.starts_of(top))
+        key = np.concatenate([top, top + np.uint64(1), rng.integers(0, 1 << 63, 500, dtype=np.uint64)])
+        at = np.minimum(np.searchsorted(top, key), len(top) - 1)
+        at = np.where(top[at] == key, at, -1)
+        got = m.ids(key)
+        assert (got[0] == at).all() and (got[1] == np.where(at >= 0, rank[at], -1)).all()

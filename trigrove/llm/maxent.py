@@ -191,6 +191,18 @@ def tree(mass: np.ndarray) -> Tree:
     return Tree(nodes, np.stack(child), (nodes >= 0).sum(0).astype(np.uint8), np.stack(bias).astype(np.float32))
 
 
+def starts_of(top: np.ndarray) -> np.ndarray:
+    """An index of sorted hashes by their first bits, two to four slots for each: a look-up needs no binary search."""
+    bits = max(1, (2 * len(top)).bit_length())
+    slot = (top >> np.uint64(64 - bits)).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=1 << bits))]).astype(np.int32)
+
+
+def _first_bits(starts: np.ndarray) -> np.uint64:
+    """How far a hash is shifted for its slot."""
+    return np.uint64(64 - (len(starts) - 1).bit_length() + 1)
+
+
 class Model(NamedTuple):
     top: np.ndarray  # sorted hashes of the most frequent words
     top_n: np.ndarray
@@ -201,6 +213,7 @@ class Model(NamedTuple):
     leaf: np.ndarray  # of each vocabulary word, by rank; the forms' leaves follow
     tree: Tree
     rows: np.ndarray  # feature rows x children
+    starts: np.ndarray  # of each value of a hash's first bits: the place of the first top word with it (starts_of)
 
     @property
     def others(self) -> int:
@@ -217,8 +230,17 @@ class Model(NamedTuple):
         if not len(self.top):
             none = np.full(len(key), -1)
             return none, none
-        at = np.minimum(np.searchsorted(self.top, key), len(self.top) - 1)
-        at = np.where(self.top[at] == key, at, -1)
+        slot = (key >> _first_bits(self.starts)).astype(np.int64)
+        place, end = self.starts[slot].astype(np.int64), self.starts[slot + 1]
+        at = np.full(len(key), -1)
+        left = np.flatnonzero(place < end)
+        while len(left):  # half of the slots or more are empty, so few tokens need a second look
+            p = place[left]
+            hit = self.top[p] == key[left]
+            at[left[hit]] = p[hit]
+            left = left[~hit]
+            place[left] += 1
+            left = left[place[left] < end[left]]
         return at, np.where(at >= 0, self.rank[at], -1)
 
 
@@ -251,7 +273,7 @@ def unigram_model(counts: DataFrame) -> Model:
         other[f] += t + v
     np.subtract.at(other, form[:vocab], n[:vocab] + 1)
     order = np.argsort(key)
-    return Model(key[order], n[order], rank[order], total, distinct, other, np.arange(vocab), tree(np.append(n[:vocab], other)), np.zeros((rows, BRANCH), np.float32))
+    return Model(key[order], n[order], rank[order], total, distinct, other, np.arange(vocab), tree(np.append(n[:vocab], other)), np.zeros((rows, BRANCH), np.float32), starts_of(key[order]))
 
 
 def _last(marked: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -293,8 +315,7 @@ def neighbourhoods(docs: DataFrame, m: Model, text: str = "text") -> np.ndarray:
                 _, rank = shared.value.ids(key)
                 last = _last((rank >= 0) & (rank < MARKERS), bounds)
                 known = (last >= 0) & (rank >= 0)
-                cell, n = np.unique(rank[known] * MARKERS + rank[last[known]], return_counts=True)
-                held[cell] += n.astype(np.int32)
+                np.add.at(held, rank[known] * MARKERS + rank[last[known]], np.int32(1))
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at].astype(np.int64))], ["cell", "n"])
 
