@@ -1,9 +1,11 @@
-"""Variable-length integers, posting lists and deletion bitmaps as bytes (driver side; tables use Parquet's own encodings)."""
+"""Variable-length integers, posting lists and deletion bitmaps as bytes, one at a time or in numpy passes (stored tables use Parquet's own encodings)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+
 
 def varint(number: int) -> bytes:
     """Little-endian groups of seven bits; all but the last have the top bit set."""
@@ -50,6 +52,34 @@ def decode_postings(data: bytes) -> list[int]:
         out.append(last)
 
 
+def varints(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of many numbers (not negative), one after the other, and how many bytes each takes."""
+    left = numbers.astype(np.uint64)
+    sizes = np.ones(len(left), np.int64)
+    k = 7
+    while len(left) and k < 64 and (more := left >> np.uint64(k) > 0).any():
+        sizes += more
+        k += 7
+    at = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        own = sizes > k
+        out[at[own] + k] = (left[own] >> np.uint64(7 * k) & np.uint64(0x7F)).astype(np.uint8) | ((sizes[own] > k + 1).astype(np.uint8) << 7)
+    return out, sizes
+
+
+def read_varints(data: np.ndarray) -> np.ndarray:
+    """The numbers whose bytes follow each other."""
+    ends = np.flatnonzero(data < 0x80)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    sizes = ends - starts + 1
+    out = (data[starts] & 0x7F).astype(np.uint64)
+    for k in range(1, int(sizes.max(initial=0))):
+        own = sizes > k
+        out[own] |= (data[starts[own] + k] & 0x7F).astype(np.uint64) << np.uint64(7 * k)
+    return out.astype(np.int64)
+
+
 class Bitmap:
     """Which documents of a segment are deleted; ids beyond the segment count as deleted."""
 

@@ -13,23 +13,30 @@ from ..functions import trigrams as T
 from ..sources import store
 from .index import indexed_text
 
-FORMAT = "trigrove-positions-1"
+#: Format 2 has bytes' places and drifts instead of pairs of positions.
+FORMATS = ("trigrove-positions-1", "trigrove-positions-2")
 
 
-def positions(docs: DataFrame, compat: bool = False) -> DataFrame:
-    """``tri, file_id, byte_offset, rune_offset`` of every trigram of ``docs(file_id, name, content)``.
+def _bodies(docs: DataFrame) -> DataFrame:
+    """``file_id, body`` of the documents that have positions."""
+    body = indexed_text(F.col("content"), F.coalesce("name", F.lit("")))
+    return docs.where(F.col("content").isNotNull()).select("file_id", body.alias("body")).where(F.instr("body", "\0") == 0)
+
+
+def positions(docs: DataFrame, compat: bool = False, tris: list[str] | None = None) -> DataFrame:
+    """``tri, file_id, byte_offset, rune_offset`` of every trigram (with ``tris`` every one of those) of ``docs(file_id, name, content)``.
 
     The offsets count from the start of name, line feed, content.  With
     ``compat`` a text ends after its first character beyond ASCII, of which
     only the first byte is seen; there byte and character offsets agree.
     """
-    body = indexed_text(F.col("content"), F.coalesce("name", F.lit("")))
-    whole = docs.where(F.col("content").isNotNull()).select("file_id", body.alias("body")).where(F.instr("body", "\0") == 0)
+    whole = _bodies(docs)
     if not compat:
-        return scan.every_position(whole, ["body"], "file_id")
+        return scan.every_position(whole, ["body"], "file_id", tris)
     plain = F.regexp_extract("body", "^[\\x00-\\x7F]*", 0)
     seen = F.concat(F.hex(plain), F.substring(F.hex(F.substring(F.col("body"), F.char_length(plain) + 1, F.lit(1))), 1, 2))
     found = whole.select("file_id", F.posexplode(F.regexp_extract_all(seen, F.lit("(?=(.{6}))(?:..)"), 1)).alias("byte_offset", "tri"))
+    found = found if tris is None else found.where(F.col("tri").isin(tris))
     return found.select("tri", "file_id", "byte_offset", F.col("byte_offset").alias("rune_offset"))
 
 
@@ -86,31 +93,48 @@ def rune_to_byte_offset(data: bytes, rune: int) -> int:
 
 @dataclass
 class PositionalIndex:
-    """``docs(file_id, name)``, ``postings(tri, file_id, positions)`` and ``maps(file_id, samples)``."""
+    """``docs(file_id, name)``, ``postings(tri, file_id, positions)`` and ``maps(file_id, samples)``.
+
+    ``bodies(file_id, body)`` are the texts of an index that isn't stored,
+    ``table`` the stored postings, both where ids are whole numbers.
+    """
 
     docs: DataFrame
     postings: DataFrame
     maps: DataFrame
+    bodies: DataFrame | None = None
+    table: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, compat: bool = False) -> PositionalIndex:
         """Index ``docs(file_id, name, content)``; every document keeps its name, whether or not it has postings."""
-        return cls(docs.select("file_id", "name"), positional_postings(positions(docs, compat)), rune_maps(docs))
+        listed = not compat and scan.integral(docs, "file_id")
+        return cls(docs.select("file_id", "name"), positional_postings(positions(docs, compat)), rune_maps(docs), _bodies(docs) if listed else None)
 
     def write(self, path: str) -> PositionalIndex:
         spark = self.docs.sparkSession
-        self.postings.repartitionByRange("tri", "file_id").sortWithinPartitions("tri", "file_id").write.mode("overwrite").parquet(f"{path}/postings")
+        if self.bodies is not None:
+            # shuffled as lists, which become rows as they are written: a position takes about two bytes
+            lists = scan.placed(self.bodies, ["body"], "file_id").repartitionByRange("tri", "block").sortWithinPartitions("tri", "block")
+            rows = scan.places(lists, "file_id").withColumn("file_id", F.col("file_id").cast(dict(self.bodies.dtypes)["file_id"]))
+            rows.write.mode("overwrite").parquet(f"{path}/postings", compression="zstd")
+        else:
+            self.postings.repartitionByRange("tri", "file_id").sortWithinPartitions("tri", "file_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.maps.write.mode("overwrite").parquet(f"{path}/maps")
-        store.write_json(spark, f"{path}/positions.json", {"format": FORMAT})
+        store.write_json(spark, f"{path}/positions.json", {"format": FORMATS[self.bodies is not None]})
         return self.open(spark, path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> PositionalIndex:
         meta = store.read_json(spark, f"{path}/positions.json")
-        if meta is None or meta.get("format") != FORMAT:
-            raise ValueError(f"no positional index of format {FORMAT} at {path}")
-        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("docs", "postings", "maps")))
+        if meta is None or meta.get("format") not in FORMATS:
+            raise ValueError(f"no positional index of format {' or '.join(FORMATS)} at {path}")
+        docs, postings, maps = (spark.read.parquet(f"{path}/{part}") for part in ("docs", "postings", "maps"))
+        if meta["format"] == FORMATS[0]:
+            return cls(docs, postings, maps)
+        pairs = F.transform("places", lambda at, i: F.struct(at.alias("byte_offset"), (at - F.coalesce(F.get("drifts", i), F.lit(0))).alias("rune_offset")))
+        return cls(docs, postings.select("tri", "file_id", pairs.alias("positions")), maps, table=postings)
 
     @cached_property
     def file_count(self) -> int:
@@ -126,7 +150,8 @@ class PositionalIndex:
 
     def counts(self) -> DataFrame:
         """``tri, files, positions``: how many documents and places each trigram has."""
-        return self.postings.groupBy("tri").agg(F.count("*").alias("files"), F.sum(F.size("positions")).alias("positions"))
+        rows, held = (self.postings, "positions") if self.table is None else (self.table, "places")
+        return rows.groupBy("tri").agg(F.count("*").alias("files"), F.sum(F.size(held)).alias("positions"))
 
     def names(self, ids: DataFrame) -> DataFrame:
         return ids.join(self.docs, "file_id", "left")
