@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scan
 from ..functions.names import segment_id
-from ..operators.index import DOC_GROUP, dense_ids
+from ..operators.index import DOC_GROUP, Texts, dense_ids, write_postings
 from . import store
 
 FLUSH_THRESHOLD = 10_000
@@ -186,8 +186,7 @@ class SegmentWriter:
             return None
         numbered.select("segment_id", "local_id", "path", "content").write.option("parquet.block.size", DOC_GROUP).parquet(f"{target}/docs")
         stored = self.spark.read.parquet(f"{target}/docs")
-        postings = scan.exploded(stored, ["path", "content"], ["segment_id", "local_id"], limits=False)
-        postings.repartitionByRange("tri", "local_id").sortWithinPartitions("tri", "local_id").write.parquet(f"{target}/postings")
+        write_postings(Texts(stored, ["path", "content"], "local_id", limits=False), f"{target}/postings", segment_id=own)
         count = self.spark.read.parquet(f"{target}/docs").count()
         return {"id": own, "num_docs": count, "num_deleted_docs": 0, "has_deletions": False, "del_gen": 0}
 
