@@ -527,8 +527,8 @@ def fit(docs: DataFrame, counts: DataFrame, text: str = "text") -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``n_tokens, n_known, train_tokens, base_score, score`` of every row, with the columns ``keep``."""
+def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep: list[str] | None = None, unigrams_only: bool = False) -> DataFrame:
+    """``n_tokens, n_known, train_tokens, base_score, score`` of every row, with the columns ``keep``; with ``unigrams_only`` all but ``score``, for which the model needn't be trained."""
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     carried = [c for c in (docs.columns if keep is None else keep) if c not in names]
     types = dict(docs.dtypes)
@@ -548,8 +548,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
                 row = np.repeat(np.arange(n), np.diff(bounds))
                 at, rank = m.ids(key)
                 share = np.where(at >= 0, np.log10(m.top_n[at] + 1.0), 0.0) if len(m.top) else np.zeros(len(key))
-                lm = log_probabilities(m, history(key, rank, bounds, m.others), m.leaves(rank, form)) / np.log(10)
-                lm += np.where(rank < 0, share - other_low[form], 0.0)
+                if unigrams_only:
+                    lm = np.zeros(len(key))
+                else:
+                    lm = log_probabilities(m, history(key, rank, bounds, m.others), m.leaves(rank, form)) / np.log(10)
+                    lm += np.where(rank < 0, share - other_low[form], 0.0)
                 tail = np.flatnonzero(at < 0)
                 order = np.lexsort((key[tail], row[tail]))
                 k, r = key[tail][order], row[tail][order]
@@ -585,14 +588,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
         (F.col("__known") + F.coalesce("u", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("__base") + add).alias("base_score"),
-        (F.col("__score") + add).alias("score"),
+        *([] if unigrams_only else [(F.col("__score") + add).alias("score")]),
     )
 
 
-def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Count, train and score: ``key, held_out`` and the scores of every row."""
+def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", unigrams_only: bool = False) -> DataFrame:
+    """Count, train and score: ``key, held_out`` and the scores of every row; with ``unigrams_only`` without training, and all but ``score``."""
     training = docs.where(~held_out(key)).select(key, text)
     counts = written(word_counts(training, text), "maxent-counts")
-    model = fit(training, counts, text)
+    model = unigram_model(counts) if unigrams_only else fit(training, counts, text)
     marked = docs.select(key, held_out(key).alias("held_out"), text)
-    return score(marked, model, counts, text, [key, "held_out"])
+    return score(marked, model, counts, text, [key, "held_out"], unigrams_only)
