@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +13,10 @@ from ..functions import trigrams as T
 from ..sources import store
 from .index import indexed_text
 
-#: Format 2 has bytes' places and drifts instead of pairs of positions.
+#: Format 2 has lists of positions as bytes, format 1 a row of pairs for each trigram and document.
 FORMATS = ("trigrove-positions-1", "trigrove-positions-2")
+#: Bytes of a row group of lists: each task's lists are sorted, so that a lookup reads the groups and pages that hold its trigram.
+LIST_GROUP = 32 << 20
 
 
 def _bodies(docs: DataFrame) -> DataFrame:
@@ -91,12 +93,22 @@ def rune_to_byte_offset(data: bytes, rune: int) -> int:
     return starts[rune] if rune < len(starts) else len(data)
 
 
+def _read(lists: DataFrame, meta: dict) -> DataFrame:
+    """``tri, file_id, positions`` of stored lists; where ids are repeated, all positions of one are in one row."""
+    pairs = F.transform("places", lambda at, i: F.struct(at.alias("byte_offset"), (at - F.coalesce(F.get("drifts", i), F.lit(0))).alias("rune_offset")))
+    rows = scan.places(lists, "file_id").select("tri", F.col("file_id").cast(meta["ids"]).alias("file_id"), pairs.alias("positions"))
+    if not meta["repeated"]:
+        return rows
+    return rows.groupBy("tri", "file_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+
+
 @dataclass
 class PositionalIndex:
     """``docs(file_id, name)``, ``postings(tri, file_id, positions)`` and ``maps(file_id, samples)``.
 
     ``bodies(file_id, body)`` are the texts of an index that isn't stored,
-    ``table`` the stored postings, both where ids are whole numbers.
+    ``table`` the lists of a stored one, both where ids are whole numbers, and
+    ``meta`` says of what kind these are and whether some are repeated.
     """
 
     docs: DataFrame
@@ -104,6 +116,7 @@ class PositionalIndex:
     maps: DataFrame
     bodies: DataFrame | None = None
     table: DataFrame | None = None
+    meta: dict = field(default_factory=dict)
 
     @classmethod
     def build(cls, docs: DataFrame, compat: bool = False) -> PositionalIndex:
@@ -113,16 +126,18 @@ class PositionalIndex:
 
     def write(self, path: str) -> PositionalIndex:
         spark = self.docs.sparkSession
+        meta: dict = {"format": FORMATS[self.bodies is not None]}
         if self.bodies is not None:
-            # shuffled as lists, which become rows as they are written: a position takes about two bytes
-            lists = scan.placed(self.bodies, ["body"], "file_id").repartitionByRange("tri", "block").sortWithinPartitions("tri", "block")
-            rows = scan.places(lists, "file_id").withColumn("file_id", F.col("file_id").cast(dict(self.bodies.dtypes)["file_id"]))
-            rows.write.mode("overwrite").parquet(f"{path}/postings", compression="zstd")
+            # nothing is shuffled: each task writes the lists of its own documents, about two bytes for a position
+            lists = scan.placed(self.bodies, ["body"], "file_id").sortWithinPartitions("tri", "block")
+            lists.write.option("parquet.block.size", LIST_GROUP).mode("overwrite").parquet(f"{path}/postings", compression="zstd")
+            repeated = not self.bodies.groupBy("file_id").count().where("count > 1").isEmpty()
+            meta |= {"ids": dict(self.bodies.dtypes)["file_id"], "repeated": repeated}
         else:
             self.postings.repartitionByRange("tri", "file_id").sortWithinPartitions("tri", "file_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.maps.write.mode("overwrite").parquet(f"{path}/maps")
-        store.write_json(spark, f"{path}/positions.json", {"format": FORMATS[self.bodies is not None]})
+        store.write_json(spark, f"{path}/positions.json", meta)
         return self.open(spark, path)
 
     @classmethod
@@ -133,8 +148,12 @@ class PositionalIndex:
         docs, postings, maps = (spark.read.parquet(f"{path}/{part}") for part in ("docs", "postings", "maps"))
         if meta["format"] == FORMATS[0]:
             return cls(docs, postings, maps)
-        pairs = F.transform("places", lambda at, i: F.struct(at.alias("byte_offset"), (at - F.coalesce(F.get("drifts", i), F.lit(0))).alias("rune_offset")))
-        return cls(docs, postings.select("tri", "file_id", pairs.alias("positions")), maps, table=postings)
+        return cls(docs, _read(postings, meta), maps, table=postings, meta=meta)
+
+    def _some(self, *tris: str) -> DataFrame:
+        """The postings of some trigrams; of a stored index only their lists are read."""
+        asked = F.col("tri").isin([t.upper() for t in tris])
+        return self.postings.where(asked) if self.table is None else _read(self.table.where(asked), self.meta)
 
     @cached_property
     def file_count(self) -> int:
@@ -142,16 +161,17 @@ class PositionalIndex:
 
     @cached_property
     def trigram_count(self) -> int:
-        return self.postings.select("tri").distinct().count()
+        return (self.postings if self.table is None else self.table).select("tri").distinct().count()
 
     def lookup(self, tri: str) -> DataFrame:
         """``file_id, positions`` of the documents with a trigram."""
-        return self.postings.where(F.col("tri") == tri.upper()).select("file_id", "positions")
+        return self._some(tri).select("file_id", "positions")
 
     def counts(self) -> DataFrame:
         """``tri, files, positions``: how many documents and places each trigram has."""
-        rows, held = (self.postings, "positions") if self.table is None else (self.table, "places")
-        return rows.groupBy("tri").agg(F.count("*").alias("files"), F.sum(F.size(held)).alias("positions"))
+        if self.table is None or self.meta["repeated"]:
+            return self.postings.groupBy("tri").agg(F.count("*").alias("files"), F.sum(F.size("positions")).alias("positions"))
+        return self.table.groupBy("tri").agg(F.sum("files").alias("files"), F.sum("n").alias("positions"))
 
     def names(self, ids: DataFrame) -> DataFrame:
         return ids.join(self.docs, "file_id", "left")
@@ -162,4 +182,4 @@ class PositionalIndex:
         return row and row["samples"]
 
     def proximity_search(self, tri_a: str, tri_b: str, k: int) -> DataFrame:
-        return proximity_search(self.postings, tri_a, tri_b, k)
+        return proximity_search(self._some(tri_a, tri_b), tri_a, tri_b, k)
